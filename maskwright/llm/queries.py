@@ -5,8 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import fold_crc, read_table
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules, fit_rules
+
+    docs = read_table(spark, sf_dir, "documents")
+    return apply_rules(docs, fit_rules(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify, fit_classifier
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = classify(docs, fit_classifier(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_crc(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
