@@ -17,6 +17,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, identify, training_fold
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify(docs, fit_languages(training_fold(docs)))
+    return found.select("doc_id", (fold_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "n_languages")
+
+
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .wavelet import read_documents, write_shards
+
+    folder = write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, folder)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify, fit_classifier
 
