@@ -17,6 +17,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_hpyp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_hpyp import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
