@@ -10,12 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold_crc
+from .common import fold_crc, map_batches, text_blocks
 from .gbt import fit, lasso_logistic, paths
-from .textstats import FEATURES, feature_frame, labelled_sample
+from .textstats import FEATURES, feature_frame, labelled_sample, statistics
 
 #: Labelled documents that the rules are fitted on, at most; rules; and the lasso penalty.
 SAMPLE_ROWS, MOST_RULES, PENALTY = 10_000, 300, 1e-3
@@ -81,11 +83,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _with_scores(held: DataFrame, model: RuleModel) -> DataFrame:
-    import pyarrow as pa
-
-    from .common import map_batches, text_blocks
-    from .textstats import statistics
-
     def make():
         def step(batch):
             for block in text_blocks(batch.column("text")):
@@ -97,8 +94,5 @@ def _with_scores(held: DataFrame, model: RuleModel) -> DataFrame:
 
         return step
 
-    schema = held.schema.add("_x", "double").jsonValue()
-    schema["fields"] = schema["fields"][:-1] + [{"name": f, "type": "double", "nullable": True, "metadata": {}} for f in FEATURES]
-    from pyspark.sql.types import StructType
-
-    return map_batches(held, make, StructType.fromJson(schema)).withColumn("score", model.column())
+    schema = StructType([*held.schema.fields, *(StructField(f, DoubleType()) for f in FEATURES)])
+    return map_batches(held, make, schema).withColumn("score", model.column())

@@ -37,6 +37,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_forest import scan, trained_forest
+
+    return scan(read_table(spark, sf_dir, "documents"), trained_forest(spark)).drop("candidate")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_languages, identify, training_fold
 
