@@ -10,10 +10,12 @@ signatures against expected false candidates. Schemes with more than one segment
 segment, so that empty segments need signatures only in pairs.
 
 Exact copies are one class (their sets' 128-bit fingerprints agree) and join once. In a bucket of equal signatures the
-class with most bucket mates is the first centre; the others are verified against it, and linked ones share a component.
-Only buckets that still hold several components go on, with the next 2, 4, 8 ... centres against the classes of other
-components: every pair of a bucket is either verified or already connected. Verification counts the common shingles of
-the whole sets.
+class with most bucket mates is the centre; the others are verified against it, and linked ones share a component. Only
+buckets that still hold several components go on: blocks of at most BLOCK mates are compared by sketches, one byte for
+each of many segments of the universe. Segments that differ bound the differing shingles from below, so that pairs with
+more than the allowed differences are ruled out without reading their sets. Of the rest first the pairs of a spanning
+forest over components are verified, then all that are still between components: every pair of a bucket is verified,
+ruled out or already connected. Verification counts the common shingles of the whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Block, combine, find_words, hash_words, map_batches, mix, signed, text_blocks, written
 
+#: Bucket mates that are compared at once.
+BLOCK = 256
+
 _HASH_BITS = 52
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 #: The cost model's size of the corpus, and the share of two sets' shingles that agree by chance.
@@ -198,20 +203,122 @@ def _signatures_of(shingle: int, percent: int):
     return make
 
 
-def _sets_of(shingle: int):
+def sketches(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Bands of a block's sets, and for the band's scheme and the next one a byte for each segment of each set."""
+    sizes = np.diff(bounds)
+    if not len(sets):
+        return np.zeros(len(sizes), np.int64), [[b""] * len(sizes)] * 2
+    bands = np.array(bands_up_to(int(sizes.max()), percent))
+    firsts = np.append(bands, bands[-1] * 100 // percent + 1)
+    band = band_of(sizes, bands)
+    owner, x, out = np.repeat(np.arange(len(sizes)), sizes), mix(sets), []
+    for step in (0, 1):
+        m = np.maximum(16, firsts[np.minimum(band + step, len(firsts) - 1)] * 100 // percent // 2)
+        base = np.concatenate([[0], np.cumsum(m)])
+        with np.errstate(over="ignore"):
+            seg = base[owner] + ((mix(x + np.uint64(23)) >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        low = np.bincount(seg, (x & np.uint64(0xFFFFFFFF)).astype(np.float64), int(base[-1])).astype(np.uint64)
+        raw = (mix(low) >> np.uint64(40)).astype(np.uint8)
+        out.append([raw[a:b].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)])
+    return band, out
+
+
+def _sets_of(shingle: int, percent: int):
     def make():
         def step(batch):
             ids = batch.column("rep")
             for block in text_blocks(batch.column("text")):
                 sets, bounds = shingle_sets(block, shingle)
                 raw = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(block.first, len(block)), pa.array(raw, pa.binary())], ["rep", "shingles"])
+                band, (now, following) = sketches(sets, bounds, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(block.first, len(block)), pa.array(raw, pa.binary()), pa.array(band), pa.array(now, pa.binary()), pa.array(following, pa.binary())], ["rep", "shingles", "band", "s0", "s1"]
+                )
 
         return step
 
     return make
 
 
+def _near_pairs(percent: int, forest: bool):
+    """Rows sorted by (sig, lo, hi): pairs of each group between components that the sketches don't rule out; with
+    `forest` only as many as connect the group's components."""
+
+    def compare(rows: dict[str, list], out: list[tuple[int, int]]) -> None:
+        band, n, rep, label, part = (np.array(rows[k]) for k in ("band", "n", "rep", "label", "part"))
+        crossing = rows["lo"][0] != rows["hi"][0]
+        found = []
+        for b in np.unique(band).tolist():
+            left = np.flatnonzero(band == b)
+            first = np.frombuffer(b"".join(rows["s0"][i] for i in left), np.uint8).reshape(len(left), -1)
+            for right, step in ((left, 0), (np.flatnonzero(band == b + 1), 1)):
+                if not len(right) or (step == 0 and len(left) < 2):
+                    continue
+                x = first if step == 0 else np.frombuffer(b"".join(rows["s1"][i] for i in left), np.uint8).reshape(len(left), -1)
+                y = first if step == 0 else np.frombuffer(b"".join(rows["s0"][i] for i in right), np.uint8).reshape(len(right), -1)
+                for i in range(len(left)):
+                    js = np.arange(i + 1, len(right)) if step == 0 else np.arange(len(right))
+                    o = right[js]
+                    ok = (label[o] != label[left[i]]) & (100 * np.minimum(n[o], n[left[i]]) >= percent * np.maximum(n[o], n[left[i]]))
+                    if crossing:
+                        ok &= part[o] != part[left[i]]
+                    js, o = js[ok], o[ok]
+                    if len(js):
+                        differ = np.count_nonzero(y[js] != x[i], axis=1)
+                        near = differ <= (n[o] + n[left[i]]) * (100 - percent) // (100 + percent)
+                        found += [(d, rep[left[i]], rep[k], label[left[i]], label[k]) for d, k in zip(differ[near].tolist(), o[near].tolist(), strict=True)]
+        if forest:
+            found.sort()
+            root = {}
+
+            def top(z):
+                while root.get(z, z) != z:
+                    root[z] = root.get(root[z], root[z])
+                    z = root[z]
+                return z
+
+            kept = []
+            for f in found:
+                u, v = top(f[3]), top(f[4])
+                if u != v:
+                    root[u] = v
+                    kept.append(f)
+            found = kept
+        out += [(int(min(f[1], f[2])), int(max(f[1], f[2]))) for f in found]
+
+    def run(batches):
+        names = ("rep", "n", "label", "part", "lo", "hi", "band", "s0", "s1")
+        held, key = None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = {k: batch.column(k).to_pylist() for k in names}
+            keys = list(zip(batch.column("sig").to_pylist(), columns["lo"], columns["hi"], strict=True))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                piece = {k: columns[k][at:end] for k in names}
+                if keys[at] == key:
+                    held = {k: held[k] + piece[k] for k in names}
+                else:
+                    if held:
+                        compare(held, out)
+                    held, key = piece, keys[at]
+                at = end
+            yield _pairs_batch(out)
+        out = []
+        if held:
+            compare(held, out)
+        yield _pairs_batch(out)
+
+    return run
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+
 def _overlaps(percent: int):
     def make():
         def step(batch):
@@ -238,6 +345,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    if edges.isEmpty():
+        return labels
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
@@ -284,41 +393,30 @@ def _join_mates(docs: DataFrame, mates: DataFrame, shingle: int, percent: int) -
     """Labels of the classes that are linked with another."""
     size = mates.groupBy("sig").agg(F.count("*").alias("k"))
     degree = mates.join(size, "sig").groupBy("rep").agg(F.sum("k").alias("degree"))
-    order = Window.partitionBy("sig").orderBy(F.desc("degree"), "rep")
-    mates = written(mates.join(degree, "rep").withColumn("rank", F.row_number().over(order)))
+    mates = written(mates.join(degree, "rep"))
     involved = mates.select("rep").distinct()
     texts = docs.join(involved, docs.id == involved.rep, "left_semi").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
-    sets = written(map_batches(texts, _sets_of(shingle), "rep long, shingles binary"))
-    most = mates.agg(F.max("rank")).first()[0]
-    done = links = labels = None
-    first = 1
-    while first < most:
-        last = 2 * first - 1
-        open_ = mates
-        if labels is not None:
-            open_ = mates.join(labels, mates.rep == labels.node, "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-            several = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-            open_ = open_.join(several, "sig")
-        else:
-            open_ = open_.withColumn("label", F.col("rep"))
-        centre = open_.where(F.col("rank").between(first, last)).select("sig", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        pairs = (
-            open_.join(centre, "sig").where("rep <> c AND label <> cl")
-            .where(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
-            .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        )
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if not pairs.isEmpty():
-            left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-            checked = written(map_batches(pairs.join(right, "b").join(left, "a"), _overlaps(percent), "a long, b long, linked boolean"))
-            done = pairs if done is None else done.union(pairs)
-            new = checked.where("linked").select("a", "b")
-            links = new if links is None else links.union(new)
-            if not new.isEmpty():
-                labels = components(links)
-        first = last + 1
+    sets = written(map_batches(texts, _sets_of(shingle, percent), "rep long, shingles binary, band long, s0 binary, s1 binary"))
+    left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(map_batches(pairs.join(right, "b").join(left, "a"), _overlaps(percent), "a long, b long, linked boolean"))
+
+    centre = mates.groupBy("sig").agg(F.max(F.struct("degree", F.col("rep").alias("c"), F.col("n").alias("cn"))).alias("m")).select("sig", "m.c", "m.cn")
+    stars = mates.join(centre, "sig").where(f"rep <> c AND 100 * least(n, cn) >= {percent} * greatest(n, cn)")
+    done = verified(stars.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
+    labels = components(done.where("linked"))
+    for forest in (True, False):
+        now = mates.join(labels, mates.rep == labels.node, "left").withColumn("label", F.coalesce("label", "rep")).select("sig", "rep", "n", "label")
+        several = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", "k")
+        numbered = now.join(several, "sig").withColumn("part", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("rep")) - 1) / BLOCK))
+        dealt = numbered.select("sig", "rep", "n", "label", "part", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / BLOCK))).alias("other"))
+        dealt = dealt.select("sig", "rep", "n", "label", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).join(sets.select("rep", "band", "s0", "s1"), "rep")
+        dealt = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "part", "rep")
+        pairs = dealt.mapInArrow(_near_pairs(percent, forest), "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+        new = verified(pairs)
+        done = done.unionByName(new)
+        labels = components(done.where("linked"))
     return labels
 
 
