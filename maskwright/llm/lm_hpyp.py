@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -227,13 +228,14 @@ def _block_words():
     return step
 
 
-def _score_block(left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: doc_id, text; right: word, c, lp, and constants of the base."""
+def _score_block(bottom: float, left: pa.Table, right: pa.Table) -> pa.Table:
+    """left: doc_id, text; right: word, c, lp (a word may come twice); bottom: log10 of the base's denominator."""
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     if not left.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
     place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-    c, lp, base = (right.column(k).to_numpy() for k in ("c", "lp", "base"))
+    c, lp = (right.column(k).to_numpy() for k in ("c", "lp"))
+    base = np.log10(c + 1.0) - bottom
     out = []
     for doc_id, text in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
         words = tokens((text.as_py() or "").encode())
@@ -261,14 +263,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def make():
         def step(batch):
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(shared.value.log10(words, c.astype(float))), pa.array(np.log10(c + 1.0) - bottom)], ["word", "c", "lp", "base"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(shared.value.log10(words, c.astype(float)))], ["word", "c", "lp"])
 
         return step
 
-    priced = map_batches(table, make, "word binary, c long, lp double, base double")
-    answers = vocabulary.groupBy("block", "word").agg(F.lit(1).alias("one")).select("block", "word").join(priced, "word").select("block", "word", "c", "lp", "base")
+    priced = map_batches(table, make, "word binary, c long, lp double")
+    answers = vocabulary.select("block", "word").join(priced, "word").select("block", "word", "c", "lp")
     scored = (
         numbered.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInArrow(_score_block, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        .applyInArrow(partial(_score_block, bottom), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     )
     return scored.select("doc_id", (fold_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
