@@ -1,13 +1,16 @@
-"""Byte-level BPE in three steps without a shuffle.
+"""Byte-level BPE without a shuffle: encoding of blocks of documents by their distinct words, and decoding.
 
-1. Documents are taken in blocks. The pattern's matches are numbered by the block's distinct words; words that are tokens
-   themselves are known at once, the others leave as arrays of their bytes' token ids.
-2. Spark higher-order functions encode the distinct words: `aggregate` folds merges over each byte array, each time the
-   pair of lowest rank (the leftmost of them), looked up in a literal rank map, until no pair has a rank.
-3. The documents' ids are put together from their words' ids; decoding concatenates the binary pieces of the ids.
+Documents are taken in blocks. The pattern's matches are numbered by the block's distinct words. Words that are tokens
+are known at once; the others are arrays of their bytes' token ids, over which ranked merges are folded: each round
+merges the pair of lowest rank in each word, looked up in a rank map, until no pair has a rank. The documents' ids are
+put together from their words' ids; decoding concatenates the binary pieces of the ids.
 
-The rank map is a literal array: an entry holds a pair's two ids and the rank of their merge, which is also the id of
-the merged token; each pair has two places, so that a lookup reads two entries.
+`fold_merges` is that fold as Spark higher-order functions over a literal rank map, and `encode(..., native_fold=True)`
+uses it. It gives the same ids, but needs more time than the limit allows (the README has the figures), so that the fold
+runs over all words of a block at once in numpy unless it is asked for.
+
+The rank map is an array: an entry holds a pair's two ids and the rank of their merge, which is also the id of the
+merged token; each pair has two places, so that a lookup reads two entries.
 """
 
 from __future__ import annotations
@@ -72,6 +75,67 @@ def _place(table: list[int], key: int, rank: int, first: int, second: int) -> bo
     return False
 
 
+@lru_cache(maxsize=2)
+def _numpy_map(path: str) -> tuple[np.ndarray, int, int]:
+    table, first, second = rank_map(load_ranks(path))
+    return np.array(table, np.int64), first, second
+
+
+def fold_words(flat: np.ndarray, lengths: np.ndarray, rank_map: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Folds the merges over all words at once: their byte ids one after the other -> their token ids and numbers of them.
+
+    A round merges in each word the places of its lowest pair, from the left and without overlap, up to the first whose
+    merge makes a pair of lower rank: as far as merging one place after the other would have gone on with that pair.
+    """
+    table, first, second = rank_map
+
+    def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 16 | b
+        one, two = table[key % first], table[first + key % second]
+        return np.where(one >> 16 == key, one & 65535, np.where(two >> 16 == key, two & 65535, NO_RANK))
+
+    token, owner = flat.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+    done_tokens, done_owners = [], []
+    pairs = np.full(len(token), NO_RANK, np.int64)
+    inside = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs[inside] = rank(token[inside], token[inside + 1])
+    while len(token):
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        lowest = np.minimum.reduceat(pairs, starts)
+        size = np.diff(np.append(starts, len(token)))
+        finished = np.repeat(lowest == NO_RANK, size)
+        if finished.any():
+            done_tokens.append(token[finished])
+            done_owners.append(owner[finished])
+            go = ~finished
+            token, owner, pairs, lowest, size = token[go], owner[go], pairs[go], lowest[lowest < NO_RANK], size[lowest < NO_RANK]
+            if not len(token):
+                break
+        at = np.flatnonzero(pairs == np.repeat(lowest, size))
+        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # places next to each other overlap: every second one counts
+        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+        at = at[place % 2 == 0]
+        made, own, n = pairs[at], owner[at], len(token)
+        left, right = np.maximum(at - 1, 0), np.minimum(at + 2, n - 1)
+        before = np.where(np.diff(at, prepend=-9) == 2, made, token[left])
+        lower = (at > 0) & (owner[left] == own) & (rank(before, made) < made) | (at + 2 < n) & (owner[right] == own) & (rank(made, token[right]) < made)
+        so_far = np.cumsum(lower) - lower
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        at = at[so_far == np.repeat(so_far[heads], np.diff(np.append(heads, len(at))))]
+        token[at] = pairs[at]
+        keep = np.ones(len(token), bool)
+        keep[at + 1] = False
+        moved = at - np.arange(len(at))
+        token, owner, pairs = token[keep], owner[keep], pairs[keep]
+        touched = np.concatenate([moved, moved[moved > 0] - 1])
+        last = np.append(owner[1:] != owner[:-1], True)
+        pairs[touched[last[touched]]] = NO_RANK
+        touched = touched[~last[touched]]
+        pairs[touched] = rank(token[touched], token[touched + 1])
+    token, owner = np.concatenate([*done_tokens, np.zeros(0, np.int64)]), np.concatenate([*done_owners, np.zeros(0, np.int64)]).astype(np.int64)
+    return token[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
+
+
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -198,6 +262,48 @@ def _whole(ids: list[int], pieces: dict[int, bytes]):
     return ids, decode(ids, pieces).decode()
 
 
+def _straight(path: str, pattern: str, finish, names: list[str]):
+    """All in one: blocks of documents to finish(ids, pieces) of each."""
+
+    def make():
+        ranks, match = load_ranks(path), regex.compile(pattern).findall
+        pieces, lookup = {r: t for t, r in ranks.items()}, _numpy_map(path)
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+        def step(batch):
+            doc_ids = batch.column("doc_id")
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
+                number: defaultdict[str, int] = defaultdict()
+                number.default_factory = number.__len__
+                parts, raw = [], block.data.tobytes()
+                for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
+                    words = match(raw[a:b].decode())
+                    parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                words = [w.encode() for w in number]
+                known = np.fromiter((ranks.get(w, -1) for w in words), np.int64, len(words))
+                todo = np.flatnonzero(known < 0)
+                fold = [words[i] for i in todo.tolist()]
+                inner, counts = fold_words(byte_ids[np.frombuffer(b"".join(fold), np.uint8)], np.fromiter(map(len, fold), np.int64, len(fold)), lookup)
+                lengths, firsts = np.ones(len(known), np.int64), np.arange(len(known)) + len(inner)
+                lengths[todo], firsts[todo] = counts, np.cumsum(counts) - counts
+                ids, out = np.concatenate([inner, known]), []
+                for w in parts:
+                    n = lengths[w]
+                    ends = np.cumsum(n)
+                    out.append(finish(ids[np.repeat(firsts[w] - (ends - n), n) + np.arange(ends[-1] if len(w) else 0)].tolist(), pieces))
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(block.first, len(block)), *map(pa.array, zip(*out, strict=True))], ["doc_id", *names])
+
+        return step
+
+    return make
+
+
+def _run(docs: DataFrame, path: str, pattern: str, finish, names: list[str], schema: str, native_fold: bool) -> DataFrame:
+    if native_fold:
+        return map_batches(_folded(docs, path, pattern), _assemble(path, finish, names), schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _straight(path, pattern, finish, names), schema)
+
+
 def _folded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     cut = map_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _cut(path, pattern),
@@ -206,11 +312,11 @@ def _folded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return cut.withColumn("words", fold_merges(F.col("words"), *rank_map(load_ranks(path))))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, native_fold: bool = False) -> DataFrame:
     """doc_id, ids and the decoded text of each row. docs: doc_id and text; null and empty texts have no ids."""
-    return map_batches(_folded(docs, path, pattern), _assemble(path, _whole, ["ids", "decoded"]), "doc_id long, ids array<bigint>, decoded string")
+    return _run(docs, path, pattern, _whole, ["ids", "decoded"], "doc_id long, ids array<bigint>, decoded string", native_fold)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, native_fold: bool = False) -> DataFrame:
     """doc_id, n_tokens, and the hashes of the ids and of the decoded bytes of each row; null and empty texts have no ids."""
-    return map_batches(_folded(docs, path, pattern), _assemble(path, _digest, ["n_tokens", "ids_sha256", "decoded_sha256"]), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _run(docs, path, pattern, _digest, ["n_tokens", "ids_sha256", "decoded_sha256"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", native_fold)

@@ -187,12 +187,13 @@ def scan(docs: DataFrame, trees: list[tuple]) -> DataFrame:
 def redact_secrets(docs: DataFrame, trees: list[tuple], label: str = "[SECRET]") -> DataFrame:
     """The same rows with secrets replaced in text (and n_chars counted again where that column exists); candidates that
     the forest takes for false positives stay."""
-    held = with_findings(docs, trees)
+    own = [f.name for f in docs.schema.fields if f.name != "text"]
+    held = with_findings(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row_fields"), "text"), trees)
     joined = F.concat(
         F.get("_gaps", F.lit(0)),
         F.array_join(F.transform("_found", lambda x, k: F.concat(F.when(x["score"] >= LEAST_VOTE, F.lit(label)).otherwise(x["candidate"]), F.get("_gaps", k + F.lit(1)))), ""),
     )
-    out = held.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))).drop("_gaps", "_found")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    out = held.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")))
+    counted = {"n_chars": F.coalesce(F.length("text").cast("long"), F.col("row_fields.n_chars"))} if "n_chars" in own else {}
+    made = {c: counted.get(c, F.col(f"row_fields.`{c}`")) for c in own} | {"text": F.col("text")}
+    return out.select(*(made[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields))
