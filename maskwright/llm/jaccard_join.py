@@ -36,7 +36,7 @@ BLOCK = 256
 _HASH_BITS = 52
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 #: The cost model's size of the corpus, and the share of two sets' shingles that agree by chance.
-COST_SETS, COST_CHANCE = 1e9, 0.05
+COST_SETS, COST_CHANCE = 1e9, 0.01
 
 
 def shingle_sets(block: Block, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
