@@ -84,5 +84,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = f"regexp_extract_all({_ASCII_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+')"
+    plain = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+    return {
+        "op9_decontamination": f"""
+WITH w AS (SELECT doc_id, {words} AS v FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words} AS v FROM benchmark),
+win AS (SELECT DISTINCT item_id, m, v[i:i + m - 1] AS g FROM (SELECT item_id, v, least(8, len(v)) AS m, unnest(generate_series(1, len(v) - least(8, len(v)) + 1)) AS i FROM b WHERE len(v) > 0)),
+d AS (SELECT doc_id, m, i, v[i:i + m - 1] AS g FROM (SELECT doc_id, v, m, unnest(generate_series(1, len(v) - m + 1)) AS i FROM w, (SELECT DISTINCT m FROM win) WHERE len(v) >= m)),
+hit AS (SELECT doc_id, i, d.m, item_id FROM d JOIN win ON d.m = win.m AND d.g = win.g),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM hit) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(v) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n, 0) >= 2 AS contaminated
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+        "op10_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {plain} AS v FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(v[i:i + 2]) AS g FROM (SELECT doc_id, v, unnest(generate_series(1, greatest(len(v) - 2, least(len(v), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+      WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) c ON c.a = w.doc_id""",
+    }

@@ -1,0 +1,276 @@
+"""The training-data operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from maskwright.llm import bpe, decontam, gbt, html_extract, jaccard_join, langid, lm_hpyp, quality_classifier, quality_rules, secret_forest, textstats, wavelet
+
+P = pytest.importorskip("public_tokenizers")
+RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, word string, rep long, n long"
+
+
+def fixture_rows():
+    rng = random.Random(5)
+    words = ["The", "reading", "on", "of", "Äpfel", "that", "là", "token", "it's", "42", "élan", "stone", "river", "moss,", "fern.", "| bar |"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 120))) for _ in range(30)]
+    base = " ".join(rng.choice(words) + str(k % 7) for k in range(80))
+    near = base.split()
+    near[40] = "other"
+    texts += [base, base, " ".join(near), " ".join(near[:39] + ["x"] + near[40:]), None, "", "   \n\t", "one", "two words", "😀 !!", "line one\nline one\nline two\n" * 3, "a" * 30000, "ab " * 8000, "same same", "same same"]
+    return [(i, t, ["en", "de", None][i % 3], "w", 1, 2) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(fixture_rows(), SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return {r[0]: r[1] for r in fixture_rows()}
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_statistics_against_brute_force(docs, texts):
+    got = by_id(quality_rules.apply_rules(docs, gbt.constant(0.9)))
+    for d, t in texts.items():
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit))
+        assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and r.kept == (not r.base_failed)
+
+
+def test_trees_and_rules():
+    rng = np.random.default_rng(1)
+    x = rng.random((600, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.3)).astype(float)
+    m = gbt.fit(x, y, trees=30, depth=3, monotone={0: 1})
+    assert ((m.score(x) > 0.5) == y).mean() > 0.97
+    line = np.column_stack([np.linspace(0, 1, 50), np.full(50, 0.6), np.full(50, 0.5)])
+    assert (np.diff(m.score(line)) >= -1e-12).all()
+    assert gbt.fit(x, np.ones(600)).score(x[:2])[0] > 0.99 and len(gbt.constant(0.5).score(x[:0])) == 0
+    full = np.zeros((600, len(textstats.FEATURES)))
+    full[:, :3] = x
+    model = quality_classifier.fit_on(full, y)
+    score = gbt.sigmoid(model.intercept + sum(w * quality_classifier.holds(full, r) for w, r in model.rules))
+    assert ((score > 0.5) == y).mean() > 0.97 and model.describe()
+
+
+def test_classifier_column_and_stage(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit_classifier(docs, labels)
+    scored = by_id(quality_classifier.classify(docs, model))
+    assert len(scored) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in scored.values())
+    kept = quality_classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in scored.items() if r.predicted}
+    empty = quality_classifier.fit_classifier(docs, labels.limit(0))
+    assert not empty.rules and quality_classifier.keep_good(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_language(docs, texts):
+    got = by_id(langid.identify(docs, langid.fit_languages(docs)))
+    for d, t in texts.items():
+        letters = any(c.isalpha() for c in t or "")
+        assert (got[d].lang_pred == "und") == (not letters) and 0 <= got[d].score <= 1
+    assert {r.lang_pred for r in langid.identify(docs, langid.fit_languages(docs.limit(0))).collect()} == {"und"}
+
+
+def test_decontamination_against_brute_force(spark, docs, texts):
+    items = [(1, " ".join(texts[3].split()[:12])), (2, texts[30]), (3, "two WORDS"), (4, None), (5, "!!"), (6, texts[30])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    got = by_id(decontam.contamination(docs, bench))
+    for d, t in texts.items():
+        w, hit, found = split(t), set(), set()
+        for i, x in items:
+            v = split(x)
+            m = min(8, len(v))
+            for k in range(len(v) - m + 1 if v else 0):
+                for a in range(len(w) - m + 1):
+                    if w[a : a + m] == v[k : k + m]:
+                        hit |= set(range(a, a + m))
+                        found.add(str(i))
+        r = got[d]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()), d
+    assert {r.n_items for r in decontam.contamination(docs, bench.limit(0)).collect()} == {0}
+    decontam.BLOCK_WINDOWS, old = 5, decontam.BLOCK_WINDOWS
+    try:
+        assert {d: tuple(r) for d, r in by_id(decontam.contamination(docs, bench)).items()} == {d: tuple(r) for d, r in got.items()}
+    finally:
+        decontam.BLOCK_WINDOWS = old
+    assert decontam.decontaminate(docs, bench).columns == docs.columns
+
+
+def brute_components(texts, k, percent):
+    sets = {}
+    for d, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    root = {d: d for d in sets}
+    top = lambda z: z if root[z] == z else top(root[z])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {d: (len(sets[d]), top(d)) for d in sets}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_against_brute_force(spark, docs, texts, k, percent):
+    got = by_id(jaccard_join.link_components(docs, k, percent))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute_components(texts, k, percent)
+
+
+def test_jaccard_chains_of_edits(spark):
+    rng = random.Random(2)
+    word = [f"w{i}" for i in range(60)]
+    texts = {}
+    for d in range(90):  # edits of edits: linked in chains, with many pairs in a bucket that aren't
+        if d % 30 == 0:
+            word = [f"w{d}_{i}" for i in range(60)]
+        elif d % 3:
+            word = list(word)
+            word[rng.randrange(60)] = f"e{d}"
+        texts[d] = " ".join(word)
+    got = by_id(jaccard_join.link_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 90))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute_components(texts, 3, 90)
+    assert jaccard_join.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_allocation_has_enough_segments():
+    for r in range(1, 3000, 7):
+        zero, one = jaccard_join.allocate(r, 90)
+        most = 2 * r * 10 // 190
+        assert most == 0 or zero + 2 * one > most
+
+
+def test_bpe_against_library(docs, texts):
+    import tiktoken
+
+    ranks = bpe.load_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = by_id(bpe.encode(docs, RANKS, P.PATTERN))
+    for d, t in texts.items():
+        assert got[d].ids == library.encode_ordinary(t or "") and got[d].decoded == (t or "")
+    assert bpe.digests(docs.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_wavelet_matrix():
+    values = np.random.default_rng(3).integers(0, 50, 3000)
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(values, 16).to_bytes())
+    assert (m.decode() == values).all() and [m.access(i) for i in (0, 7, 2999)] == values[[0, 7, 2999]].tolist()
+    for s in (0, 17, 49, 51):
+        places = np.flatnonzero(values == s)
+        assert m.rank(s, 3000) == len(places) and m.rank(s, 1000) == (places < 1000).sum() and m.select(s, len(places)) == -1
+        assert all(m.select(s, k) == p for k, p in list(enumerate(places.tolist()))[::7])
+    assert wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build([], 16).to_bytes()).n == 0
+
+
+def test_token_shards_against_library(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    extra = spark.createDataFrame([(900, "<|endoftext|> a b   é ﬁ İI ǅ 你好’s", None, None, None, None), (901, "it'S #1!! Ω", None, None, None, None)], SCHEMA)
+    all_texts = texts | {r.doc_id: r.text for r in extra.collect()}
+    library, start = Tokenizer.from_file(WORDS), 0
+    old, wavelet.SHARD_IDS = wavelet.SHARD_IDS, 4000
+    try:
+        got = by_id(wavelet.read_documents(spark, wavelet.write_shards(docs.union(extra), WORDS)))
+    finally:
+        wavelet.SHARD_IDS = old
+    for d in sorted(all_texts):
+        ids = [*library.encode(all_texts[d] or "", add_special_tokens=False).ids, 1]
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), d
+        start += len(ids)
+
+
+def test_language_model(docs, texts):
+    got = by_id(lm_hpyp.score_texts(docs))
+    words = {d: [*(t or "").encode().lower().split(), b""] for d, t in texts.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    count = collections.Counter(w for d in words if not held[d] for w in words[d])
+    n, v = sum(count.values()), len(count)
+    for d, w in words.items():
+        r = got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(w), sum(count[x] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), abs_tol=1e-6) and r.score < 0
+    assert lm_hpyp.score_texts(docs.limit(0)).count() == 0
+
+
+def test_model_probabilities_sum_to_one(spark):
+    table = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in (("aa", 5), ("ab", 3), ("b", 1), ("", 4))], "word binary, c long")
+    model = lm_hpyp.fit_words(table)
+    known = [b"aa", b"ab", b"b", b""]
+    p = 10 ** model.log10([*known, b"zz"], np.array([5.0, 3.0, 1.0, 4.0, 0.0]))
+    assert abs(p.sum() - 1) < 1e-6
+    t = lm_hpyp.seat(np.array([1e6, 5, 1, 0]), np.array([0.1, 0.1, 0.1, 0.1]), 0.5, 1.0, 10.0, np.arange(4, dtype=np.uint64), 3)
+    assert t[3] == 0 and t[2] == 1 and (t[:3] >= 1).all() and (t <= [1e6, 5, 1, 0]).all()
+
+
+def test_secrets(spark):
+    trees = secret_forest.trained_forest(spark)
+    key = hashlib.sha1(b"k").hexdigest()
+    rows = [
+        (1, f'so token = "{key}" ends', 5), (2, f"commit {key} was fine", 5), (3, None, None), (4, "", 0), (5, "mail local.92@mail2.example.com and card 4111111111111111", 9), (6, f'😀 token = "{key}" and again token = "{key}"', 1),
+        (7, "key ghp_" + "aB3dE5" * 6, 1), (8, "x" * 50000 + "1", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("_gaps", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in secret_forest.scan(docs, trees).collect():
+        got[r.doc_id].append(r)
+        assert rows[r.doc_id - 1][1][r.start : r.start + r.n_chars] == r.candidate
+    assert [r.is_secret for r in got[1]] == [True] and [r.is_secret for r in got[2]] == [False] and len(got[6]) == 2 and not any(r.is_secret for r in got[5]) and got[7][0].is_secret
+    clean = {r.doc_id: r for r in secret_forest.redact_secrets(docs, trees).collect()}
+    assert clean[1].text == 'so token = "[SECRET]" ends' and clean[1].n_chars == len(clean[1].text) and clean[2].text == rows[1][1] and clean[3].text is None and clean[6].text.count("[SECRET]") == 2
+
+
+def test_html(spark):
+    pages = [
+        (1, "u", "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class=ad>Buy now.</div><article><h1>A &amp; B</h1><p>First  para\n here.<p>Second <b>bold</b> one.</article>"
+         "<div class='comments'><h3>Replies</h3><div class=comment><p>I liked it very much.</p></div></div><footer>&copy; x</footer></body></html>"),
+        (2, "u", None), (3, "u", ""), (4, "u", "<div><div"), (5, None, "<nav><a href=x>only menu</a></nav>"),
+    ]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1].text == "A & B\n\nFirst para here.\n\nSecond bold one." and got[1].n_chars == len(got[1].text)
+    assert got[2].text == "" and got[3].text == "" and got[5].text == ""
+
+
+def test_html_decoding_is_consistent():
+    rng = random.Random(4)
+    model = html_extract.trained()
+    for _ in range(20):
+        page = html_extract.synthetic_page(rng)
+        nodes = html_extract.parse(page)
+        kept = html_extract.decode(nodes, model.score(html_extract.features(nodes, len(page))))
+        assert all(kept[d.parent] for d, k in zip(nodes[1:], kept[1:], strict=True) if k)
+
+
+def test_pipeline_keeps_columns(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    base = docs.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    base.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of this is there at all in any document")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == base.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()
