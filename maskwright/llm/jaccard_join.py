@@ -6,8 +6,9 @@ sets of a scheme whose largest size is r differ in at most H = floor(2 r (1-t) /
 universe of shingles into segments: `zero` segments that must be equal and `one` segments that may differ by one
 shingle. If zero + 2 one > H, two linked sets agree in some segment in that sense, which an equi-join of segment hashes
 (and of hashes after each one-deletion) finds. `allocate` picks zero and one for each scheme by a cost model: number of
-signatures against expected false candidates. Schemes with more than one segment have slack for one more agreeing
-segment, so that empty segments need signatures only in pairs.
+signatures against expected false candidates. Schemes with more than one segment have slack: linked sets agree in more
+segments than one. A set whose segments of one shingle or none are no more than the slack needs no signatures for these
+(which common passages would make frequent); others have one for each segment of one, and for pairs of empty ones.
 
 Exact copies are one class (their sets' 128-bit fingerprints agree) and join once. In a bucket of equal signatures the
 class with most bucket mates is the centre; the others are verified against it, and linked ones share a component. Only
@@ -36,7 +37,7 @@ BLOCK = 256
 _HASH_BITS = 52
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 #: The cost model's size of the corpus, and the share of two sets' shingles that agree by chance.
-COST_SETS, COST_CHANCE = 1e9, 0.01
+COST_SETS, COST_CHANCE = 1e9, 0.003
 
 
 def shingle_sets(block: Block, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +94,17 @@ def bands_up_to(size: int, percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=4096)
+def spare(largest: int, most: int) -> int:
+    """Segments beyond those that a scheme without one-deletions needs: about as many as have one shingle or none."""
+    mean, k = largest / (most + 2), 1
+    for _ in range(8):
+        mean = largest / (most + 1 + k)
+        small = (most + 1 + k) * math.exp(-mean) * (1 + mean)
+        k = max(1, math.ceil(small + math.sqrt(small)))
+    return min(k, most + 1)
+
+
 @lru_cache(maxsize=4096)
 def allocate(largest: int, percent: int) -> tuple[int, int]:
     """(zero, one): how many segments may differ by none and by one, cheapest for sets of up to `largest` shingles."""
@@ -103,7 +115,7 @@ def allocate(largest: int, percent: int) -> tuple[int, int]:
     for one in range(0, most // 2 + 2):
         if one and one > 8 and one <= most // 2:  # beyond some, only all segments of this kind
             continue
-        need = most + 1 if one * 2 > most and one == 1 else most + (3 if one else 2)
+        need = most + 1 if one * 2 > most and one == 1 else most + (3 if one else 1 + spare(largest, most))
         zero = max(0, need - 2 * one)
         if one == 0 or zero or one * 2 >= need:
             size = largest / (zero + one)
@@ -147,7 +159,10 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
         doc = np.repeat(np.arange(len(sizes)), m)
         place = np.arange(total) - base[doc]
         name = scheme[doc].astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
-        full = number > 0
+        slack_of = np.where(one > 0, 1, zero - 1 - 2 * largest * (100 - percent) // (100 + percent))
+        small = np.bincount(doc[number <= 1], minlength=len(sizes))
+        enough = (small <= slack_of) & (one == 0) & (m > 1)
+        full = (number > 0) & ~(enough[doc] & (number == 1))
         out.append(combine(name[full], value[full], number[full].astype(np.uint64)))
         owners.append(doc[full])
         # one-deletions
@@ -158,7 +173,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
                 out.append(combine(name[s], value[s] - x[slack], (number[s] - 1).astype(np.uint64)))
             owners.append(own[slack])
         # pairs of empty segments; a scheme of one segment has none that is empty
-        empty = np.flatnonzero(~full)
+        empty = np.flatnonzero((number == 0) & ~enough[doc])
         if len(empty):
             for d, n in zip(*np.unique(doc[empty], return_counts=True), strict=True):
                 e = place[empty[doc[empty] == d]].astype(np.uint64)
@@ -338,6 +353,17 @@ def _overlaps(percent: int):
     return make
 
 
+def _sketches_near():
+    def step(batch):
+        ok = [
+            int(np.count_nonzero(np.frombuffer(x.as_py(), np.uint8) != np.frombuffer(y.as_py(), np.uint8))) <= most
+            for x, y, most in zip(batch.column("x"), batch.column("y"), batch.column("most").to_pylist(), strict=True)
+        ]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return step
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that the edges (a, b) reach, for each node that has an edge.
 
@@ -402,9 +428,19 @@ def _join_mates(docs: DataFrame, mates: DataFrame, shingle: int, percent: int) -
     def verified(pairs: DataFrame) -> DataFrame:
         return written(map_batches(pairs.join(right, "b").join(left, "a"), _overlaps(percent), "a long, b long, linked boolean"))
 
+    def not_ruled_out(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sketches differ in no more segments than linked sets may."""
+        side = lambda x: sets.select(F.col("rep").alias(x), F.col("band").alias(f"band_{x}"), F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"), (F.length("shingles") / 8).cast("long").alias(f"n_{x}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").where("abs(band_a - band_b) <= 1")
+        ready = both.select(
+            "a", "b", (F.expr("n_a + n_b") * (100 - percent) / (100 + percent)).cast("long").alias("most"), F.expr("CASE WHEN band_a < band_b THEN s1_a ELSE s0_a END").alias("x"),
+            F.expr("CASE WHEN band_b < band_a THEN s1_b ELSE s0_b END").alias("y"),
+        )
+        return written(map_batches(ready, _sketches_near, "a long, b long"))
+
     centre = mates.groupBy("sig").agg(F.max(F.struct("degree", F.col("rep").alias("c"), F.col("n").alias("cn"))).alias("m")).select("sig", "m.c", "m.cn")
     stars = mates.join(centre, "sig").where(f"rep <> c AND 100 * least(n, cn) >= {percent} * greatest(n, cn)")
-    done = verified(stars.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
+    done = verified(not_ruled_out(stars.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()))
     labels = components(done.where("linked"))
     for forest in (True, False):
         now = mates.join(labels, mates.rep == labels.node, "left").withColumn("label", F.coalesce("label", "rep")).select("sig", "rep", "n", "label")
