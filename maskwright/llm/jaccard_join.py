@@ -38,6 +38,8 @@ _HASH_BITS = 52
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 #: The cost model's size of the corpus, and the share of two sets' shingles that agree by chance.
 COST_SETS, COST_CHANCE = 1e9, 0.003
+#: Sets above this size have segments of one kind.
+MOST_MIXED = 100
 
 
 def shingle_sets(block: Block, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +119,8 @@ def allocate(largest: int, percent: int) -> tuple[int, int]:
             continue
         need = most + 1 if one * 2 > most and one == 1 else most + (3 if one else 1 + spare(largest, most))
         zero = max(0, need - 2 * one)
+        if one and zero > 1 and largest > MOST_MIXED:
+            continue
         if one == 0 or zero or one * 2 >= need:
             size = largest / (zero + one)
             cost = zero + one * (size + 1) + COST_SETS * (zero * COST_CHANCE**size + one * (size + 1) * COST_CHANCE ** max(0, size - 1))
