@@ -404,10 +404,11 @@ def link_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col
 
     found = map_batches(docs, _signatures_of(shingle, percent), "sig long, fp long")
     by_sig = Window.partitionBy("sig")
-    mates = written(
-        found.withColumn("lo", F.min("fp").over(by_sig)).withColumn("hi", F.max("fp").over(by_sig)).where("lo <> hi").select("sig", "fp").distinct()
-        .join(classes.select("fp", "rep", "n"), "fp").select("sig", "rep", "n")
-    )
+    shared = found.withColumn("lo", F.min("fp").over(by_sig)).withColumn("hi", F.max("fp").over(by_sig)).where("lo <> hi").select("sig", "fp").distinct()
+    # buckets with the same classes become one: their name is made of sums of 40-bit hashes over their classes
+    name = lambda salt: F.sum(F.xxhash64("fp", F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))).over(by_sig)
+    buckets = shared.withColumn("h1", name(1)).withColumn("h2", name(2)).select(F.xxhash64("h1", "h2").alias("sig"), "fp").distinct()
+    mates = written(buckets.join(classes.select("fp", "rep", "n"), "fp").select("sig", "rep", "n"))
     labels = None
     if not mates.isEmpty():
         labels = _join_mates(docs, mates, shingle, percent)
