@@ -1,18 +1,20 @@
-"""A hierarchical Pitman-Yor language model over words and their spelling, with seating sampled by Gibbs.
-
-The word restaurant seats every training token. Its base is a spelling model: the probability of a word's bytes and its
-end under restaurants whose contexts are the last two symbols; these share parents with one symbol of context, these the
-restaurant without context, and that the uniform measure. A table of the word restaurant is a customer of the
-two-symbol restaurants, a table of these a customer of their parents, and so on. A Gibbs sweep seats all customers again
-given the other restaurants: seats of a word's customers are drawn in the order of the Chinese restaurant process, beyond
-the first few in blocks that double. Predictive probabilities are averaged over SAMPLES sweeps after BURN_IN.
-
-As in the base score, all words that training doesn't know are one event: its base is what the spelling model leaves
-after all known words.
-
-Counts cover all training documents and stay distributed: one row per distinct word. Only the spelling restaurants are
-gathered; they have at most 258**2 * 257 cells, whatever the corpus. Documents get their words' probabilities by blocks
-of BLOCK_DOCS documents: the distinct words of each block are joined with the word table and come back to the block.
+"""A hierarchical Pitman-Yor language model over word pairs, words and their spelling, with seating sampled by Gibbs.
+
+Each word that precedes another has a restaurant, which seats the training tokens that follow it; a document's first word
+follows the end of a document. Its base is the word restaurant: a table of a context's restaurant is a customer there. The
+base of the word restaurant is a spelling model: the probability of a word's bytes and its end under restaurants whose
+contexts are the last two symbols; these share parents with one symbol of context, these the restaurant without context,
+and that the uniform measure. A table of the word restaurant is a customer of the two-symbol restaurants, a table of
+these a customer of their parents, and so on. A Gibbs sweep seats all customers again given the other restaurants: seats
+of a dish's customers are drawn in the order of the Chinese restaurant process, beyond the first few in blocks that
+double. Scores are predictions of the seats, tables and word probabilities averaged over SAMPLES sweeps after BURN_IN.
+
+Words that training doesn't know have the probability of their spelling. In the base score they are one event.
+
+Counts cover all training documents and stay distributed: one row per distinct word, one per distinct pair that isn't
+a pair of one block seen once or never. Only the spelling restaurants are gathered; they have at most 258**2 * 257 cells,
+whatever the corpus. Words and pairs are counted in blocks of BLOCK_DOCS documents: the distinct words of each block are
+joined with the word table and come back to the block, and so do its pairs whose seats the block can't tell by itself.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_crc, map_batches, mix, written
+from .common import combine, fold_crc, map_batches, mix, signed, written
 
 BLOCK_DOCS = 2048
 BURN_IN, SAMPLES = 1, 3
 #: Strength of all restaurants; discounts of the spelling restaurants by the length of the context.
 STRENGTH, SPELLING_DISCOUNT = 1.0, (0.1, 0.3, 0.5)
+#: Words whose sums over pairs a task holds before it hands them on.
+SUM_WORDS = 1 << 20
 #: Symbols: bytes, the end of a word, its start.
 END, START, SYMBOLS = 256, 257, 258
 
@@ -166,20 +170,30 @@ class WordModel:
     salts: list[int]
 
     def log10(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Averaged predictive log10 probabilities of words with their training counts."""
+        """Averaged predictive log10 probabilities of words with their training counts; all unknown words are one event."""
+        return np.log10(np.maximum(self.predict(words, counts, spelled=False), 1e-300))
+
+    def predict(self, words: list[bytes], counts: np.ndarray, spelled: bool = True) -> np.ndarray:
+        """Averaged predictive probabilities; with `spelled`, an unknown word has that of its spelling."""
         p, keys = np.zeros(len(words)), _keys(words)
         for tables, before, spelling, known, salt in zip(self.tables, self.before, self.spelling, self.known, self.salts, strict=True):
-            base = np.where(counts > 0, spelling.words(words), max(1 - known, 1e-9))
+            base = spelling.words(words)
+            if not spelled:
+                base = np.where(counts > 0, base, max(1 - known, 1e-9))
             t = seat(counts, base, self.discount, STRENGTH, before, keys, salt)
             p += (counts - self.discount * t + (STRENGTH + self.discount * tables) * base) / (STRENGTH + self.total)
-        return np.log10(np.maximum(p / len(self.salts), 1e-300))
+        return p / len(self.salts)
+
+
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
 def fit_words(table: DataFrame) -> WordModel:
     """Gibbs sweeps over the word table (word binary, c long: all training tokens; words with c = 0 are ignored)."""
     seen = table.where("c > 0")
     s = seen.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    discount = min(0.95, max(0.05, s.n1 / (s.n1 + 2 * s.n2))) if s.n1 else 0.5
+    discount = _discount(s.n1, s.n2)
     out = WordModel(discount, s.n or 0, s.v, [], [], [], [], [])
     spelling, tables = Spelling.empty(), float(s.v)
     sc = table.sparkSession.sparkContext
@@ -228,19 +242,195 @@ def _block_words():
     return step
 
 
-def _score_block(bottom: float, left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: doc_id, text; right: word, c, lp (a word may come twice); bottom: log10 of the base's denominator."""
+def _block_pairs():
+    """block, context, word, n: the distinct pairs of each block by the hashes of their words, and their training count."""
+
+    def step(batch):
+        blocks = batch.column("block").to_numpy()
+        edges = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
+        texts, train = batch.column("text"), batch.column("train").to_pylist()
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(blocks)], strict=True):
+            words, codes, n, _, _ = _paired([texts[i].as_py() for i in range(a, b)], train[a:b])
+            h = signed(_keys(words))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), blocks[a])), pa.array(h[codes // len(words)]), pa.array(h[codes % len(words)]), pa.array(n)], ["block", "context", "word", "n"])
+
+    return step
+
+
+def _paired(texts: list[str | None], train: list[bool]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, distinct pairs (place of the context * number of words + place of the word), their training counts,
+    for each token its pair, and where each text's tokens begin. A text's first context is the end."""
+    place, ids, bounds = {b"": 0}, [], [0]
+    for text in texts:
+        ids += [place.setdefault(w, len(place)) for w in tokens((text or "").encode())]
+        bounds.append(len(ids))
+    at = np.array(ids, np.int64)
+    before = np.concatenate([[0], at[:-1]])  # each text ends with the end, whose place is 0
+    codes, pair = np.unique(before * len(place) + at, return_inverse=True)
+    held = np.repeat(np.array(train, bool), np.diff(bounds))
+    return list(place), codes, np.bincount(pair[held], minlength=len(codes)), pair, np.array(bounds)
+
+
+def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _block_pairs sorted by context and word. kind 0: pairs with their training count and blocks, without those
+    that one block has at most once; kinds 1 and 2: for contexts and for words, how many distinct training pairs have them."""
+
+    def rows(kind, context, word, c, blocks=None):
+        n = len(context)
+        blocks = pa.array([None] * n, pa.list_(pa.int64())) if blocks is None else blocks
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), pa.array(context), pa.array(word), pa.array(c), blocks], ["kind", "context", "word", "c", "blocks"])
+
+    def sums(held):
+        for kind in (1, 2):
+            h, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+            yield rows(kind, h, h, n)
+
+    def merged(x):
+        context, word, block, n = x
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(context) != 0) | (np.diff(word) != 0)]))
+        k, c = np.diff(np.append(starts, len(n))), np.add.reduceat(n, starts)
+        seen = starts[c > 0]
+        held[1].append(context[seen])
+        held[2].append(word[seen])
+        keep = (c > 1) | ((c == 1) & (k > 1))
+        bounds = np.concatenate([[0], np.cumsum(k[keep])])
+        blocks = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(block[np.repeat(keep, k)]))
+        return rows(0, context[starts[keep]], word[starts[keep]], c[keep], blocks)
+
+    held, left = {1: [], 2: []}, None
+    for batch in batches:
+        x = [batch.column(k).to_numpy() for k in ("context", "word", "block", "n")]
+        if left is not None:
+            x = [np.concatenate(z) for z in zip(left, x, strict=True)]
+        if not len(x[0]):
+            continue
+        last = int(np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]))[-1]) + 1 if (x[0][0], x[1][0]) != (x[0][-1], x[1][-1]) else 0
+        left = [z[last:] for z in x]
+        if last:
+            yield merged([z[:last] for z in x])
+        if sum(map(len, held[1])) > SUM_WORDS:
+            yield from sums(held)
+            held[1].clear(), held[2].clear()
+    if left is not None:
+        yield merged(left)
+    if held[1]:
+        yield from sums(held)
+
+
+@dataclass
+class PairModel:
+    discount: float
+    words: DataFrame  # word, h, c (training tokens), and means over the samples: p (word restaurant), t (tables of its own restaurant)
+    seats: DataFrame  # context, word, t: mean tables of pairs seen more than once
+
+
+def _reseat(discount: float, sweep: int, sampled: bool):
+    """Draws the tables of pairs; `total` sums those of the kept sweeps."""
+
+    def make():
+        def step(batch):
+            context, word, c, p, tables, total = (batch.column(k).to_numpy() for k in ("context", "word", "c", "p", "t", "total"))
+            t = seat(c.astype(float), p, discount, STRENGTH, tables, combine(context.view(np.uint64), word.view(np.uint64)), sweep)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context, word, c, t, total + t * sampled)], ["context", "word", "c", "drawn", "total"])
+
+        return step
+
+    return make
+
+
+def _priced(shared):
+    def make():
+        def step(batch):
+            p = shared.value.predict(batch.column("word").to_pylist(), batch.column("m").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(p), batch.column("t")], ["h", "p", "t"])
+
+        return step
+
+    return make
+
+
+def fit_pairs(table: DataFrame, merged: DataFrame) -> PairModel:
+    """Gibbs sweeps over pairs, words and spelling. table: word, c for all words; merged: the rows of _merged_pairs."""
+    sc = table.sparkSession.sparkContext
+    # a pair seen once has one table; those seen more often have `drawn`
+    firsts = lambda kind, name, own: merged.where(f"kind = {kind}").groupBy(F.col(own).alias("h")).agg(F.sum("c").cast("double").alias(name))
+    hashed = map_batches(table, _hashed, "word binary, h long, c long")
+    start = written(hashed.join(firsts(2, "m1", "word"), "h", "left").join(firsts(1, "t1", "context"), "h", "left").select("word", "h", "c", F.coalesce("m1", F.lit(0.0)).alias("m1"), F.coalesce("t1", F.lit(0.0)).alias("t1")))
+    pairs = merged.where("kind = 0 AND c > 1").select("context", "word", "c")
+    twos, many = pairs.agg(F.count_if(F.col("c") == 2), F.count("*")).first()
+    s = start.agg(F.coalesce(F.sum("m1"), F.lit(0.0)).alias("m"), F.count_if(F.col("m1") > 0).alias("v"), F.count_if(F.col("m1") == 1).alias("n1"), F.count_if(F.col("m1") == 2).alias("n2")).first()
+    discount, own = _discount(int(s.m) - many, twos), _discount(s.n1, s.n2)
+    spelling, tables = Spelling.empty(), float(s.v)
+    state = WordModel(own, s.m, s.v, [tables], [tables], [spelling], [0.0], [BURN_IN + SAMPLES])
+    words = start.select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), F.lit(0.0).alias("p_sum"), F.lit(0.0).alias("t_sum"))
+    seats = pairs.withColumn("total", F.lit(0.0))
+    for sweep in range(BURN_IN + SAMPLES):
+        sampled = sweep >= BURN_IN
+        prices = map_batches(words.where("c > 0").select("word", "h", "m", "t"), _priced(sc.broadcast(state)), "h long, p double, t double")
+        joined = seats.select("context", "word", "c", "total").join(prices.select(F.col("h").alias("word"), "p"), "word").join(words.where("c > 0").select(F.col("h").alias("context"), "t"), "context")
+        seats = written(map_batches(joined, _reseat(discount, sweep, sampled), "context long, word long, c long, drawn double, total double"))
+        more = lambda of, name: seats.where("drawn > 1").groupBy(F.col(of).alias("h")).agg(F.sum(F.col("drawn") - 1).alias(name))
+        moved = words.drop("m", "t").join(more("word", "dm"), "h", "left").join(more("context", "dt"), "h", "left")
+        words = written(moved.withColumn("m", F.col("m1") + F.coalesce("dm", F.lit(0.0))).withColumn("t", F.col("t1") + F.coalesce("dt", F.lit(0.0))).drop("dm", "dt"))
+        before = tables
+        rows = _sweep(words.where("m > 0").select("word", F.col("m").alias("c")), sc.broadcast((spelling, before)), own, sweep).toPandas().sort_values("code")
+        tables, known = (float(rows.loc[rows["code"] == k, "n"].sum()) for k in (-1, -2))
+        customers = words.agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0]
+        state = WordModel(own, customers, s.v, [tables], [before], [spelling], [known], [sweep])
+        cells = rows[rows["code"] >= 0]
+        spelling = Spelling.sampled(cells["code"].to_numpy(np.int64), cells["n"].to_numpy(float), spelling, sweep)
+        if sampled:
+            words = written(map_batches(words, _summed(sc.broadcast(state)), words.schema))
+    mean = words.select("word", "h", "c", (F.col("p_sum") / SAMPLES).alias("p"), (F.col("t_sum") / SAMPLES).alias("t"))
+    return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")))
+
+
+def _hashed():
+    def step(batch):
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(signed(_keys(batch.column("word").to_pylist()))), batch.column("c")], ["word", "h", "c"])
+
+    return step
+
+
+def _summed(shared):
+    """Adds a kept sweep's word probabilities and tables to p_sum and t_sum."""
+
+    def make():
+        def step(batch):
+            p = shared.value.predict(batch.column("word").to_pylist(), batch.column("m").to_numpy())
+            new = {"p_sum": pa.array(batch.column("p_sum").to_numpy() + p), "t_sum": pa.array(batch.column("t_sum").to_numpy() + batch.column("t").to_numpy())}
+            yield pa.RecordBatch.from_arrays([new.get(k, batch.column(k)) for k in batch.schema.names], batch.schema.names)
+
+        return step
+
+    return make
+
+
+def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table) -> pa.Table:
+    """left: doc_id, text, train; right: for words (context null) their hash, c, p, t, for pairs c and t; bottom: log10 of
+    the base's denominator. A pair without a row is of this block alone, and seen once at most."""
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     if not left.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-    place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-    c, lp = (right.column(k).to_numpy() for k in ("c", "lp"))
+    words, codes, n, pair, bounds = _paired(left.column("text").to_pylist(), left.column("train").to_pylist())
+    h = signed(_keys(words))
+    order = np.argsort(h)
+    place = lambda x: order[np.searchsorted(h[order], x)]
+    single = right.filter(right.column("context").is_null())
+    at = place(single.column("word").to_numpy())
+    c, p, t = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
+    c[at], p[at], t[at] = (single.column(k).to_numpy() for k in ("c", "p", "t"))
+    double = right.filter(right.column("context").is_valid())
+    at = np.searchsorted(codes, place(double.column("context").to_numpy()) * len(words) + place(double.column("word").to_numpy()))
+    pair_c, pair_t = n.astype(float), (n > 0).astype(float)
+    pair_c[at], pair_t[at] = (double.column(k).to_numpy() for k in ("c", "t"))
+    u, w = codes // len(words), codes % len(words)
+    lp = np.log10(np.maximum((pair_c - discount * pair_t + (STRENGTH + discount * t[u]) * p[w]) / (STRENGTH + c[u]), 1e-300))
     base = np.log10(c + 1.0) - bottom
     out = []
-    for doc_id, text in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-        words = tokens((text.as_py() or "").encode())
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        out.append((doc_id, len(words), int(np.count_nonzero(c[at])), math.fsum(base[at].tolist()), math.fsum(lp[at].tolist())))
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        own = w[pair[a:b]]
+        out.append((left.column("doc_id")[i].as_py(), b - a, int(np.count_nonzero(c[own])), math.fsum(base[own].tolist()), math.fsum(lp[pair[a:b]].tolist())))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names)
 
 
@@ -254,23 +444,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(fold_crc(F.col("doc_id"), 7) != 2, F.lit(True)).alias("train"),
         F.shiftright(F.monotonically_increasing_id(), BLOCK_DOCS.bit_length() - 1).alias("block"),
     )
-    vocabulary = written(map_batches(numbered.select("block", "text", "train"), _block_words, "block long, word binary, n long"))
+    # an Arrow batch may end within a block, so that a block's word or pair can come in several rows
+    blocks = numbered.select("block", "text", "train")
+    vocabulary = written(map_batches(blocks, _block_words, "block long, word binary, n long"))
     table = written(vocabulary.groupBy("word").agg(F.sum("n").alias("c")))
-    model = fit_words(table)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLES times the spelling restaurants' cells
-    bottom = math.log10(model.total + model.distinct + 1)
-
-    def make():
-        def step(batch):
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(shared.value.log10(words, c.astype(float)))], ["word", "c", "lp"])
-
-        return step
-
-    priced = map_batches(table, make, "word binary, c long, lp double")
-    answers = vocabulary.select("block", "word").join(priced, "word").select("block", "word", "c", "lp")
+    found = map_batches(blocks, _block_pairs, "block long, context long, word long, n long").repartition("context", "word").sortWithinPartitions("context", "word")
+    merged = written(found.mapInArrow(_merged_pairs, "kind long, context long, word long, c long, blocks array<long>"))
+    model = fit_pairs(table, merged)
+    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    bottom = math.log10(total + distinct + 1)
+
+    own = vocabulary.select("block", "word").join(model.words, "word").select("block", F.lit(None).cast("long").alias("context"), F.col("h").alias("word"), "c", "p", "t")
+    shared = merged.where("kind = 0").join(model.seats, ["context", "word"], "left")
+    sent = shared.select(F.explode("blocks").alias("block"), "context", "word", "c", F.lit(None).cast("double").alias("p"), F.coalesce("t", F.lit(1.0)).alias("t"))
     scored = (
-        numbered.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInArrow(partial(_score_block, bottom), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        numbered.select("block", "doc_id", "text", "train").groupBy("block").cogroup(own.unionByName(sent).groupBy("block"))
+        .applyInArrow(partial(_score_block, bottom, model.discount), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     )
-    return scored.select("doc_id", (fold_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", (fold_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -214,6 +214,28 @@ def test_language_model(docs, texts):
     assert lm_hpyp.score_texts(docs.limit(0)).count() == 0
 
 
+def test_language_model_word_contexts_and_spelling(spark):
+    rows = [(i, "the cat sat on the mat while the dog ran to the park") for i in range(40)]
+    ids = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:6]  # held out
+    asked = ["the cat sat on the mat", "mat cat on the sat the", "the parking", "the qzxjvkw", "the dog ran to the park", "park the to ran dog the"]
+    got = by_id(lm_hpyp.score_texts(spark.createDataFrame(rows + list(zip(ids, asked, strict=True)), "doc_id long, text string")))
+    score = [got[i].score for i in ids]
+    assert score[0] > score[1] + 1 and score[4] > score[5] + 1  # a permutation of the same words
+    assert score[2] > score[3] + 1  # an unknown word that looks like the known ones
+
+
+def test_pairs_across_batches_count_once():
+    import pyarrow as pa
+
+    names = ["context", "word", "block", "n"]
+    rows = [(1, 1, 0, 1), (1, 2, 0, 1), (1, 2, 1, 0), (1, 2, 2, 3), (2, 1, 0, 0), (2, 5, 1, 2), (3, 3, 0, 0), (3, 3, 1, 1)]
+    for size in range(1, len(rows) + 1):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        out = [r for b in lm_hpyp._merged_pairs(iter(batches)) for r in b.to_pylist()]
+        assert [(r["context"], r["word"], r["c"], r["blocks"]) for r in out if r["kind"] == 0] == [(1, 2, 4, [0, 1, 2]), (2, 5, 2, [1]), (3, 3, 1, [0, 1])]
+        assert {r["context"]: r["c"] for r in out if r["kind"] == 1} == {1: 2, 2: 1, 3: 1} and {r["word"]: r["c"] for r in out if r["kind"] == 2} == {1: 1, 2: 1, 5: 1, 3: 1}
+
+
 def test_model_probabilities_sum_to_one(spark):
     table = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in (("aa", 5), ("ab", 3), ("b", 1), ("", 4))], "word binary, c long")
     model = lm_hpyp.fit_words(table)
