@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 # What candidates look like, and words that speak for or against a secret.
 PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{0,10000}?-----END [A-Z ]{0,20}PRIVATE KEY-----"
-RUN = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*+[0-9])[A-Za-z0-9_+/=.\-]{16,}+"
+# '=' only ends a run as padding, so that the value of an assignment or a parameter is a candidate of its own.
+RUN = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/.\-]*+[0-9])[A-Za-z0-9_+/.\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=.\-]))?"
 CANDIDATE = f"{PEM}|{RUN}"
 FOR_WORDS = "token|secret|passw|pwd|apikey|api_key|api key|access_key|access key|private_key|auth|bearer|credential|client_secret|signature|session"
 AGAINST_WORDS = "sha1|sha256|md5|commit|checksum|digest|uuid|revision|hash|version|image|etag|build|order|invoice|phone|card|isbn|file|path|url|http|href|src|mail|@"
@@ -67,8 +68,11 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
     dated = F.concat(F.lit("20"), F.lpad(number("y", 25).cast("string"), 2, "0"), F.lit("-"), F.lpad((number("m", 12) + 1).cast("string"), 2, "0"))
     part = lambda n: F.left(F.col("h"), F.lit(n))
     uuid = F.concat(part(8), F.lit("-"), F.substring("h", 9, 4), F.lit("-4"), F.substring("h", 14, 3), F.lit("-a"), F.substring("h", 18, 3), F.lit("-"), F.substring("h", 21, 12))
-    secret_context, plain = ["token = \"", "secret: '", "api_key=", "password = \"", "Authorization: Bearer ", "client_secret=\"", "access_key: ", "credentials = '"], ["the ", "see ", "of ", "and (", "\n", ". ", ""]
-    against = ["commit ", "sha256:", "md5 = ", "checksum: ", "uuid=", "revision ", "etag: \"", "build-", "image@sha256:"]
+    secret_context, plain = [
+        "token = \"", "secret: '", "api_key=", "password = \"", "Authorization: Bearer ", "client_secret=\"", "access_key: ", "credentials = '", "AWS_ACCESS_KEY_ID=", "export GITHUB_TOKEN=", "\nDB_PASSWORD=",
+        "https://example.com/cb?access_token=", "https://example.com/cb?page=2&auth_token=", "SESSION_SECRET: ",
+    ], ["the ", "see ", "of ", "and (", "\n", ". ", ""]
+    against = ["commit ", "sha256:", "md5 = ", "checksum: ", "uuid=", "revision ", "etag: \"", "build-", "image@sha256:", "COMMIT_SHA=", "\nIMAGE_DIGEST=", "https://example.com/a?version=", "https://example.com/a?page=2&hash=", "md5="]
     kinds = [  # (text, contexts before, label)
         (part(40), secret_context, 1), (part(32), secret_context, 1), (F.left(mixed, F.lit(40)), secret_context, 1), (F.left(mixed, F.lit(24)), secret_context, 1),
         (F.concat(F.lit("AKIA"), F.upper(F.left(mixed, F.lit(16)))), [*plain, *secret_context], 1), (F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), [*plain, *secret_context], 1),
@@ -79,6 +83,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         (F.concat(F.lit("mail"), number("f", 99).cast("string"), F.lit(".example.com")), ["local.92@", "me@", "you.too@"], 0), (F.concat(words("a"), F.lit("_"), words("b"), F.lit("_"), words("c"), F.lit("_v"), number("f", 20).cast("string")), plain, 0),
         (F.left(digits, F.lit(16)), [*plain, "card ", "order "], 0), (F.concat(dated, F.lit("-"), words("a"), F.lit("-"), words("b")), plain, 0), (F.concat(odd, odd, number("f", 9).cast("string")), plain, 0),
         (F.concat(words("a"), words("b"), words("c"), number("f", 2000).cast("string")), [*plain, "id=\"", "name: "], 0), (F.concat(F.lit("1."), number("f", 30).cast("string"), F.lit("."), number("g", 30).cast("string"), F.lit("-beta."), words("a")), ["version ", "v", *plain], 0),
+        (F.upper(F.concat(words("a"), F.lit("_"), pick("name", ["access_token", "secret_key", "api_key", "password"]), F.lit("_"), number("f", 20).cast("string"))), [*plain, "export ", "\nDEBUG=1\n"], 0),
         (F.concat(F.lit("----------"), number("f", 2000).cast("string"), F.lit("----------")), plain, 0), (F.concat(odd, F.lit("."), odd, F.lit("."), number("f", 99).cast("string")), plain, 0),
     ]
     kind = F.col("id") % F.lit(len(kinds))
@@ -91,13 +96,20 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
     return r.select(text.alias("text"), F.concat(lead, before).alias("before"), F.concat(F.when(before.rlike("[\"']$"), F.lit('"')).otherwise(F.lit("")), F.lit(" "), odd).alias("after"), label.cast("double").alias("label"))
 
 
+def labelled_vectors(findings: DataFrame) -> DataFrame:
+    """Vectors and labels of the candidates that a scan of the whole texts finds in the labelled parts."""
+    whole = findings.select(F.concat("before", "text", "after").alias("whole"), F.length("before").alias("a"), F.length(F.concat("before", "text")).alias("b"), "label")
+    found = _with_vectors(whole, "whole").where(F.size("_runs") > 0).select("a", "b", "label", F.explode(F.transform("_vectors", lambda v: F.struct(F.get("_starts", v["k"]).alias("at"), v["run"].alias("run"), v["f"].alias("f")))).alias("x"))
+    return found.where((F.col("x.at") < F.col("b")) & (F.col("x.at") + F.length("x.run") > F.col("a"))).select("x.f.*", "label")
+
+
 def fit_forest(spark: SparkSession, findings: DataFrame | None = None) -> list[tuple]:
     """Trees as nested tuples (feature, threshold, left, right) or a vote. findings: text, before, after, label."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     findings = labelled_findings(spark) if findings is None else findings
-    rows = findings.select(feature_struct(F.col("text"), F.col("before"), F.col("after")).alias("f"), "label").select("f.*", "label").coalesce(4)
+    rows = labelled_vectors(findings).coalesce(4)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     model = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=13, featureSubsetStrategy="onethird", cacheNodeIds=False).fit(data)
     return parse_forest(model.toDebugString)
@@ -152,9 +164,9 @@ def forest_score(vector: Column, trees: list[tuple]) -> Column:
     return total / F.lit(float(max(len(trees), 1)))
 
 
-def with_findings(docs: DataFrame, trees: list[tuple], text: str = "text") -> DataFrame:
-    """Adds _gaps (the text between candidates) and _found: array of (start, n_chars, candidate, score), start from 0 in
-    characters. Texts without a candidate, and null ones, have an empty array."""
+def _with_vectors(docs: DataFrame, text: str) -> DataFrame:
+    """Adds _gaps (the text between candidates), _runs, and where there are any _starts and _vectors. What stands before a
+    candidate includes the candidate before it, which may be the name of a key."""
     t = F.col(text)
     has = t.rlike(CANDIDATE)
     docs = docs.withColumn("_gaps", F.when(has, F.split(t, CANDIDATE, -1)).otherwise(F.array(t)))
@@ -166,11 +178,17 @@ def with_findings(docs: DataFrame, trees: list[tuple], text: str = "text") -> Da
     vectors = F.transform(
         "_runs",
         lambda run, k: F.struct(
-            run.alias("run"), k.alias("k"), feature_struct(run, F.right(F.get("_gaps", k), F.lit(NEIGHBOURS)), F.left(F.get("_gaps", k + F.lit(1)), F.lit(NEIGHBOURS))).alias("f")
+            run.alias("run"), k.alias("k"), feature_struct(run, F.right(F.concat(F.when(k > 0, F.get("_runs", k - F.lit(1))).otherwise(F.lit("")), F.get("_gaps", k)), F.lit(NEIGHBOURS)), F.left(F.get("_gaps", k + F.lit(1)), F.lit(NEIGHBOURS))).alias("f")
         ),
     )
     some = F.size("_runs") > 0
-    docs = docs.withColumn("_starts", F.when(some, lengths)).withColumn("_vectors", F.when(some, vectors))
+    return docs.withColumn("_starts", F.when(some, lengths)).withColumn("_vectors", F.when(some, vectors))
+
+
+def with_findings(docs: DataFrame, trees: list[tuple], text: str = "text") -> DataFrame:
+    """Adds _gaps (the text between candidates) and _found: array of (start, n_chars, candidate, score), start from 0 in
+    characters. Texts without a candidate, and null ones, have an empty array."""
+    docs, some = _with_vectors(docs, text), F.size("_runs") > 0
     found = F.transform(
         "_vectors",
         lambda v: F.struct(F.get("_starts", v["k"]).cast("long").alias("start"), F.length(v["run"]).cast("long").alias("n_chars"), v["run"].alias("candidate"), forest_score(v["f"], trees).alias("score")),
