@@ -166,7 +166,8 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
         slack_of = np.where(one > 0, 1, zero - 1 - 2 * largest * (100 - percent) // (100 + percent))
         small = np.bincount(doc[number <= 1], minlength=len(sizes))
         enough = (small <= slack_of) & (one == 0) & (m > 1)
-        full = (number > 0) & ~(enough[doc] & (number == 1))
+        # an empty segment meets a partner's that has one shingle, which is deleted
+        full = ((number > 0) | (place >= zero[doc])) & ~(enough[doc] & (number == 1))
         out.append(combine(name[full], value[full], number[full].astype(np.uint64)))
         owners.append(doc[full])
         # one-deletions

@@ -162,6 +162,45 @@ def test_allocation_has_enough_segments():
         assert most == 0 or zero + 2 * one > most
 
 
+def _spread(n, parts):
+    return [(n,)] if parts == 1 else [(k, *rest) for k in range(n + 1) for rest in _spread(n - k, parts - 1)]
+
+
+@pytest.mark.parametrize("largest", [7, 10, 13, 17])
+def test_all_layouts_of_small_sets_share_a_signature(monkeypatch, largest):
+    percent, plan = 80, jaccard_join.allocate(largest, 80)
+    zero, one = plan
+    m, least = zero + one, largest * percent // 100
+    monkeypatch.setattr(jaccard_join, "allocate", lambda r, p: plan if r == largest else (0, 0))  # no help from other schemes
+    pool = jaccard_join.mix(np.arange(1, 4000, dtype=np.uint64)) & jaccard_join._MASK
+    with np.errstate(over="ignore"):
+        at = (jaccard_join.mix(jaccard_join.mix(pool) + np.uint64(11)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+    segment = [pool[at == k] for k in range(m)]
+    bands = jaccard_join.bands_up_to(largest, percent)
+    assert any(b * 100 // percent == largest for b in bands) and m < 8
+    pairs = []
+    for common in range(1, largest + 1):
+        for more in range(largest - common + 1):
+            for other in range(more + 1):
+                if common + other < least or 100 * common < percent * (common + more + other) or (more == other == 0):
+                    continue
+                layouts = [(x, y, z) for x in _spread(common, m) for y in _spread(more, m) for z in _spread(other, m)]
+                pairs += random.Random(1).sample(layouts, 6000) if len(layouts) > 6000 else layouts
+    missed = 0
+    for k in range(0, len(pairs), 400):
+        sets = []
+        for x, y, z in pairs[k : k + 400]:
+            sets.append(np.concatenate([segment[s][: x[s] + y[s]] for s in range(m)]))
+            sets.append(np.concatenate([np.concatenate([segment[s][: x[s]], segment[s][100 : 100 + z[s]]]) for s in range(m)]))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        sig, owner = jaccard_join.signatures(np.concatenate(sets), bounds, percent)
+        held = [set() for _ in sets]
+        for v, o in zip(sig.tolist(), owner.tolist(), strict=True):
+            held[o].add(v)
+        missed += sum(not held[i] & held[i + 1] for i in range(0, len(sets), 2))
+    assert pairs and missed == 0
+
+
 def test_bpe_against_library(docs, texts):
     import tiktoken
 
