@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, written
 
 #: Windows whose words one pass over the documents holds in memory (about 100 MB at most of words and places).
 BLOCK_WINDOWS = 200_000
@@ -145,13 +145,16 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str = "
     sc = docs.sparkSession.sparkContext
     frequency = word_frequency(docs, {x for b in blocks for w, _ in b[0] for x in w}) if blocks else {}
     indexes = [(_Index(w, frequency, size), names) for w, names in blocks]
+    docs = docs.withColumn("key", F.lit(0).cast("long"))
+    if len(indexes) > 1:  # rows keep their numbers in all passes, as they are written once
+        docs = written(docs.withColumn("key", F.monotonically_increasing_id()))
     out = None
     for k in range(max(1, len(indexes))):
         shared = sc.broadcast(indexes[k] if indexes else None)
-        part = map_batches(docs, _matcher(shared, size), "id long, n_words long, spans array<long>, items array<string>")
+        part = map_batches(docs, _matcher(shared, size), "key long, id long, n_words long, spans array<long>, items array<string>")
         out = part if out is None else out.unionByName(part)
-    if len(indexes) > 1:  # the passes' spans of a document are joined
-        raise_many = out.groupBy("id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    if len(indexes) > 1:  # the passes' spans of a row are joined
+        raise_many = out.groupBy("key", "id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         out = raise_many
     length = F.expr(
         "aggregate(array_sort(transform(sequence(1, size(spans) div 2), i -> struct(spans[2*i-2] AS a, spans[2*i-1] AS b))), "
@@ -212,7 +215,7 @@ def _matcher(shared, size: int):
                 spans += [s for s, _ in own]
                 items += [sorted({names[i] for i in f}) for _, f in own]
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"]
+                [batch.column("key"), ids.cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["key", "id", "n_words", "spans", "items"]
             )
 
         return step

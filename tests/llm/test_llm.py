@@ -118,6 +118,17 @@ def test_decontamination_against_brute_force(spark, docs, texts):
     assert decontam.decontaminate(docs, bench).columns == docs.columns
 
 
+def test_decontamination_keeps_repeated_and_null_ids_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k}") for k in range(6)], "item_id long, text string")
+    rows = [(1, "x a0 b0 c0 d0"), (1, "x a0 b0 c0 d0"), (1, "x a5 b5 c5 d5"), (None, "y a1 b1 c1 d1"), (None, "y y y y y"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple(map(str, r))
+    whole = sorted(map(key, decontam.find_items(docs, items, 4).collect()))
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 2)
+    assert sorted(map(key, decontam.find_items(docs, items, 4).collect())) == whole
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for d, t in texts.items():
