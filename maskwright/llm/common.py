@@ -157,17 +157,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir; only where that is unset (as in tests) below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    """A new folder's path below spark.checkpoint.dir; where that is unset, on one machine only, below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/maskwright-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, partition_files: int | None = None) -> DataFrame:
     """Cuts the lineage: writes `df` to the shared folder and reads it back."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    (df.coalesce(partition_files) if partition_files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, partition_files)
+
+
+class Scratch:
+    """Tables in the shared folder, which can go before the end of the job."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, partition_files: int | None = None) -> DataFrame:
+        path = shared_dir(self.spark)
+        (df.coalesce(partition_files) if partition_files else df).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table that written() returned and that nothing reads any more."""
+        path = self.paths.pop(id(df))[0]
+        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm, True)
+
+
+#: Bits of the table that narrowed() broadcasts: 2 MB, whatever the number of keys.
+NARROW_BITS = 1 << 24
+
+
+def narrowed(df: DataFrame, key: Column, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of `df` whose key (a 64-bit hash) may be in `wanted.key`, and none that is; or else the others.
+
+    A bit for each of NARROW_BITS slots of hashes tells whether a wanted key is in it. The bits are a broadcast table of at
+    most NARROW_BITS / 64 rows. With more keys than bits all rows may be wanted, and nothing is narrowed but all is right.
+    """
+    slot = lambda h: h.bitwiseAND(F.lit(NARROW_BITS - 1))
+    words = wanted.select(F.shiftright(slot(F.col("key")), 6).alias("_word"), F.expr(f"shiftleft(1L, cast((key & {NARROW_BITS - 1}) & 63 AS INT))").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    names = [c for c in df.columns]
+    marked = df.withColumn("_slot", slot(key)).withColumn("_at", F.shiftright("_slot", 6)).join(F.broadcast(words), F.col("_at") == F.col("_word"), "inner" if inside else "left")
+    hit = F.expr("(shiftrightunsigned(coalesce(_bits, 0L), cast(_slot & 63 AS INT)) & 1L) = 1")
+    return marked.where(hit if inside else ~hit).select(*names)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:

@@ -1,22 +1,26 @@
 """Exact Jaccard self-join of word-shingle sets by partitioning the universe (pigeonhole) with one-deletion segments.
 
 Sets are put in size bands, each as wide as the threshold lets linked sizes differ, so that linked sets are in the same
-or in neighbouring bands. The scheme of band i serves the pairs inside band i and those between bands i-1 and i. Linked
-sets of a scheme whose largest size is r differ in at most H = floor(2 r (1-t) / (1+t)) shingles. The scheme hashes the
-universe of shingles into segments: `zero` segments that must be equal and `one` segments that may differ by one
-shingle. If zero + 2 one > H, two linked sets agree in some segment in that sense, which an equi-join of segment hashes
-(and of hashes after each one-deletion) finds. `allocate` picks zero and one for each scheme by a cost model: number of
-signatures against expected false candidates. Schemes with more than one segment have slack: linked sets agree in more
-segments than one. A set whose segments of one shingle or none are no more than the slack needs no signatures for these
-(which common passages would make frequent); others have one for each segment of one, and for pairs of empty ones.
-
-Exact copies are one class (their sets' 128-bit fingerprints agree) and join once. In a bucket of equal signatures the
-class with most bucket mates is the centre; the others are verified against it, and linked ones share a component. Only
-buckets that still hold several components go on: blocks of at most BLOCK mates are compared by sketches, one byte for
-each of many segments of the universe. Segments that differ bound the differing shingles from below, so that pairs with
-more than the allowed differences are ruled out without reading their sets. Of the rest first the pairs of a spanning
-forest over components are verified, then all that are still between components: every pair of a bucket is verified,
-ruled out or already connected. Verification counts the common shingles of the whole sets.
+or in neighbouring bands. The scheme of band i serves the pairs inside band i and those between bands i-1 and i. It hashes
+the universe of shingles into segments: `zero` segments that must be equal and `one` segments that may differ by one
+shingle. A set that differs from its partners in at most H shingles emits signatures of
+
+* each one-deletion segment: its hash and the hashes after each deletion of one shingle;
+* its H - 2 one + 1 largest `zero` segments, in an order that only their contents fix.
+
+If no one-deletion segment of a linked pair agrees within a deletion, these use up 2 one differences, so that of the `zero`
+segments all but H - 2 one are equal, and the first of the equal ones in the order of contents is among those that either
+set emits. So linked sets share a signature, and segments of few shingles, which common passages make frequent, are left
+out. `allocate` picks zero and one for each scheme by a cost model: signatures against expected false candidates.
+
+Exact copies are one class (their sets' 128-bit fingerprints agree) and join once. Signatures travel packed, many to a row,
+by hash ranges; a task keeps those that several classes have. In such a bucket the class with the smallest fingerprint is
+the centre; the others are paired with it, and linked ones share a component. Only buckets that then still hold several
+components go on: their mates are compared in blocks of BLOCK. Pairs are first compared by odd sketches, the parities of
+the numbers of shingles in 1 to 2 cells a shingle: two sets differ in at least as many shingles as parities. Of the pairs
+of a bucket first those of a spanning forest over components are verified, then all that are still between components:
+every pair of a bucket is verified, ruled out or already connected. Verification counts the common shingles of the whole
+sets. Classes are told apart by 128 bits, classes in signatures and links by 64.
 """
 
 from __future__ import annotations
@@ -26,20 +30,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, combine, find_words, hash_words, map_batches, mix, signed, text_blocks, written
+from .common import Block, Scratch, combine, find_words, hash_words, map_batches, mix, narrowed, shuffle_partitions, signed, text_blocks
 
 #: Bucket mates that are compared at once.
 BLOCK = 256
+#: Signatures that a task holds before it hands them on, and that a range's task holds before it hands on full buckets.
+HELD = 4_000_000
 
 _HASH_BITS = 52
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 #: The cost model's size of the corpus, and the share of two sets' shingles that agree by chance.
 COST_SETS, COST_CHANCE = 1e9, 0.003
-#: Sets above this size have segments of one kind.
-MOST_MIXED = 100
+#: One-deletion segments that the cost model tries at most; shares of `zero` segments that aren't emitted.
+MOST_ONE, SPARE = 8, (1.0, 1.1, 1.25, 1.4, 1.6, 2.0, 2.5, 3.0, 4.0)
+#: An odd sketch has 2**6 to 2**15 cells; larger sets share cells, which rules out fewer pairs.
+SKETCH_BITS = (6, 15)
 
 
 def shingle_sets(block: Block, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,56 +104,65 @@ def bands_up_to(size: int, percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-@lru_cache(maxsize=4096)
-def spare(largest: int, most: int) -> int:
-    """Segments beyond those that a scheme without one-deletions needs: about as many as have one shingle or none."""
-    mean, k = largest / (most + 2), 1
-    for _ in range(8):
-        mean = largest / (most + 1 + k)
-        small = (most + 1 + k) * math.exp(-mean) * (1 + mean)
-        k = max(1, math.ceil(small + math.sqrt(small)))
-    return min(k, most + 1)
+def most_different(total, percent: int):
+    """In how many shingles linked sets of `total` shingles together differ at most."""
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
 @lru_cache(maxsize=4096)
 def allocate(largest: int, percent: int) -> tuple[int, int]:
-    """(zero, one): how many segments may differ by none and by one, cheapest for sets of up to `largest` shingles."""
-    most = 2 * largest * (100 - percent) // (100 + percent)
-    if most == 0:
-        return 0, 0  # linked sets are equal
+    """(zero, one): numbers of segments of the two kinds, cheapest for sets of up to `largest` shingles; (0, 0) where linked
+    sets are equal."""
+    most = max(most_different(2 * largest, percent), most_different(2 * largest - 1, percent))
+    if most <= 0:
+        return 0, 0
     best = (math.inf, 0, 0)
-    for one in range(0, most // 2 + 2):
-        if one and one > 8 and one <= most // 2:  # beyond some, only all segments of this kind
-            continue
-        need = most + 1 if one * 2 > most and one == 1 else most + (3 if one else 1 + spare(largest, most))
-        zero = max(0, need - 2 * one)
-        if one and zero > 1 and largest > MOST_MIXED:
-            continue
-        if one == 0 or zero or one * 2 >= need:
-            size = largest / (zero + one)
-            cost = zero + one * (size + 1) + COST_SETS * (zero * COST_CHANCE**size + one * (size + 1) * COST_CHANCE ** max(0, size - 1))
-            best = min(best, (cost, zero, one))
+    for one in range(min(MOST_ONE, most // 2 + 1) + 1):
+        emitted = max(0, most - 2 * one + 1)
+        for zero in sorted({math.ceil(emitted * x) for x in SPARE}):
+            sizes = _sizes(largest / (zero + one), zero + one)
+            left, false = emitted, 0.0
+            for s, p in reversed(sizes):  # the largest are emitted
+                use = min(left, zero * p)
+                left, false = left - use, false + use * COST_CHANCE**s
+            false += max(0.0, left) + one * sum(p * (s + 1) * COST_CHANCE ** max(0, s - 1) for s, p in sizes)
+            best = min(best, (emitted + one * (largest / (zero + one) + 1) + COST_SETS * false, zero, one))
     return best[1], best[2]
 
 
+def _sizes(mean: float, segments: int) -> list[tuple[int, float]]:
+    """Probabilities of a segment's sizes."""
+    if segments == 1:
+        return [(int(mean), 1.0)]
+    out, p, s = [], math.exp(-mean), 0
+    while s < mean + 10 * math.sqrt(mean) + 20:
+        out.append((s, p))
+        s += 1
+        p *= mean / s
+    return out
+
+
 def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets of a block, and the sets' places."""
     sizes = np.diff(bounds)
-    out, owners = [], []
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not len(sets):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     bands = np.array(bands_up_to(int(sizes.max()), percent))
+    firsts = np.append(bands, bands[-1] * 100 // percent + 1)
     band = band_of(sizes, bands)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    mixed = mix(sets)
+    owner, mixed = np.repeat(np.arange(len(sizes)), sizes), mix(sets)
+    out, owners = [], []
     for step in (0, 1):
         scheme = band + step
-        firsts = np.append(bands, bands[-1] * 100 // percent + 1)
-        largest = firsts[np.minimum(scheme, len(firsts) - 1)] * 100 // percent
-        plan = {s: allocate(int(r), percent) for s, r in set(zip(scheme[sizes > 0].tolist(), largest[sizes > 0].tolist(), strict=True))}
-        zero = np.array([plan.get(s, (0, 0))[0] for s in scheme.tolist()], np.int64)
-        one = np.array([plan.get(s, (0, 0))[1] for s in scheme.tolist()], np.int64)
-        m = np.where(sizes > 0, zero + one, 0)
+        first = firsts[np.minimum(scheme, len(firsts) - 1)]
+        largest = first * 100 // percent
+        partner = np.minimum(largest, sizes * 100 // percent)
+        most = np.maximum(most_different(sizes + partner, percent), most_different(sizes + partner - 1, percent))
+        live = (sizes > 0) & (most > 0) & ((partner >= first) | (step == 0))
+        plan = {s: allocate(int(r), percent) for s, r in set(zip(scheme[live].tolist(), largest[live].tolist(), strict=True))}
+        zero, one = (np.array([plan.get(s, (0, 0))[k] for s in scheme.tolist()], np.int64) * live for k in (0, 1))
+        m = zero + one
         base = np.concatenate([[0], np.cumsum(m)])
         keep = m[owner] > 0
         x, own = mixed[keep], owner[keep]
@@ -153,107 +170,194 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
             continue
         with np.errstate(over="ignore"):
             at = ((mix(x + np.uint64(11)) >> np.uint64(32)) * m[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        seg = base[own] + at
-        total = int(base[-1])
+        seg, total = base[own] + at, int(base[-1])
         number = np.bincount(seg, minlength=total)
         low = np.bincount(seg, (x & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
         high = np.bincount(seg, (x >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            value = low + (high << np.uint64(32))
         doc = np.repeat(np.arange(len(sizes)), m)
         place = np.arange(total) - base[doc]
         name = scheme[doc].astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
-        slack_of = np.where(one > 0, 1, zero - 1 - 2 * largest * (100 - percent) // (100 + percent))
-        small = np.bincount(doc[number <= 1], minlength=len(sizes))
-        enough = (small <= slack_of) & (one == 0) & (m > 1)
-        # an empty segment meets a partner's that has one shingle, which is deleted
-        full = ((number > 0) | (place >= zero[doc])) & ~(enough[doc] & (number == 1))
-        out.append(combine(name[full], value[full], number[full].astype(np.uint64)))
-        owners.append(doc[full])
-        # one-deletions
-        slack = place[seg - 0] >= zero[own]
-        if slack.any():
-            s = seg[slack]
+        with np.errstate(over="ignore"):
+            value = low + (high << np.uint64(32))
+        full = combine(name, value, number.astype(np.uint64))
+        exact = place < zero[doc]
+        # of the segments that must be equal the largest, of equal sizes those with the smallest hashes
+        z = np.flatnonzero(exact)
+        key = doc[z].astype(np.uint64) << np.uint64(51) | (np.uint64(2047) - np.minimum(number[z], 2047).astype(np.uint64)) << np.uint64(40) | full[z] >> np.uint64(24)
+        z = z[np.argsort(key, kind="stable")]
+        rank = np.arange(len(z)) - np.concatenate([[0], np.cumsum(zero)])[doc[z]]
+        z = z[rank < (most - 2 * one + 1)[doc[z]]]
+        out.append(full[z])
+        owners.append(doc[z])
+        o = np.flatnonzero(~exact)
+        if len(o):
+            out.append(full[o])
+            owners.append(doc[o])
+            cut = ~exact[seg]
+            s = seg[cut]
             with np.errstate(over="ignore"):
-                out.append(combine(name[s], value[s] - x[slack], (number[s] - 1).astype(np.uint64)))
-            owners.append(own[slack])
-        # pairs of empty segments; a scheme of one segment has none that is empty
-        empty = np.flatnonzero((number == 0) & ~enough[doc])
-        if len(empty):
-            for d, n in zip(*np.unique(doc[empty], return_counts=True), strict=True):
-                e = place[empty[doc[empty] == d]].astype(np.uint64)
-                if n > 1:
-                    i, j = np.triu_indices(n, 1)
-                    out.append(combine(np.full(len(i), scheme[d], np.uint64), e[i], e[j], np.full(len(i), 77, np.uint64)))
-                    owners.append(np.full(len(i), d))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(owners)
+                out.append(combine(name[s], value[s] - x[cut], (number[s] - 1).astype(np.uint64)))
+            owners.append(own[cut])
+    return (np.concatenate(out), np.concatenate(owners)) if out else none
+
+
+def odd_sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set the parities of the numbers of its shingles in cells, as bits: a power of two of 1 to 2 cells a shingle."""
+    sizes = np.diff(bounds)
+    bits = np.clip(np.ceil(np.log2(np.maximum(sizes, 1))), *SKETCH_BITS).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(1 << bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    with np.errstate(over="ignore"):
+        cell = (mix(mix(sets) + np.uint64(23)) & ((np.uint64(1) << bits[owner].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    raw = np.packbits((np.bincount(base[owner] + cell, minlength=int(base[-1])) & 1).astype(bool)).tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with so many words; the cells of a smaller sketch are unions of a larger one's."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, words), axis=1)
 
 
 def _classes_of(shingle: int):
     def make():
         def step(batch):
-            ids = batch.column("id")
             for block in text_blocks(batch.column("text")):
                 sets, bounds = shingle_sets(block, shingle)
                 a, b = fingerprints(sets, bounds)
-                yield pa.RecordBatch.from_arrays([ids.slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(signed(a)), pa.array(signed(b))], ["id", "n", "fp", "fp2"])
+                own = [batch.column(k).slice(block.first, len(block)) for k in ("id", "hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(bounds)), pa.array(signed(a)), pa.array(signed(b)), pa.array(odd_sketches(sets, bounds), pa.binary())], ["id", "hash", "n", "fp", "fp2", "sketch"])
 
         return step
 
     return make
 
 
-def _signatures_of(shingle: int, percent: int):
-    def make():
-        def step(batch):
+def _packed_signatures(shingle: int, percent: int, ranges: int):
+    """Rows of signatures of one range, sorted: their low 40 bits as 5 planes of bytes, the places of their classes in a list
+    of fingerprints, and that list."""
+
+    def pack(sig, fp):
+        order = np.argsort(sig)
+        sig, fp = sig[order], fp[order]
+        cut = np.searchsorted(_range_of(sig, ranges), np.arange(ranges + 1))
+        rows = []
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            s = sig[cut[r] : cut[r + 1]]
+            own, place = np.unique(fp[cut[r] : cut[r + 1]], return_inverse=True)
+            planes = np.ascontiguousarray((s << np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
+            rows.append((r, planes.tobytes(), place.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes(), own.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "sigs", "places", "fps"])
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
             for block in text_blocks(batch.column("text")):
                 sets, bounds = shingle_sets(block, shingle)
                 fp, _ = fingerprints(sets, bounds)
-                _, first = np.unique(fp, return_index=True)
                 once = np.zeros(len(block), bool)
-                once[first] = True
+                once[np.unique(fp, return_index=True)[1]] = True
                 sig, owner = signatures(sets, bounds, percent)
                 keep = once[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep])), pa.array(signed(fp[owner[keep]]))], ["sig", "fp"])
+                held.append((sig[keep], fp[owner[keep]]))
+                count += int(keep.sum())
+                if count >= HELD:
+                    yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, count = [], 0
+        if count:
+            yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _range_of(sig: np.ndarray, ranges: int) -> np.ndarray:
+    return ((sig >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+
+
+def _buckets(batches):
+    """From packed signatures the buckets of several classes: sig (a name made of the classes), fp and the centre's fp."""
+    held, count, centres = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    for batch in batches:
+        for r, sigs, places, fps in zip(*(batch.column(k).to_pylist() for k in ("range", "sigs", "places", "fps")), strict=True):
+            own = np.frombuffer(fps, np.uint64)
+            n = len(sigs) // 5
+            place = np.frombuffer(places, np.uint16 if len(places) == 2 * n else np.uint32)
+            raw = np.zeros((n, 8), np.uint8)
+            raw[:, 3:] = np.frombuffer(sigs, np.uint8).reshape(5, n).T
+            held.append((raw.view(">u8").ravel().astype(np.uint64) | np.uint64(r) << np.uint64(40), own[place]))
+            count += n
+            if count >= HELD:
+                # buckets that are full go on; of each signature one class stays, which is the centre from now on
+                out, centres = _full_buckets(held, centres, True)
+                held, count = [], 0
+                yield out
+    yield _full_buckets(held, centres, False)[0]
+
+
+def _full_buckets(held, centres, more: bool):
+    sig, fp = (np.concatenate([x, *y]) for x, y in zip(centres, zip(*held, strict=True) if held else ((), ()), strict=True))
+    old = np.arange(len(sig)) < len(centres[0])
+    order = np.lexsort((fp, ~old, sig))
+    sig, fp, old = sig[order], fp[order], old[order]
+    same = np.concatenate([[False], sig[1:] == sig[:-1]])
+    centre = fp[np.maximum.accumulate(np.where(same, 0, np.arange(len(sig))))]
+    keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])]) & (~same | (fp != centre))
+    sig, fp, centre, old = sig[keep], fp[keep], centre[keep], old[keep]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.append(starts, len(sig)))
+    several = np.repeat(size > 1, size)
+    out_sig, out_fp, out_centre = sig[several], fp[several], centre[several]
+    if len(out_sig) and not more and not len(centres[0]):
+        # whole buckets: those with the same classes become one
+        name = np.add.reduceat(mix(out_fp), np.concatenate([[0], np.cumsum(size[size > 1])[:-1]]))
+        out_sig = np.repeat(combine(name, size[size > 1].astype(np.uint64)), size[size > 1])
+        first = np.unique(out_sig, return_index=True)[1]
+        whole = np.zeros(len(out_sig), bool)
+        whole[first] = True
+        begin = np.concatenate([[0], np.cumsum(size[size > 1])[:-1]])
+        whole = np.repeat(whole[begin], size[size > 1])
+        out_sig, out_fp, out_centre = out_sig[whole], out_fp[whole], out_centre[whole]
+    batch = pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (out_sig, out_fp, out_centre)], ["sig", "fp", "centre"])
+    return batch, (sig[starts], fp[starts])
+
+
+def _sets_of(shingle: int):
+    """fp and whole set (6 bytes of each hash) of those rows whose set has the fingerprint that is wanted of them."""
+
+    def make():
+        def step(batch):
+            wanted = batch.column("fp").to_numpy().view(np.uint64)
+            for block in text_blocks(batch.column("text")):
+                sets, bounds = shingle_sets(block, shingle)
+                fp, _ = fingerprints(sets, bounds)
+                raw = np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                own = np.flatnonzero(fp == wanted[block.first : block.first + len(block)])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(fp[own])), pa.array([raw[6 * bounds[i] : 6 * bounds[i + 1]] for i in own.tolist()], pa.binary())], ["fp", "shingles"])
 
         return step
 
     return make
 
 
-def sketches(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Bands of a block's sets, and for the band's scheme and the next one a byte for each segment of each set."""
-    sizes = np.diff(bounds)
-    if not len(sets):
-        return np.zeros(len(sizes), np.int64), [[b""] * len(sizes)] * 2
-    bands = np.array(bands_up_to(int(sizes.max()), percent))
-    firsts = np.append(bands, bands[-1] * 100 // percent + 1)
-    band = band_of(sizes, bands)
-    owner, x, out = np.repeat(np.arange(len(sizes)), sizes), mix(sets), []
-    for step in (0, 1):
-        m = np.maximum(16, firsts[np.minimum(band + step, len(firsts) - 1)] * 100 // percent // 2)
-        base = np.concatenate([[0], np.cumsum(m)])
-        with np.errstate(over="ignore"):
-            seg = base[owner] + ((mix(x + np.uint64(23)) >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        low = np.bincount(seg, (x & np.uint64(0xFFFFFFFF)).astype(np.float64), int(base[-1])).astype(np.uint64)
-        raw = (mix(low) >> np.uint64(40)).astype(np.uint8)
-        out.append([raw[a:b].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)])
-    return band, out
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return np.sort(out.view("<u8").ravel())
+
+
+def _near(percent: int, na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two tables of sketches may be linked."""
+    words = min(a.shape[1], b.shape[1])
+    differ = np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum(axis=1)
+    return (differ <= most_different(na + nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
-def _sets_of(shingle: int, percent: int):
+def _sketches_near(percent: int):
     def make():
         def step(batch):
-            ids = batch.column("rep")
-            for block in text_blocks(batch.column("text")):
-                sets, bounds = shingle_sets(block, shingle)
-                raw = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                band, (now, following) = sketches(sets, bounds, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(block.first, len(block)), pa.array(raw, pa.binary()), pa.array(band), pa.array(now, pa.binary()), pa.array(following, pa.binary())], ["rep", "shingles", "band", "s0", "s1"]
-                )
+            na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
+            x, y = (batch.column(k).to_pylist() for k in ("xa", "xb"))
+            ok = [bool(_near(percent, na[i : i + 1], nb[i : i + 1], np.frombuffer(x[i], np.uint64)[None], np.frombuffer(y[i], np.uint64)[None])[0]) for i in range(len(x))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return step
 
@@ -265,28 +369,27 @@ def _near_pairs(percent: int, forest: bool):
     `forest` only as many as connect the group's components."""
 
     def compare(rows: dict[str, list], out: list[tuple[int, int]]) -> None:
-        band, n, rep, label, part = (np.array(rows[k]) for k in ("band", "n", "rep", "label", "part"))
+        n, fp, label, part = (np.array(rows[k]) for k in ("n", "fp", "label", "part"))
+        width = np.array([len(x) // 8 for x in rows["sketch"]])
         crossing = rows["lo"][0] != rows["hi"][0]
+        kinds = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+        tables = {w: np.frombuffer(b"".join(rows["sketch"][i] for i in at), np.uint64).reshape(len(at), w) for w, at in kinds.items()}
         found = []
-        for b in np.unique(band).tolist():
-            left = np.flatnonzero(band == b)
-            first = np.frombuffer(b"".join(rows["s0"][i] for i in left), np.uint8).reshape(len(left), -1)
-            for right, step in ((left, 0), (np.flatnonzero(band == b + 1), 1)):
-                if not len(right) or (step == 0 and len(left) < 2):
+        for v, left in kinds.items():
+            for w, right in kinds.items():
+                if w < v:
                     continue
-                x = first if step == 0 else np.frombuffer(b"".join(rows["s1"][i] for i in left), np.uint8).reshape(len(left), -1)
-                y = first if step == 0 else np.frombuffer(b"".join(rows["s0"][i] for i in right), np.uint8).reshape(len(right), -1)
-                for i in range(len(left)):
-                    js = np.arange(i + 1, len(right)) if step == 0 else np.arange(len(right))
+                x, y = tables[v], _folded(tables[w], v)
+                for i, own in enumerate(left.tolist()):
+                    js = np.arange(i + 1 if v == w else 0, len(right))
                     o = right[js]
-                    ok = (label[o] != label[left[i]]) & (100 * np.minimum(n[o], n[left[i]]) >= percent * np.maximum(n[o], n[left[i]]))
+                    ok = label[o] != label[own]
                     if crossing:
-                        ok &= part[o] != part[left[i]]
+                        ok &= part[o] != part[own]
                     js, o = js[ok], o[ok]
                     if len(js):
-                        differ = np.count_nonzero(y[js] != x[i], axis=1)
-                        near = differ <= (n[o] + n[left[i]]) * (100 - percent) // (100 + percent)
-                        found += [(d, rep[left[i]], rep[k], label[left[i]], label[k]) for d, k in zip(differ[near].tolist(), o[near].tolist(), strict=True)]
+                        near = _near(percent, n[o], np.full(len(o), n[own]), y[js], np.repeat(x[i : i + 1], len(js), axis=0))
+                        found += [(abs(int(n[k]) - int(n[own])), fp[own], fp[k], label[own], label[k]) for k in o[near].tolist()]
         if forest:
             found.sort()
             root = {}
@@ -307,7 +410,7 @@ def _near_pairs(percent: int, forest: bool):
         out += [(int(min(f[1], f[2])), int(max(f[1], f[2]))) for f in found]
 
     def run(batches):
-        names = ("rep", "n", "label", "part", "lo", "hi", "band", "s0", "s1")
+        names = ("fp", "n", "label", "part", "lo", "hi", "sketch")
         held, key = None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
@@ -346,8 +449,8 @@ def _overlaps(percent: int):
             for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 raw = a.as_py()
                 if held.get("raw") != raw:
-                    held = {"raw": raw, "set": np.frombuffer(raw, np.uint64)}
-                x, y = held["set"], np.frombuffer(b.as_py(), np.uint64)
+                    held = {"raw": raw, "set": _unpacked(raw)}
+                x, y = held["set"], _unpacked(b.as_py())
                 at = np.searchsorted(x, y)
                 common = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)) if len(x) else 0
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -358,24 +461,15 @@ def _overlaps(percent: int):
     return make
 
 
-def _sketches_near():
-    def step(batch):
-        ok = [
-            int(np.count_nonzero(np.frombuffer(x.as_py(), np.uint8) != np.frombuffer(y.as_py(), np.uint8))) <= most
-            for x, y, most in zip(batch.column("x"), batch.column("y"), batch.column("most").to_pylist(), strict=True)
-        ]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return step
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label): the smallest node that the edges (a, b) reach, for each node that has an edge.
 
-    Each round hooks both ends' labels on the smaller one and then jumps to the label's label; the lineage is cut by a table.
+    Each round hooks both ends' labels on the smaller one and then jumps to the label's label; the lineage is cut by a table,
+    and the tables of the round before go.
     """
-    edges = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = scratch.written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = last = scratch.written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
     if edges.isEmpty():
         return labels
     while True:
@@ -385,85 +479,103 @@ def components(edges: DataFrame) -> DataFrame:
         roots = hooked.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("to"))
         moved = hooked.join(roots, hooked.label == roots.root, "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("to", "new")).alias("label"))
         jump = moved.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        after = written(moved.join(jump, moved.label == jump.via, "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        after = scratch.written(moved.join(jump, moved.label == jump.via, "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         labels = after.select("node", "label")
+        scratch.drop(last)
+        last = after
         if after.where("old <> label").isEmpty():
+            scratch.drop(edges)
             return labels
 
 
+def _linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """id, hash, n and component_id of each row of docs (id, text, hash of the text)."""
+    scratch = Scratch(docs.sparkSession)
+    members = scratch.written(map_batches(docs, _classes_of(shingle), "id long, hash long, n long, fp long, fp2 long, sketch binary"))
+    # a class is represented by a row that has its smallest id; rows without one come last
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("rep")
+    classes = scratch.written(members.where("n > 0").groupBy("fp", "fp2", "n").agg(rep, F.first("sketch").alias("sketch")).select("fp", "fp2", "n", F.col("rep.id").alias("rep"), F.col("rep.hash").alias("hash"), "sketch"))
+
+    ranges = shuffle_partitions(docs.sparkSession)
+    packed = docs.select("text").mapInArrow(_packed_signatures(shingle, percent, ranges), "range int, sigs binary, places binary, fps binary")
+    found = packed.repartitionById(ranges, F.col("range")).mapInArrow(_buckets, "sig long, fp long, centre long")
+    mates = scratch.written(found.dropDuplicates(["sig", "fp"]))
+    comp = _join_mates(docs, mates, classes, scratch, shingle, percent)
+    labelled = classes.join(comp, "fp", "left").select("fp", "fp2", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    return members.select("id", "hash", "n", "fp", "fp2").join(labelled, ["fp", "fp2", "n"], "left").select("id", "hash", "n", F.coalesce("component_id", "id").alias("component_id"))
+
+
 def link_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id") -> DataFrame:
     """For each document the number of its shingles and the smallest id among those it is linked with, by any number of links.
 
     docs: id_col (integer) and text; other columns are ignored. Null and empty texts, and those without words, have no
-    shingles and are linked with nothing. Rows with the same id are documents of their own with equal ids. Returns
-    id_col, n_shingles, component_id.
+    shingles and are linked with nothing. Rows with the same id are documents of their own with equal ids; a component of
+    rows without ids has none. Returns id_col, n_shingles, component_id.
     """
+    return _linked(_keyed(docs, id_col), shingle, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"), _text_hash().alias("hash"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _join_mates(docs: DataFrame, mates: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """fp and component_id of the classes that are linked with another."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    members = written(map_batches(docs, _classes_of(shingle), "id long, n long, fp long, fp2 long"))
-    classes = written(members.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("id").alias("rep")))
-
-    found = map_batches(docs, _signatures_of(shingle, percent), "sig long, fp long")
-    by_sig = Window.partitionBy("sig")
-    shared = found.withColumn("lo", F.min("fp").over(by_sig)).withColumn("hi", F.max("fp").over(by_sig)).where("lo <> hi").select("sig", "fp").distinct()
-    # buckets with the same classes become one: their name is made of sums of 40-bit hashes over their classes
-    name = lambda salt: F.sum(F.xxhash64("fp", F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))).over(by_sig)
-    buckets = shared.withColumn("h1", name(1)).withColumn("h2", name(2)).select(F.xxhash64("h1", "h2").alias("sig"), "fp").distinct()
-    mates = written(buckets.join(classes.select("fp", "rep", "n"), "fp").select("sig", "rep", "n"))
-    labels = None
-    if not mates.isEmpty():
-        labels = _join_mates(docs, mates, shingle, percent)
-    out = members.join(classes, ["fp", "fp2", "n"], "left")
-    if labels is not None:
-        out = out.join(labels, out.rep == labels.node, "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"))
-
-
-def _join_mates(docs: DataFrame, mates: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Labels of the classes that are linked with another."""
-    size = mates.groupBy("sig").agg(F.count("*").alias("k"))
-    degree = mates.join(size, "sig").groupBy("rep").agg(F.sum("k").alias("degree"))
-    mates = written(mates.join(degree, "rep"))
-    involved = mates.select("rep").distinct()
-    texts = docs.join(involved, docs.id == involved.rep, "left_semi").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
-    sets = written(map_batches(texts, _sets_of(shingle, percent), "rep long, shingles binary, band long, s0 binary, s1 binary"))
-    left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return written(map_batches(pairs.join(right, "b").join(left, "a"), _overlaps(percent), "a long, b long, linked boolean"))
-
-    def not_ruled_out(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sketches differ in no more segments than linked sets may."""
-        side = lambda x: sets.select(F.col("rep").alias(x), F.col("band").alias(f"band_{x}"), F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"), (F.length("shingles") / 8).cast("long").alias(f"n_{x}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").where("abs(band_a - band_b) <= 1")
-        ready = both.select(
-            "a", "b", (F.expr("n_a + n_b") * (100 - percent) / (100 + percent)).cast("long").alias("most"), F.expr("CASE WHEN band_a < band_b THEN s1_a ELSE s0_a END").alias("x"),
-            F.expr("CASE WHEN band_b < band_a THEN s1_b ELSE s0_b END").alias("y"),
-        )
-        return written(map_batches(ready, _sketches_near, "a long, b long"))
-
-    centre = mates.groupBy("sig").agg(F.max(F.struct("degree", F.col("rep").alias("c"), F.col("n").alias("cn"))).alias("m")).select("sig", "m.c", "m.cn")
-    stars = mates.join(centre, "sig").where(f"rep <> c AND 100 * least(n, cn) >= {percent} * greatest(n, cn)")
-    done = verified(not_ruled_out(stars.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()))
-    labels = components(done.where("linked"))
+    nodes = scratch.written(classes.join(mates.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "rep", "hash", "sketch"))
+    done = spark.createDataFrame([], "a long, b long, linked boolean")
+    sets = spark.createDataFrame([], "fp long, shingles binary")
+    labels = spark.createDataFrame([], "node long, label long")
+
+    def side(x: str) -> DataFrame:
+        return nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
+
+    def checked(pairs: DataFrame) -> bool:
+        """Verifies pairs (a, b), and renews sets, done and labels; false if there is none."""
+        nonlocal sets, done, labels
+        if pairs.isEmpty():
+            return False
+        own = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        wanted = scratch.written(nodes.join(own, "fp").join(sets.select("fp"), "fp", "left_anti").select("fp", F.col("rep").alias("id"), "hash"))
+        texts = narrowed(docs, F.xxhash64("id", "hash"), wanted.select(F.xxhash64("id", "hash").alias("key"))).alias("d")
+        held = texts.join(wanted.alias("w"), F.expr("d.id <=> w.id AND d.hash = w.hash")).select("w.fp", "d.text")
+        sets = sets.unionByName(scratch.written(map_batches(held, _sets_of(shingle), "fp long, shingles binary").dropDuplicates(["fp"])))
+        left, right = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
+        done = done.unionByName(scratch.written(map_batches(pairs.join(right, "b").join(left, "a"), _overlaps(percent), "a long, b long, linked boolean")))
+        labels = components(done.where("linked"), scratch)
+        return True
+
+    stars = mates.where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
+    pairs = scratch.written(map_batches(stars.join(side("b"), "b").join(side("a"), "a"), _sketches_near(percent), "a long, b long"))
+    checked(pairs)
+    # a bucket of two classes has no pair but that with its centre
+    larger = mates.groupBy("sig").agg(F.count("*").alias("k")).where("k > 2")
+    several = mates.join(larger, "sig").select("sig", "fp")
     for forest in (True, False):
-        now = mates.join(labels, mates.rep == labels.node, "left").withColumn("label", F.coalesce("label", "rep")).select("sig", "rep", "n", "label")
-        several = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", "k")
-        numbered = now.join(several, "sig").withColumn("part", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("rep")) - 1) / BLOCK))
-        dealt = numbered.select("sig", "rep", "n", "label", "part", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / BLOCK))).alias("other"))
-        dealt = dealt.select("sig", "rep", "n", "label", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).join(sets.select("rep", "band", "s0", "s1"), "rep")
-        dealt = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "part", "rep")
-        pairs = dealt.mapInArrow(_near_pairs(percent, forest), "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = verified(pairs)
-        done = done.unionByName(new)
-        labels = components(done.where("linked"))
-    return labels
+        now = several.join(labels, several.fp == labels.node, "left").select("sig", "fp", F.coalesce("label", "fp").alias("label"))
+        open_ = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", F.ceil(F.col("k") / BLOCK).alias("parts"))
+        dealt = now.join(open_, "sig").withColumn("part", F.pmod(F.xxhash64("fp", "sig"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("sig", "fp", "label", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).join(nodes.select("fp", "n", "sketch"), "fp")
+        dealt = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "part", "fp")
+        new = dealt.mapInArrow(_near_pairs(percent, forest), "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+        if not checked(scratch.written(new)):
+            break
+    ids = labels.join(nodes.select(F.col("fp").alias("node"), "rep"), "node")
+    least = ids.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return ids.join(least, "label").select(F.col("node").alias("fp"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; of rows with equal ids all stay. Documents
-    with a null doc_id stay. The columns stay."""
-    gone = link_components(docs.where("doc_id IS NOT NULL"), shingle, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component stays, the one with the smallest doc_id; rows that share this id and its component all
+    stay. Documents with a null doc_id stay. The columns stay."""
+    keyed = docs.where("doc_id IS NOT NULL")
+    gone = Scratch(docs.sparkSession).written(_linked(_keyed(keyed, "doc_id"), shingle, percent).where("component_id <> id").select("id", "hash").distinct())
+    key = F.xxhash64(F.col("doc_id").cast("long"), _text_hash())
+    wanted = gone.select(F.xxhash64("id", "hash").alias("key"))
+    # rows whose bit isn't set stay without a shuffle
+    maybe = narrowed(docs, key, wanted).alias("d").join(gone.alias("g"), (F.col("d.doc_id").cast("long") == F.col("g.id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.hash")), "left_anti")
+    return narrowed(docs, key, wanted, False).unionByName(maybe.select(*docs.columns)).select(*docs.columns)

@@ -167,10 +167,84 @@ def test_jaccard_chains_of_edits(spark):
 
 
 def test_allocation_has_enough_segments():
-    for r in range(1, 3000, 7):
-        zero, one = jaccard_join.allocate(r, 90)
-        most = 2 * r * 10 // 190
-        assert most == 0 or zero + 2 * one > most
+    for percent in (80, 90):
+        for r in range(1, 3000, 7):
+            zero, one = jaccard_join.allocate(r, percent)
+            most = max(jaccard_join.most_different(2 * r, percent), jaccard_join.most_different(2 * r - 1, percent))
+            assert most == 0 or zero + 2 * one > most
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_pairs_share_a_signature(percent):
+    """Random linked pairs of all sizes up to 300, at the threshold, one a subset of the other in a third of them."""
+    rng = np.random.default_rng(percent)
+    tried = missed = 0
+    for _ in range(60):
+        sets = []
+        for _ in range(900):
+            n = int(rng.integers(1, 301)) if rng.random() < 0.5 else int(rng.integers(1, 40))
+            union = np.sort(rng.choice(1 << 48, n, replace=False)).astype(np.uint64)
+            differ = n - -(-percent * n // 100)  # as many as leave 100 * common >= percent * union
+            gone = int(rng.integers(0, differ + 1)) if rng.random() < 0.3 else differ
+            cut = 0 if rng.random() < 0.33 else int(rng.integers(0, gone + 1))
+            out = rng.permutation(n)[:gone]
+            a, b = np.ones(n, bool), np.ones(n, bool)
+            a[out[:cut]], b[out[cut:]] = False, False
+            sets += [union[a], union[b]]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        sig, owner = jaccard_join.signatures(np.concatenate(sets), bounds, percent)
+        sketches = jaccard_join.odd_sketches(np.concatenate(sets), bounds)
+        held = collections.defaultdict(set)
+        for v, o in zip(sig.tolist(), owner.tolist(), strict=True):
+            held[o].add(v)
+        for i in range(0, len(sets), 2):
+            if len(sets[i]) != len(sets[i + 1]) or (sets[i] != sets[i + 1]).any():
+                tried += 1
+                missed += not held[i] & held[i + 1]
+                near = jaccard_join._near(percent, *(np.array([len(sets[k])]) for k in (i, i + 1)), *(np.frombuffer(sketches[k], np.uint64)[None] for k in (i, i + 1)))
+                assert near[0]
+    assert tried > 40000 and missed == 0
+
+
+def test_full_buckets_go_on_before_their_range_ends(spark, monkeypatch):
+    """Signatures beyond HELD: the same classes meet, whether or not a task holds whole buckets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:k], f"x{j}", *words[k + 1 :]]) for j, k in enumerate(rng.integers(0, 40, 300).tolist())]
+
+    def linked():
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 30])], ["text"]) for i in range(0, 300, 30)]
+        rows = [r for b in batches for r in jaccard_join._packed_signatures(3, 80, 2)([b])]
+        out = pa.Table.from_batches(jaccard_join._buckets(rows)).to_pandas()
+        star = {tuple(sorted(x)) for x in zip(out.fp, out.centre, strict=True) if x[0] != x[1]}
+        return set(out.fp), star
+
+    whole, _ = linked()
+    monkeypatch.setattr(jaccard_join, "HELD", 500)
+    parts, star = linked()
+    assert parts == whole and len(whole) > 290
+    root = {}
+    for a, b in star:
+        while a in root:
+            a = root[a]
+        while b in root:
+            b = root[b]
+        if a != b:
+            root[a] = b
+    assert len(whole - set(root)) == 1  # the stars connect all
+
+
+def test_jaccard_of_repeated_ids_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a + " less"), (None, "x y z u"), (4, "x y z u"), (None, "q r s t"), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.link_components(docs, 3, 90).collect())
+    assert got == sorted([(1, 48, 1), (1, 48, 1), (2, 49, 1), (3, 49, 1), (0, 49, 1), (0, 2, 4), (4, 2, 4), (0, 2, 0), (5, 0, 5), (6, 0, 6)])
+    left = jaccard_join.drop_near_copies(docs, 3, 90)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted((d or 0, t or "") for d, t in rows if d not in (2, 3))
+    assert jaccard_join.drop_near_copies(docs.limit(0), 3, 90).count() == 0
 
 
 def _spread(n, parts):
