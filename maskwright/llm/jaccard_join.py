@@ -38,7 +38,7 @@ from .common import Block, Scratch, combine, find_words, hash_words, map_batches
 #: Bucket mates that are compared at once.
 BLOCK = 256
 #: Signatures that a task holds before it hands them on, and that a range's task holds before it hands on full buckets.
-HELD = 4_000_000
+HELD_OUT, HELD_IN = 1_000_000, 2_000_000
 
 _HASH_BITS = 52
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
@@ -260,7 +260,7 @@ def _packed_signatures(shingle: int, percent: int, ranges: int):
                 keep = once[owner]
                 held.append((sig[keep], fp[owner[keep]]))
                 count += int(keep.sum())
-                if count >= HELD:
+                if count >= HELD_OUT:
                     yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, count = [], 0
         if count:
@@ -285,7 +285,7 @@ def _buckets(batches):
             raw[:, 3:] = np.frombuffer(sigs, np.uint8).reshape(5, n).T
             held.append((raw.view(">u8").ravel().astype(np.uint64) | np.uint64(r) << np.uint64(40), own[place]))
             count += n
-            if count >= HELD:
+            if count >= HELD_IN:
                 # buckets that are full go on; of each signature one class stays, which is the centre from now on
                 out, centres = _full_buckets(held, centres, True)
                 held, count = [], 0

@@ -207,7 +207,7 @@ def test_linked_pairs_share_a_signature(percent):
 
 
 def test_full_buckets_go_on_before_their_range_ends(spark, monkeypatch):
-    """Signatures beyond HELD: the same classes meet, whether or not a task holds whole buckets."""
+    """Signatures beyond HELD_IN: the same classes meet, whether or not a task holds whole buckets."""
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
@@ -222,7 +222,7 @@ def test_full_buckets_go_on_before_their_range_ends(spark, monkeypatch):
         return set(out.fp), star
 
     whole, _ = linked()
-    monkeypatch.setattr(jaccard_join, "HELD", 500)
+    monkeypatch.setattr(jaccard_join, "HELD_IN", 500)
     parts, star = linked()
     assert parts == whole and len(whole) > 290
     root = {}
