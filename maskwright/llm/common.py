@@ -50,7 +50,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+    return _powers(1 << max(16, (int(n) - 1).bit_length()))
 
 
 @dataclass

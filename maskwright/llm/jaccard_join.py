@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import Block, Scratch, combine, find_words, hash_words, map_batches, mix, narrowed, shuffle_partitions, signed, text_blocks
 
-#: Bucket mates that are compared at once.
-BLOCK = 256
+#: Bucket mates that are compared at once; bytes of text that are cut into shingles at once.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 #: Signatures that a task holds before it hands them on, and that a range's task holds before it hands on full buckets.
 HELD_OUT, HELD_IN = 1_000_000, 2_000_000
 
@@ -221,7 +221,7 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 def _classes_of(shingle: int):
     def make():
         def step(batch):
-            for block in text_blocks(batch.column("text")):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
                 sets, bounds = shingle_sets(block, shingle)
                 a, b = fingerprints(sets, bounds)
                 own = [batch.column(k).slice(block.first, len(block)) for k in ("id", "hash")]
@@ -251,7 +251,7 @@ def _packed_signatures(shingle: int, percent: int, ranges: int):
     def run(batches):
         held, count = [], 0
         for batch in batches:
-            for block in text_blocks(batch.column("text")):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
                 sets, bounds = shingle_sets(block, shingle)
                 fp, _ = fingerprints(sets, bounds)
                 once = np.zeros(len(block), bool)
@@ -326,7 +326,7 @@ def _sets_of(shingle: int):
     def make():
         def step(batch):
             wanted = batch.column("fp").to_numpy().view(np.uint64)
-            for block in text_blocks(batch.column("text")):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
                 sets, bounds = shingle_sets(block, shingle)
                 fp, _ = fingerprints(sets, bounds)
                 raw = np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()

@@ -1,9 +1,9 @@
 """Secret scans with a random forest that removes false positives; DataFrame functions only.
 
-Candidates are long runs of key characters with a digit, and private-key blocks. Each becomes a vector: length, character
-transitions, shares of character classes, dictionary coverage, path, and neighbouring words. The forest is trained by
-Spark's own learner on labelled findings (`labelled_findings`: made from a range of numbers by SQL functions, a fixed
-number of rows) and compiled into one column expression: the share of its trees that vote for a secret.
+Candidates are long runs of key characters with a digit, values of 8 characters and more that are assigned to a key name,
+and private-key blocks of any length. Each becomes a vector: length, character transitions, shares of character classes, dictionary coverage, path, and neighbouring words. The forest is trained by Spark's own
+learner on labelled findings (`labelled_findings`: made from a range of numbers by SQL functions, a fixed number of rows)
+and compiled into one column expression: the share of its trees that vote for a secret.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What candidates look like, and words that speak for or against a secret.
-PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{0,10000}?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^\"'<>]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
 # '=' only ends a run as padding, so that the value of an assignment or a parameter is a candidate of its own.
-RUN = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/.\-]*+[0-9])[A-Za-z0-9_+/.\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=.\-]))?"
-CANDIDATE = f"{PEM}|{RUN}"
+RUN = r"(?=[A-Za-z_+/.\-]*+[0-9])[A-Za-z0-9_+/.\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=.\-]))?"
+# The value that is assigned to a key name needs neither a digit nor that length.
+VALUE = r"(?<=[=:\"'] ?)(?<=(?:token|secret|password|passwd|pwd|api_?key|access_?key|auth|credentials?|private_?key)[A-Za-z_]{0,8}[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_+/.\-!@#$%^*?~]{8,}+"
+CANDIDATE = rf"{PEM}|(?<![A-Za-z0-9_+/.\-])(?i)(?:{RUN}|{VALUE})(?-i)"
 FOR_WORDS = "token|secret|passw|pwd|apikey|api_key|api key|access_key|access key|private_key|auth|bearer|credential|client_secret|signature|session"
 AGAINST_WORDS = "sha1|sha256|md5|commit|checksum|digest|uuid|revision|hash|version|image|etag|build|order|invoice|phone|card|isbn|file|path|url|http|href|src|mail|@"
 KNOWN_PREFIX = "^(AKIA|ASIA|gh[pousr]_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|eyJ|AIza|glpat-|npm_|hf_)"
@@ -32,7 +34,7 @@ DICTIONARY = (
 )
 FEATURES = ("length", "transitions", "distinct", "digits", "upper", "dictionary", "vowels", "hex", "path", "dots", "for_words", "against_words", "quoted", "prefix", "separators", "pem")
 #: Labelled findings that the forest is trained on, its trees and their depth, and the votes that make a secret.
-LABELLED_ROWS, TREES, DEPTH, LEAST_VOTE = 6000, 16, 6, 0.5
+LABELLED_ROWS, TREES, DEPTH, LEAST_VOTE = 9000, 16, 7, 0.5
 NEIGHBOURS = 40
 
 
@@ -47,7 +49,7 @@ def feature_struct(text: Column, before: Column, after: Column) -> Column:
     letters = F.greatest(without("[A-Za-z]"), F.lit(1.0))
     words = "|".join(sorted(DICTIONARY.split(), key=lambda w: (-len(w), w)))
     made = {
-        "length": n, "transitions": F.length(F.regexp_replace(text, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit("x"))) / n, "distinct": F.size(F.array_distinct(F.split(F.left(text, F.lit(200)), ""))) / F.least(n, F.lit(200.0)),
+        "length": n, "transitions": F.length(F.regexp_replace(text, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit("x"))) / n, "distinct": F.size(F.array_distinct(F.split(text, ""))) / F.least(n, F.lit(100.0)),
         "digits": without("[0-9]") / n, "upper": without("[A-Z]") / n, "dictionary": without(words, low) / n, "vowels": without("[aeiou]", low) / letters, "hex": text.rlike("^[0-9a-fA-F]+$").cast("double"),
         "path": (without("/") + F.when(before.rlike("[/\\\\]$"), 1.0).otherwise(0.0) + F.when(after.rlike("^[/\\\\]"), 1.0).otherwise(0.0)), "dots": without("[.]"),
         "for_words": near.rlike(f"({FOR_WORDS})[^a-z]{{0,4}}[a-z]{{0,8}}[^a-z]{{0,8}}$").cast("double"), "against_words": near.rlike(f"({AGAINST_WORDS})[^a-z]{{0,4}}[a-z]{{0,8}}[^a-z]{{0,8}}$").cast("double"),
@@ -56,9 +58,9 @@ def feature_struct(text: Column, before: Column, after: Column) -> Column:
     return F.struct(*(F.coalesce(made[k], F.lit(0.0)).alias(k) for k in FEATURES))
 
 
-def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
-    """text, before, after, label: `rows` findings of known kinds with random bodies and contexts."""
-    r = spark.range(rows).select("id", F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512).alias("h"))
+def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, first: int = 0) -> DataFrame:
+    """text, before, after, label, kind: `rows` findings of known kinds with random bodies and contexts, by their numbers."""
+    r = spark.range(first, first + rows).select("id", F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512).alias("h"))
     pick = lambda k, xs: F.get(F.array(*map(F.lit, xs)), (F.abs(F.xxhash64("id", F.lit(k))) % F.lit(len(xs))).cast("int"))
     number = lambda k, m: F.abs(F.xxhash64("id", F.lit(k))) % F.lit(m)
     mixed = F.translate(F.base64(F.unhex(F.col("h"))), "+/=", "xYz")
@@ -72,6 +74,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         "token = \"", "secret: '", "api_key=", "password = \"", "Authorization: Bearer ", "client_secret=\"", "access_key: ", "credentials = '", "AWS_ACCESS_KEY_ID=", "export GITHUB_TOKEN=", "\nDB_PASSWORD=",
         "https://example.com/cb?access_token=", "https://example.com/cb?page=2&auth_token=", "SESSION_SECRET: ",
     ], ["the ", "see ", "of ", "and (", "\n", ". ", ""]
+    quoted = ["password = \"", "secret: '", "passwd=\"", "db_password: \"", "credentials = '", "pwd = '"]
     against = ["commit ", "sha256:", "md5 = ", "checksum: ", "uuid=", "revision ", "etag: \"", "build-", "image@sha256:", "COMMIT_SHA=", "\nIMAGE_DIGEST=", "https://example.com/a?version=", "https://example.com/a?page=2&hash=", "md5="]
     kinds = [  # (text, contexts before, label)
         (part(40), secret_context, 1), (part(32), secret_context, 1), (F.left(mixed, F.lit(40)), secret_context, 1), (F.left(mixed, F.lit(24)), secret_context, 1),
@@ -84,6 +87,10 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         (F.left(digits, F.lit(16)), [*plain, "card ", "order "], 0), (F.concat(dated, F.lit("-"), words("a"), F.lit("-"), words("b")), plain, 0), (F.concat(odd, odd, number("f", 9).cast("string")), plain, 0),
         (F.concat(words("a"), words("b"), words("c"), number("f", 2000).cast("string")), [*plain, "id=\"", "name: "], 0), (F.concat(F.lit("1."), number("f", 30).cast("string"), F.lit("."), number("g", 30).cast("string"), F.lit("-beta."), words("a")), ["version ", "v", *plain], 0),
         (F.upper(F.concat(words("a"), F.lit("_"), pick("name", ["access_token", "secret_key", "api_key", "password"]), F.lit("_"), number("f", 20).cast("string"))), [*plain, "export ", "\nDEBUG=1\n"], 0),
+        (F.left(mixed, F.lit(13)), secret_context, 1), (F.concat(words("a"), F.initcap(words("b")), F.initcap(words("c")), F.initcap(words("d"))), quoted, 1),
+        (F.concat(words("a"), pick("mark", ["!", "$", "#", "@"]), F.initcap(words("b")), number("f", 900).cast("string")), secret_context, 1),
+        (F.concat(words("a"), pick("tail", ["ingly", "ification", "erable", "ments"])), ["password: ", "token: ", "the secret: ", "auth = ", "credentials: "], 0),
+        (F.concat(words("a"), F.lit("."), words("b"), F.lit("_"), words("c")), ["token = ", "password=", "api_key = ", "secret: "], 0),
         (F.concat(F.lit("----------"), number("f", 2000).cast("string"), F.lit("----------")), plain, 0), (F.concat(odd, F.lit("."), odd, F.lit("."), number("f", 99).cast("string")), plain, 0),
     ]
     kind = F.col("id") % F.lit(len(kinds))
@@ -93,7 +100,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         before = F.when(kind == k, pick("before", b)) if before is None else before.when(kind == k, pick("before", b))
         label = F.when(kind == k, F.lit(y)) if label is None else label.when(kind == k, F.lit(y))
     lead = F.concat(odd, F.lit(" "), words("lead"), F.lit(" "))
-    return r.select(text.alias("text"), F.concat(lead, before).alias("before"), F.concat(F.when(before.rlike("[\"']$"), F.lit('"')).otherwise(F.lit("")), F.lit(" "), odd).alias("after"), label.cast("double").alias("label"))
+    return r.select(text.alias("text"), F.concat(lead, before).alias("before"), F.concat(F.when(before.rlike("[\"']$"), F.right(before, F.lit(1))).otherwise(F.lit("")), F.lit(" "), odd).alias("after"), label.cast("double").alias("label"), kind.alias("kind"))
 
 
 def labelled_vectors(findings: DataFrame) -> DataFrame:
@@ -197,7 +204,10 @@ def with_findings(docs: DataFrame, trees: list[tuple], text: str = "text") -> Da
 
 
 def scan(docs: DataFrame, trees: list[tuple]) -> DataFrame:
-    """One row per candidate: doc_id, start, n_chars, candidate, score and is_secret. docs: doc_id and text."""
+    """One row per candidate: doc_id, start, n_chars, candidate, score and is_secret.
+
+    docs: doc_id and text; other columns are ignored. Null and empty texts, and those without a candidate, give no row;
+    repeated rows give their candidates each, a null doc_id stays null."""
     found = with_findings(docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)), trees).select("doc_id", F.explode("_found").alias("x"))
     return found.select("doc_id", "x.start", "x.n_chars", "x.candidate", "x.score", (F.col("x.score") >= LEAST_VOTE).alias("is_secret"))
 

@@ -403,6 +403,23 @@ def test_secrets_in_unquoted_assignments(spark):
     assert [clean[k] for k in range(len(rows))] == [f"{a}[SECRET]{b}" for a, _, b in secrets] + ["".join(x) for x in plain]
 
 
+def test_secrets_recall_by_kind_and_without_limits(spark):
+    trees = secret_forest.trained_forest(spark)
+    body = "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(220))
+    texts = [
+        f"x -----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY----- y", 'password = "hunterTwoSecretPass"', 'api_key: "a8Fk29dkQ0zLm"', "a password: required field, the token: understanding of it", None, "",
+    ]
+    assert len(texts[0]) > 14000
+    docs = spark.createDataFrame([(i, t, "w", 1.0) for i, t in enumerate([*texts, texts[1]])], "doc_id long, text string, candidate string, score double")
+    rows = [r for r in secret_forest.scan(docs, trees).collect() if r.is_secret]
+    assert sorted((r.doc_id, r.candidate) for r in rows)[1:] == [(1, "hunterTwoSecretPass"), (2, "a8Fk29dkQ0zLm"), (6, "hunterTwoSecretPass")] and rows[0].n_chars > 14000
+    findings = secret_forest.labelled_findings(spark, 5600, 10**6).withColumn("doc_id", F.monotonically_increasing_id()).cache()
+    whole = findings.select("doc_id", F.concat("before", "text", "after").alias("text"), F.length("before").alias("a"), F.length(F.concat("before", "text")).alias("b"), "label", "kind")
+    found = secret_forest.scan(whole, trees).join(whole, "doc_id").where("is_secret AND start < b AND start + n_chars > a").select("doc_id").distinct().withColumn("hit", F.lit(1))
+    by = {(r.kind, r.label): r.share for r in whole.join(found, "doc_id", "left").groupBy("kind", "label").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share")).collect()}
+    assert len(by) > 25 and {k: s for k, s in by.items() if (s < 0.9 if k[1] else s > 0.1)} == {}
+
+
 def test_html(spark):
     pages = [
         (1, "u", "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class=ad>Buy now.</div><article><h1>A &amp; B</h1><p>First  para\n here.<p>Second <b>bold</b> one.</article>"
