@@ -19,7 +19,7 @@ PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^\"'<>]*?-----END [A-Z ]{0,20}PR
 # '=' only ends a run as padding, so that the value of an assignment or a parameter is a candidate of its own.
 RUN = r"(?=[A-Za-z_+/.\-]*+[0-9])[A-Za-z0-9_+/.\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=.\-]))?"
 # The value that is assigned to a key name needs neither a digit nor that length.
-VALUE = r"(?<=[=:\"'] ?)(?<=(?:token|secret|password|passwd|pwd|api_?key|access_?key|auth|credentials?|private_?key)[A-Za-z_]{0,8}[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_+/.\-!@#$%^*?~]{8,}+"
+VALUE = r"(?<=[=:\"'] ?|bearer )(?<=bearer |(?:token|secret|password|passwd|pwd|api_?key|access_?key|auth|credentials?|private_?key)[A-Za-z_]{0,8}[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_+/.\-!@#$%^*?~]{8,}+"
 CANDIDATE = rf"{PEM}|(?<![A-Za-z0-9_+/.\-])(?i)(?:{RUN}|{VALUE})(?-i)"
 FOR_WORDS = "token|secret|passw|pwd|apikey|api_key|api key|access_key|access key|private_key|auth|bearer|credential|client_secret|signature|session"
 AGAINST_WORDS = "sha1|sha256|md5|commit|checksum|digest|uuid|revision|hash|version|image|etag|build|order|invoice|phone|card|isbn|file|path|url|http|href|src|mail|@"
@@ -34,7 +34,7 @@ DICTIONARY = (
 )
 FEATURES = ("length", "transitions", "distinct", "digits", "upper", "dictionary", "vowels", "hex", "path", "dots", "for_words", "against_words", "quoted", "prefix", "separators", "pem")
 #: Labelled findings that the forest is trained on, its trees and their depth, and the votes that make a secret.
-LABELLED_ROWS, TREES, DEPTH, LEAST_VOTE = 9000, 16, 7, 0.5
+LABELLED_ROWS, TREES, DEPTH, LEAST_VOTE = 6000, 16, 6, 0.5
 NEIGHBOURS = 40
 
 
