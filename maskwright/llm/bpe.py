@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_blocks
 
 #: Bytes of text in a block at most, but for a longer document.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 NO_RANK = (1 << 31) - 1
 
 
@@ -44,7 +44,11 @@ def _is_prime(n: int) -> bool:
 
 
 def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], int, int]:
-    """The literal array and its two moduli: a pair (a, b) is at (a << 16 | b) % first or at first + (a << 16 | b) % second."""
+    """The literal array and its two moduli: a pair (a, b) is at (a << 16 | b) % first or at first + (a << 16 | b) % second.
+
+    Ids and ranks are packed in 16 bits each; larger vocabularies are refused."""
+    if ranks and max(ranks.values()) >= 1 << 16:
+        raise ValueError(f"the rank map holds ranks below {1 << 16}")
     pairs = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):

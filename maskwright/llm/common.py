@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy block holds; a longer document makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Documents of one block at most (12 bits of a sort key hold the document's place).
 BLOCK_DOCS = 4096
 
@@ -215,6 +215,12 @@ def narrowed(df: DataFrame, key: Column, wanted: DataFrame, inside: bool = True)
     return marked.where(hit if inside else ~hit).select(*names)
 
 
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of `df` whose key (a 64-bit hash) isn't in `gone.key`; only rows that may be in it are shuffled."""
+    maybe = narrowed(df, key, gone).withColumn("_key", key).join(gone.select(F.col("key").alias("_gone")), F.col("_key") == F.col("_gone"), "left_anti")
+    return narrowed(df, key, gone, False).unionByName(maybe.drop("_key"))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with state that each task makes once."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, without, written
 
 #: Windows whose words one pass over the documents holds in memory (about 100 MB at most of words and places).
 BLOCK_WINDOWS = 200_000
@@ -233,9 +233,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 8, least_items:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 8, least_items: int = 2) -> DataFrame:
-    """Documents without those that are contaminated; the columns stay. A null doc_id keeps its row."""
-    bad = contamination(docs, items, size, least_items).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without those that are contaminated; the columns stay. Each row is judged by its own text, whatever its
+    doc_id; rows that share both go or stay together. Only rows that may be contaminated are shuffled."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), items, size, least_items).where("contaminated").select(F.col("doc_id").alias("key"))
+    return without(docs, key, written(bad.distinct()))
 
 
 def digest(ids: list[str]) -> str:

@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, Scratch, combine, find_words, hash_words, map_batches, mix, narrowed, shuffle_partitions, signed, text_blocks
+from .common import Block, Scratch, combine, find_words, hash_words, map_batches, mix, narrowed, shuffle_partitions, signed, text_blocks, without
 
-#: Bucket mates that are compared at once; bytes of text that are cut into shingles at once.
-BLOCK, BLOCK_BYTES = 256, 2 << 20
+#: Bucket mates that are compared at once.
+BLOCK = 256
 #: Signatures that a task holds before it hands them on, and that a range's task holds before it hands on full buckets.
 HELD_OUT, HELD_IN = 1_000_000, 2_000_000
 
@@ -221,7 +221,7 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 def _classes_of(shingle: int):
     def make():
         def step(batch):
-            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
+            for block in text_blocks(batch.column("text")):
                 sets, bounds = shingle_sets(block, shingle)
                 a, b = fingerprints(sets, bounds)
                 own = [batch.column(k).slice(block.first, len(block)) for k in ("id", "hash")]
@@ -251,7 +251,7 @@ def _packed_signatures(shingle: int, percent: int, ranges: int):
     def run(batches):
         held, count = [], 0
         for batch in batches:
-            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
+            for block in text_blocks(batch.column("text")):
                 sets, bounds = shingle_sets(block, shingle)
                 fp, _ = fingerprints(sets, bounds)
                 once = np.zeros(len(block), bool)
@@ -321,16 +321,22 @@ def _full_buckets(held, centres, more: bool):
 
 
 def _sets_of(shingle: int):
-    """fp and whole set (6 bytes of each hash) of those rows whose set has the fingerprint that is wanted of them."""
+    """fp and whole set (6 bytes of each hash) of those rows whose set has the fingerprint that is wanted of them. Of
+    repeated rows, which the join before leaves side by side, one stays."""
 
     def make():
+        last = [np.uint64(0)]
+
         def step(batch):
             wanted = batch.column("fp").to_numpy().view(np.uint64)
-            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
+            for block in text_blocks(batch.column("text")):
                 sets, bounds = shingle_sets(block, shingle)
                 fp, _ = fingerprints(sets, bounds)
                 raw = np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                own = np.flatnonzero(fp == wanted[block.first : block.first + len(block)])
+                first = np.zeros(len(fp), bool)
+                first[np.unique(fp, return_index=True)[1]] = True
+                own = np.flatnonzero((fp == wanted[block.first : block.first + len(block)]) & first & (fp != last[0]))
+                last[0] = fp[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(fp[own])), pa.array([raw[6 * bounds[i] : 6 * bounds[i + 1]] for i in own.tolist()], pa.binary())], ["fp", "shingles"])
 
         return step
@@ -542,10 +548,11 @@ def _join_mates(docs: DataFrame, mates: DataFrame, classes: DataFrame, scratch:
         own = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         wanted = scratch.written(nodes.join(own, "fp").join(sets.select("fp"), "fp", "left_anti").select("fp", F.col("rep").alias("id"), "hash"))
         texts = narrowed(docs, F.xxhash64("id", "hash"), wanted.select(F.xxhash64("id", "hash").alias("key"))).alias("d")
-        held = texts.join(wanted.alias("w"), F.expr("d.id <=> w.id AND d.hash = w.hash")).select("w.fp", "d.text")
-        sets = sets.unionByName(scratch.written(map_batches(held, _sets_of(shingle), "fp long, shingles binary").dropDuplicates(["fp"])))
+        # merge joins, so that the plan is the same whether or not one side is small
+        held = texts.join(wanted.hint("merge").alias("w"), F.expr("d.id <=> w.id AND d.hash = w.hash")).select("w.fp", "d.text")
+        sets = sets.unionByName(scratch.written(map_batches(held, _sets_of(shingle), "fp long, shingles binary")))
         left, right = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-        done = done.unionByName(scratch.written(map_batches(pairs.join(right, "b").join(left, "a"), _overlaps(percent), "a long, b long, linked boolean")))
+        done = done.unionByName(scratch.written(map_batches(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a"), _overlaps(percent), "a long, b long, linked boolean").distinct()))
         labels = components(done.where("linked"), scratch)
         return True
 
@@ -574,8 +581,4 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> Da
     stay. Documents with a null doc_id stay. The columns stay."""
     keyed = docs.where("doc_id IS NOT NULL")
     gone = Scratch(docs.sparkSession).written(_linked(_keyed(keyed, "doc_id"), shingle, percent).where("component_id <> id").select("id", "hash").distinct())
-    key = F.xxhash64(F.col("doc_id").cast("long"), _text_hash())
-    wanted = gone.select(F.xxhash64("id", "hash").alias("key"))
-    # rows whose bit isn't set stay without a shuffle
-    maybe = narrowed(docs, key, wanted).alias("d").join(gone.alias("g"), (F.col("d.doc_id").cast("long") == F.col("g.id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.hash")), "left_anti")
-    return narrowed(docs, key, wanted, False).unionByName(maybe.select(*docs.columns)).select(*docs.columns)
+    return without(docs, F.xxhash64(F.col("doc_id").cast("long"), _text_hash()), gone.select(F.xxhash64("id", "hash").alias("key")))
