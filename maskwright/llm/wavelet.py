@@ -1,12 +1,14 @@
 """Token ids as wavelet matrices: one per shard, with rank and select from bit planes.
 
 Documents are dealt by doc_id ranges to shards, so that shards and rows inside them are in ascending doc_id order. A
-shard's ids become a wavelet matrix: for each bit, from the highest, a plane of that bit of all ids, which are then
-partitioned stably by it (zeros first). Planes carry rank directories of one count for each 512 bits. The structure
-answers access(i), rank(symbol, i) (counting) and select(symbol, k) (occurrence lookup) without decoding the rest.
-
-A shard is one self-contained file image (magic, header, document table, planes; zlib-compressed planes) in a row of a
-Parquet table, which any store that Spark knows can hold; `WaveletMatrix.from_bytes` opens an image.
+shard's ids become a wavelet matrix: for each bit, from the highest that an id has, a plane of that bit of all ids, which
+are then partitioned stably by it (zeros first). The structure answers access(i), rank(symbol, i) (counting) and
+select(symbol, k) (occurrence lookup) without decoding the rest.
+
+A shard is one self-contained file image in a row of a Parquet table, which any store that Spark knows can hold: magic,
+header, document table (ids and lengths), the planes' directories, and the planes in blocks of BLOCK_BITS bits that are
+compressed one by one. A directory has where each block stands and how many set bits are before it, so that a lookup
+opens one or two blocks of a plane; `WaveletMatrix.from_bytes` opens an image without reading any.
 """
 
 from __future__ import annotations
@@ -14,53 +16,61 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Block, find_words, hash_words, map_batches, shared_dir, text_blocks
+from .common import Block, Words, _LOWER, find_words, hash_words, map_batches, shared_dir, text_blocks
 
-MAGIC = b"WVMX0001"
-RANK_BITS = 512
+MAGIC = b"WVMX0002"
+BLOCK_BITS = 1 << 15
 #: Ids in a shard at most, but that a longer document makes a shard of its own.
 SHARD_IDS = 2 << 20
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 4 << 20
 
 
 class WaveletMatrix:
-    """A sequence of integers of `bits` bits in `bits` planes."""
+    """A sequence of integers of `bits` bits in `bits` planes, and the documents that it is made of."""
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.bits, self.planes, self.zeros = n, bits, planes, zeros
-        self.ranks = []
-        for p in planes:
-            padded = np.zeros(-(-max(n, 1) // RANK_BITS) * RANK_BITS // 8, np.uint8)
-            padded[: len(p)] = p
-            ones = _POPCOUNT[padded].reshape(-1, RANK_BITS // 8).sum(axis=1)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
+    def __init__(self, n: int, bits: int, zeros: list[int], ones: np.ndarray, block: Callable[[int, int], np.ndarray], doc_ids: np.ndarray, lengths: np.ndarray):
+        """ones: for each plane the set bits before each block; block(plane, k): the bytes of a block."""
+        self.n, self.bits, self.zeros, self.ones, self.block, self.doc_ids, self.lengths = n, bits, zeros, ones, block, doc_ids, lengths
 
     @classmethod
-    def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
-        values, planes, zeros = np.asarray(values, np.uint32), [], []
+    def build(cls, values: np.ndarray, doc_ids: np.ndarray | None = None, lengths: np.ndarray | None = None) -> WaveletMatrix:
+        """The planes are as many as the largest value has bits."""
+        values = np.asarray(values, np.uint32)
+        n, bits = len(values), int(values.max()).bit_length() if len(values) else 0
+        planes, zeros, width = [], [], BLOCK_BITS // 8
         for b in range(bits - 1, -1, -1):
             bit = (values >> np.uint32(b) & np.uint32(1)).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
-            zeros.append(int(len(bit) - np.count_nonzero(bit)))
+            packed = np.zeros(-(-n // BLOCK_BITS) * width, np.uint8)
+            packed[: -(-n // 8)] = np.packbits(bit, bitorder="little")
+            planes.append(packed.reshape(-1, width))
+            zeros.append(int(n - np.count_nonzero(bit)))
             values = np.concatenate([values[~bit], values[bit]])
-        return cls(len(values), bits, planes, zeros)
+        counts = np.array([np.bitwise_count(p).sum(axis=1) for p in planes], np.int64).reshape(bits, -(-n // BLOCK_BITS))
+        none = np.zeros(0, np.int64)
+        return cls(n, bits, zeros, np.cumsum(counts, axis=1) - counts, lambda level, k: planes[level][k], none if doc_ids is None else np.asarray(doc_ids, np.int64), none if lengths is None else np.asarray(lengths, np.int64))
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+        return int(self.block(level, i // BLOCK_BITS)[i % BLOCK_BITS >> 3]) >> (i & 7) & 1
 
     def _ones(self, level: int, i: int) -> int:
         """Set bits of a plane before place i."""
-        block = i // RANK_BITS
-        a, b = block * RANK_BITS // 8, i >> 3
-        plane = self.planes[level]
-        out = int(self.ranks[level][block]) + int(_POPCOUNT[plane[a:b]].sum())
-        return out + (int(_POPCOUNT[plane[b] & ((1 << (i & 7)) - 1)]) if i & 7 else 0)
+        k, rest = divmod(i, BLOCK_BITS)
+        if k == self.ones.shape[1]:
+            return self.n - self.zeros[level]
+        out = int(self.ones[level, k])
+        if rest:
+            raw = self.block(level, k)
+            out += int(np.bitwise_count(raw[: rest >> 3]).sum()) + (int(raw[rest >> 3]) & (1 << (rest & 7)) - 1).bit_count()
+        return out
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -93,47 +103,57 @@ class WaveletMatrix:
         i = self._range(symbol, 0)[0] + k
         for level in range(self.bits - 1, -1, -1):
             one = symbol >> (self.bits - 1 - level) & 1
-            want = i - self.zeros[level] if one else i
-            i = self._find(level, want, one)
+            i = self._find(level, i - self.zeros[level] if one else i, one)
         return i
 
     def _find(self, level: int, want: int, one: int) -> int:
         """The place of the plane's bit number `want` (from 0) of that kind."""
-        ranks = self.ranks[level]
-        counts = ranks if one else np.arange(len(ranks)) * RANK_BITS - ranks
-        block = int(np.searchsorted(counts, want, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * RANK_BITS // 8 : (block + 1) * RANK_BITS // 8], bitorder="little")
-        return block * RANK_BITS + int(np.flatnonzero(bits == one)[want - int(counts[block])])
+        counts = self.ones[level] if one else np.arange(self.ones.shape[1]) * BLOCK_BITS - self.ones[level]
+        k = int(np.searchsorted(counts, want, side="right")) - 1
+        bits = np.unpackbits(self.block(level, k), bitorder="little")
+        return k * BLOCK_BITS + int(np.flatnonzero(bits == one)[want - int(counts[k])])
+
+    def document(self, place: int) -> np.ndarray:
+        """The ids of the document in that place of the document table."""
+        first = int(self.lengths[:place].sum())
+        return np.array([self.access(i) for i in range(first, first + int(self.lengths[place]))], np.uint32)
 
     def decode(self) -> np.ndarray:
         """All values: each plane's stable partition is undone, from the lowest bit up."""
         values = np.zeros(self.n, np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            plane = np.concatenate([self.block(level, k) for k in range(self.ones.shape[1])])
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(values)
             before[~bit], before[bit] = values[: self.zeros[level]], values[self.zeros[level] :]
             values = before | bit.astype(np.uint32) << np.uint32(self.bits - 1 - level)
         return values
 
     def to_bytes(self) -> bytes:
-        packed = [zlib.compress(p.tobytes(), 1) for p in self.planes]
-        head = struct.pack("<QI", self.n, self.bits) + b"".join(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed, strict=True))
-        return MAGIC + head + b"".join(packed)
+        blocks = self.ones.shape[1]
+        packed = [zlib.compress(self.block(level, k).tobytes(), 1) for level in range(self.bits) for k in range(blocks)]
+        table = zlib.compress(np.concatenate([np.diff(self.doc_ids, prepend=np.int64(0)), self.lengths]).astype("<i8").tobytes(), 1)
+        directory = zlib.compress(np.concatenate([self.zeros, self.ones.ravel(), np.cumsum([0, *map(len, packed)])]).astype("<i8").tobytes(), 1)
+        head = struct.pack("<QIIQQQ", self.n, self.bits, blocks, len(self.doc_ids), len(table), len(directory))
+        return b"".join([MAGIC, head, table, directory, *packed])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
         if raw[:8] != MAGIC:
             raise ValueError("not a wavelet matrix")
-        n, bits = struct.unpack_from("<QI", raw, 8)
-        zeros, sizes = zip(*(struct.unpack_from("<QQ", raw, 20 + 16 * k) for k in range(bits)), strict=True) if bits else ((), ())
-        at, planes = 20 + 16 * bits, []
-        for s in sizes:
-            planes.append(np.frombuffer(zlib.decompress(raw[at : at + s]), np.uint8))
-            at += s
-        return cls(n, bits, planes, list(zeros))
+        n, bits, blocks, docs, table, directory = struct.unpack_from("<QIIQQQ", raw, 8)
+        at = 8 + struct.calcsize("<QIIQQQ")
+        own = np.frombuffer(zlib.decompress(raw[at : at + table]), "<i8")
+        where = np.frombuffer(zlib.decompress(raw[at + table : at + table + directory]), "<i8")
+        places = where[bits + bits * blocks :] + at + table + directory
+
+        @lru_cache(maxsize=64)
+        def block(level: int, k: int) -> np.ndarray:
+            x = level * blocks + k
+            return np.frombuffer(zlib.decompress(raw[places[x] : places[x + 1]]), np.uint8)
 
+        return cls(n, bits, where[:bits].tolist(), where[bits : bits + bits * blocks].reshape(bits, blocks), block, np.cumsum(own[:docs]), own[docs:])
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8).astype(np.int64)
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
@@ -146,15 +166,74 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+# the letters from U+00C0 to U+00FF are this byte and one from 0x80; U+00D7 and U+00F7 are signs
+_LATIN = 0xC3
+_KIND[[_LATIN, *range(0x80, 0xC0)]] = _LETTER
+_BAD = np.ones(256, bool)
+_BAD[[9, 10, 11, 12, 13, *range(0x20, 0x7F), _LATIN]] = False
+
+
+def plain_pieces(block: Block, words: Words) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The pieces of a block's chunks as the tokenizer's file cuts them, the block's bytes with plain chunks in lower case, and
+    which pieces are plain.
+
+    A chunk of printable ASCII and letters up to U+00FF without "<|" is plain: its pieces are runs of letters, single digits, runs of other signs, and
+    after an apostrophe that begins such a run the endings s, t, m, d, re, ve and ll. Any other chunk is one piece.
+    """
+    data, n = block.data, len(block.data)
+    low = _LOWER[data]
+    bad = _BAD[data]
+    if n > 1:
+        bad[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        latin = np.flatnonzero(data[:-1] == _LATIN) + 1
+        second = data[latin]
+        letter = (second != 0x97) & (second != 0xB7)
+        bad[latin] = ~letter
+        low[latin] += np.where(letter & (second < 0x9F), 32, 0).astype(np.uint8)
+    bads = np.concatenate([[0], np.cumsum(bad)])
+    plain = bads[words.ends] == bads[words.starts]
+    inside = np.zeros(n + 1, np.int8)
+    inside[words.starts[plain]] += 1
+    np.subtract.at(inside, words.ends[plain], 1)
+    inside = np.cumsum(inside[:n], dtype=np.int8).astype(bool)
+    kind = np.where(inside, _KIND[data], 0)
+    begins = np.zeros(n, bool)
+    if n > 1:
+        begins[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    begins[words.starts] = True
+    ends_of = np.zeros(n + 3, bool)
+    ends_of[words.ends] = True  # no piece goes on here
+    quote = np.flatnonzero(begins & inside & (data == 39))
+    padded = np.concatenate([low, np.zeros(3, np.uint8)])
+    quote = quote[~ends_of[quote + 1]]
+    one, two = padded[quote + 1], padded[quote + 2]
+    short = np.isin(one, [115, 116, 109, 100])
+    long_ = ~ends_of[quote + 2] & (np.isin(one, [114, 118]) & (two == 101) | (one == 108) & (two == 108))
+    for at, size in ((quote[short], 2), (quote[long_], 3)):
+        begins[at + 1] = False
+        after = at + size
+        after = after[~ends_of[after]]
+        begins[after[kind[after] == _LETTER]] = True
+    starts = np.flatnonzero(begins)
+    chunk = np.searchsorted(words.starts, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], n), words.ends[chunk])
+    return Words(starts, ends, np.searchsorted(starts, block.offsets)), np.where(inside, low, data), plain[chunk]
+
+
 class Encoder:
-    """tokenizers' ids of whole texts, kept by chunks between ASCII white space, which no token of the vocabulary crosses.
+    """tokenizers' ids of whole texts, kept by pieces, which no token of the vocabulary crosses.
 
-    Chunks of printable Latin-1 are lower-cased and cut as the tokenizer's file says, and the library's model encodes the
-    pieces; all other chunks, and those that may hold a special token, go through the whole library.
+    The library's model encodes the distinct pieces of plain chunks. Other chunks of printable Latin-1 are lower-cased and cut
+    as the tokenizer's file says; all others, and those that may hold a special token, go through the whole library.
     """
 
-    #: Chunks that are remembered at most.
-    MOST = 2_000_000
+    #: Pieces that are remembered at most.
+    MOST = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -174,6 +253,9 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint32)
         self.n_ids = 0
 
+    def _shown(self, piece: bytes) -> str:
+        return piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.visible)
+
     def _piece(self, p: str) -> list[int]:
         got = self.pieces.get(p)
         if got is None:
@@ -185,54 +267,71 @@ class Encoder:
             return [i for p in _PIECES.findall(text.lower()) for i in self._piece(p)]
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def _add(self, key: int, ids: list[int]) -> int:
-        place = self.places[key] = len(self.places)
-        if place >= len(self.lengths):
+    def _add(self, keys: list[int], lists: list[list[int]]) -> np.ndarray:
+        first, n = len(self.places), len(keys)
+        self.places.update(zip(keys, range(first, first + n), strict=True))
+        sizes = np.fromiter(map(len, lists), np.int64, n)
+        total = self.n_ids + int(sizes.sum())
+        while first + n > len(self.lengths):
             self.lengths, self.firsts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.lengths, self.firsts))
-        while self.n_ids + len(ids) > len(self.ids):
+        while total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.lengths[place], self.firsts[place] = len(ids), self.n_ids
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.n_ids += len(ids)
-        return place
+        self.lengths[first : first + n], self.firsts[first : first + n] = sizes, self.n_ids + np.cumsum(sizes) - sizes
+        self.ids[self.n_ids : total] = [i for x in lists for i in x]
+        self.n_ids = total
+        return np.arange(first, first + n)
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The block's ids and its documents' bounds in them."""
         words = find_words(block)
+        if not len(words.starts):
+            return np.zeros(0, np.uint32), np.zeros(len(block) + 1, np.int64)
         if len(self.places) > self.MOST or self.n_ids > 8 * self.MOST:
             self._clear()
-        key, first, inverse = np.unique(hash_words(block, words, lower=False), return_index=True, return_inverse=True)
-        place = np.fromiter((self.places.get(k, -1) for k in key.tolist()), np.int64, len(key))
+        units, data, plain = plain_pieces(block, words)
+        key, first, inverse = np.unique(hash_words(Block(block.first, data, block.offsets), units, lower=False), return_index=True, return_inverse=True)
+        keys = key.tolist()
+        place = np.fromiter(map(self.places.get, keys, [-1] * len(keys)), np.int64, len(key))
         new = np.flatnonzero(place < 0)
-        raw = block.data.tobytes()
-        for j, k, w in zip(new.tolist(), key[new].tolist(), first[new].tolist(), strict=True):
-            place[j] = self._add(k, self.chunk(raw[words.starts[w] : words.ends[w]].decode()))
+        if len(new):
+            at, raw, tokenize, chunk, shown = first[new], data.tobytes(), self.model.tokenize, self.chunk, self._shown
+            lists = [
+                [t.id for t in tokenize(shown(raw[a:b]))] if p else chunk(raw[a:b].decode())
+                for a, b, p in zip(units.starts[at].tolist(), units.ends[at].tolist(), plain[at].tolist(), strict=True)
+            ]
+            place[new] = self._add(key[new].tolist(), lists)
         place = place[inverse]
         n = self.lengths[place]
         ends = np.cumsum(n)
-        at = np.repeat(self.firsts[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return self.ids[at], np.concatenate([[0], ends])[words.bounds]
+        at = np.repeat(self.firsts[place] - (ends - n), n) + np.arange(ends[-1])
+        return self.ids[at], np.concatenate([[0], ends])[units.bounds]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
-def shards(docs: DataFrame, path: str, end_id: int, bits: int) -> DataFrame:
-    """One row per shard: part, seq, n_docs, n_ids, doc_ids and lengths (documents in order) and image (bytes).
+def shards(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """One row per shard: part, seq, n_docs, n_ids and image (bytes, with the document table).
 
-    Parts are in doc_id order, and so is seq inside a part. Null texts count as empty; null ids come first.
+    Parts are in doc_id order, and so is seq inside a part. Null texts count as empty; rows without an id are left out, as a
+    document table has none for them; repeated rows are documents of their own.
     """
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, seq, part = Encoder(path), [], 0, 0
+        encoder, held, seq, part = _encoder(path), [], 0, 0
 
         def close():
             ids, lengths, values = zip(*held, strict=True)
             values, lengths, doc_ids = np.concatenate(values), np.concatenate(lengths), [i for x in ids for i in x]
-            image = WaveletMatrix.build(values, bits).to_bytes()
+            image = WaveletMatrix.build(values, doc_ids, lengths).to_bytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([image], pa.binary())],
-                ["part", "seq", "n_docs", "n_ids", "doc_ids", "lengths", "image"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([image], pa.binary())], ["part", "seq", "n_docs", "n_ids", "image"]
             )
 
         total = 0
@@ -241,7 +340,7 @@ def shards(docs: DataFrame, path: str, end_id: int, bits: int) -> DataFrame:
                 continue
             part = batch.column("part")[0].as_py()
             doc_ids = batch.column("doc_id").to_pylist()
-            for block in text_blocks(batch.column("text")):
+            for block in text_blocks(batch.column("text"), TEXT_BYTES):
                 ids, bounds = encoder.encode(block)
                 lengths = np.diff(bounds) + 1
                 values = np.insert(ids, bounds[1:], end_id)
@@ -253,40 +352,39 @@ def shards(docs: DataFrame, path: str, end_id: int, bits: int) -> DataFrame:
         if held:
             yield close()
 
-    return ordered.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, image binary")
+    return ordered.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, image binary")
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, bits: int = 16, folder: str | None = None) -> str:
-    """Writes the shards' images and returns the folder."""
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> str:
+    """Writes the shards' images and returns the folder. Without documents there is no shard."""
     folder = folder or shared_dir(docs.sparkSession)
-    shards(docs, tokenizer, end_id, bits).write.parquet(folder)
+    shards(docs, tokenizer, end_id).write.parquet(folder)
     return folder
 
 
 def read_documents(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the images.
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the images alone.
 
-    The shards' starts are sums over a table of one small row per shard.
+    A shard's start is the sum of the sizes before it: the parts' sums over a window of one row per part, and within a part a
+    window over its shards.
     """
     table = spark.read.parquet(folder)
-    sizes = table.select("part", "seq", "n_ids").orderBy("part", "seq").collect()  # one row per SHARD_IDS ids
-    starts, total = {}, 0
-    for r in sizes:
-        starts[(r.part, r.seq)] = total
-        total += r.n_ids
-    shared = spark.sparkContext.broadcast(starts)
+    sizes = table.select("part", "seq", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # one row per part of the range partitioning
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    starts = sizes.select("part", "seq", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("inner"))
+    placed = table.select("part", "seq", "image").join(starts.join(parts, "part").select("part", "seq", (F.col("inner") + F.col("before")).alias("start")), ["part", "seq"])
 
     def make() -> Callable:
         def step(batch):
-            for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i] for k in ("part", "seq", "doc_ids", "lengths", "image")}
-                values = WaveletMatrix.from_bytes(row["image"].as_py()).decode().astype("<u4")
-                lengths = np.asarray(row["lengths"].values, np.int64)
-                bounds = np.concatenate([[0], np.cumsum(lengths)])
-                start = shared.value[(row["part"].as_py(), row["seq"].as_py())]
+            for start, image in zip(batch.column("start").to_pylist(), batch.column("image"), strict=True):
+                shard = WaveletMatrix.from_bytes(image.as_py())
+                values = shard.decode().astype("<u4")
+                bounds = np.concatenate([[0], np.cumsum(shard.lengths)])
                 crc = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(bounds[:-1] + start), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(bounds[:-1] + start), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
         return step
 
-    return map_batches(table.select("part", "seq", "doc_ids", "lengths", "image"), make, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(placed.select("start", "image"), make, "doc_id long, start long, n_tokens long, ids_crc32 long")

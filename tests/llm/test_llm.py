@@ -298,14 +298,33 @@ def test_bpe_against_library(docs, texts):
 
 
 def test_wavelet_matrix():
-    values = np.random.default_rng(3).integers(0, 50, 3000)
-    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(values, 16).to_bytes())
-    assert (m.decode() == values).all() and [m.access(i) for i in (0, 7, 2999)] == values[[0, 7, 2999]].tolist()
-    for s in (0, 17, 49, 51):
-        places = np.flatnonzero(values == s)
-        assert m.rank(s, 3000) == len(places) and m.rank(s, 1000) == (places < 1000).sum() and m.select(s, len(places)) == -1
-        assert all(m.select(s, k) == p for k, p in list(enumerate(places.tolist()))[::7])
-    assert wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build([], 16).to_bytes()).n == 0
+    for values in (np.random.default_rng(3).integers(0, 50, 3000), np.random.default_rng(4).integers(0, 90000, 2 * wavelet.BLOCK_BITS + 5)):
+        n = len(values)
+        m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(values, [7, -2, 9], [10, 0, n - 10]).to_bytes())
+        assert (m.decode() == values).all() and [m.access(i) for i in (0, 7, n - 1)] == values[[0, 7, n - 1]].tolist()
+        assert m.doc_ids.tolist() == [7, -2, 9] and m.document(0).tolist() == values[:10].tolist() and not len(m.document(1))
+        for s in (0, 17, 49, 51, int(values[-1]), 1 << 20):
+            places = np.flatnonzero(values == s)
+            assert m.rank(s, n) == len(places) and m.rank(s, 1000) == (places < 1000).sum() and m.select(s, len(places)) == -1
+            assert all(m.select(s, k) == p for k, p in list(enumerate(places.tolist()))[::7])
+    assert wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build([]).to_bytes()).n == 0
+    assert wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build([0, 0]).to_bytes()).decode().tolist() == [0, 0]
+
+
+def test_pieces_against_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from maskwright.llm.common import text_blocks
+
+    rng = random.Random(8)
+    parts = ["'", "''", "s", "S", "t", "re", "ve", "ll", "LL", "m", "d", "'s", "a", "Zz", "1", "42", "!", "!'", "-", " ", "\n", "é", "<", "|", "<|endoftext|>", "\x1c", "\u00a0", "J\u030c", "I'll", "É", "ß", "Þ", "×", "÷", "ÿ", "µ", "²", "ÀB", "\u0307", "I"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    library, encoder = Tokenizer.from_file(WORDS), wavelet.Encoder(WORDS)
+    for block in text_blocks(pa.array(texts)):
+        ids, bounds = encoder.encode(block)
+        for i in range(len(block)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(texts[block.first + i], add_special_tokens=False).ids, texts[block.first + i]
 
 
 def test_token_shards_against_library(spark, docs, texts):
