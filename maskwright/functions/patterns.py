@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import NamedTuple
 
 
@@ -107,9 +109,25 @@ PATTERNS = (
 LANGUAGES = ("zh", "en", "ja", "ko", "de", "uk", "in", "br")
 
 
-def patterns_for(langs: list[str] | tuple[str, ...]) -> list[Pattern]:
+@dataclass(frozen=True)
+class LanguagePack:
+    """Patterns, checks and stand-ins that a caller adds; a `lang` of its own becomes one more language, "shared" holds always.
+
+    Patterns name their check; `checks` are (name, predicate) and `fakers` (type, function of the value and a stream of
+    numbers). A pack is passed to the frames' functions and goes with their closures to the executors.
+    """
+
+    lang: str
+    patterns: tuple[Pattern, ...] = ()
+    checks: tuple[tuple[str, Callable[[str], bool]], ...] = ()
+    fakers: tuple[tuple[str, Callable], ...] = ()
+
+
+def patterns_for(langs: list[str] | tuple[str, ...], packs: tuple[LanguagePack, ...] = ()) -> list[Pattern]:
     """The shared patterns, then those of each language in the order given; an unknown language is a ValueError."""
-    unknown = [x for x in langs if x not in LANGUAGES]
+    known = (*LANGUAGES, *(x.lang for x in packs if x.lang not in LANGUAGES and x.lang != "shared"))
+    unknown = [x for x in langs if x not in known]
     if unknown:
-        raise ValueError(f"unknown language: {', '.join(unknown)}; known: {', '.join(LANGUAGES)}")
-    return [p for x in ("shared", *dict.fromkeys(langs)) for p in PATTERNS if p.lang == x]
+        raise ValueError(f"unknown language: {', '.join(unknown)}; known: {', '.join(known)}")
+    listed = [*PATTERNS, *(p for x in packs for p in x.patterns)]
+    return [p for x in ("shared", *dict.fromkeys(langs)) for p in listed if p.lang == x]

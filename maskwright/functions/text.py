@@ -26,6 +26,16 @@ _CN = str.maketrans(CHINESE_DIGITS, CHINESE_DIGIT_VALUES)
 _RUN = re.compile(rf"[\d²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐{CHINESE_DIGITS}](?:[{re.escape(DIGIT_SEPARATORS)}]*[\d²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐{CHINESE_DIGITS}])*")
 
 
+_ODD = re.compile(f"[{INVISIBLE}{CONFUSABLE_FROM}]")
+_CN_ANY = re.compile(f"[{CHINESE_DIGITS}]")
+
+
+def _ascii_run(m: re.Match) -> str:
+    run = m[0]
+    digits = sum(c not in DIGIT_SEPARATORS for c in run)
+    return run.translate(_CN) if digits >= LEAST_DIGIT_RUN and any(c in CHINESE_DIGITS for c in run) else run
+
+
 def normalize(text: str) -> tuple[str, list[int] | None]:
     """The text that patterns see and, if it differs, each character's place in the original.
 
@@ -34,6 +44,9 @@ def normalize(text: str) -> tuple[str, list[int] | None]:
     """
     if text.isascii():
         return text, None
+    if not _ODD.search(text) and unicodedata.is_normalized("NFKC", text):
+        out = _RUN.sub(_ascii_run, text) if _CN_ANY.search(text) else text
+        return (text, None) if out == text else (out, list(range(len(out))))
     kept = [(i, c) for i, c in enumerate(text.translate(_LOOKS)) if c not in INVISIBLE]
     places, chars = [], []
     for i, c in kept:
@@ -41,13 +54,7 @@ def normalize(text: str) -> tuple[str, list[int] | None]:
         chars.append(wide)
         places.extend([i] * len(wide))
     out = "".join(chars)
-
-    def ascii_run(m: re.Match) -> str:
-        run = m[0]
-        digits = sum(c not in DIGIT_SEPARATORS for c in run)
-        return run.translate(_CN) if digits >= LEAST_DIGIT_RUN and any(c in CHINESE_DIGITS for c in run) else run
-
-    out = _RUN.sub(ascii_run, out)
+    out = _RUN.sub(_ascii_run, out)
     return (text, None) if out == text else (out, places)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 from typing import NamedTuple
 
-from maskwright.functions.patterns import LANGUAGES, patterns_for
+from maskwright.functions.gates import Gated
+from maskwright.functions.patterns import LANGUAGES, LanguagePack, patterns_for
 from maskwright.functions.text import normalize, original_span
 from maskwright.functions.validators import PREDICATES
 
@@ -60,21 +61,23 @@ _COMMAND = re.compile("|".join(f"(?:{p})" for p in COMMAND_PATTERNS), re.I)
 
 
 @lru_cache(maxsize=256)
-def _compiled(langs: tuple[str, ...]) -> tuple:
-    """Patterns without a check first: among matches that begin together these come first."""
-    listed = sorted(patterns_for(langs), key=lambda p: bool(p.validator))
-    return tuple((p, re.compile(p.regex), PREDICATES.get(p.validator)) for p in listed)
+def _compiled(langs: tuple[str, ...], packs: tuple[LanguagePack, ...] = ()) -> tuple:
+    """Patterns without a check first: among matches that begin together these come first; and their gates."""
+    checks = PREDICATES | {k: f for x in packs for k, f in x.checks}
+    listed = sorted(patterns_for(langs, packs), key=lambda p: bool(p.validator))
+    return tuple((p, re.compile(p.regex), checks.get(p.validator)) for p in listed), Gated([p.regex for p in listed])
 
 
 def false_positive(text: str, start: int, end: int) -> bool:
     return bool(_BEFORE.search(text[max(0, start - CONTEXT) : start]) or _AFTER.match(text[end : end + CONTEXT]))
 
 
-def match_patterns(text: str, langs: Iterable[str]) -> tuple[list[Entity], list[Entity]]:
+def match_patterns(text: str, langs: Iterable[str], packs: tuple[LanguagePack, ...] = ()) -> tuple[list[Entity], list[Entity]]:
     """Matches in order of their start, and near misses: matches that fail their check (confidence 0.3)."""
     found, near = [], []
-    for p, regex, check in _compiled(tuple(langs)):
-        for m in regex.finditer(text):
+    listed, gates = _compiled(tuple(langs), packs)
+    for (p, regex, check), may in zip(listed, gates.passing(text), strict=True):
+        for m in regex.finditer(text) if may else ():
             g = p.group if p.group and m[p.group] else 0
             e = Entity(*m.span(g), m[g], p.type)
             if check and not check(e.text):
@@ -181,7 +184,7 @@ Model = Callable[[str], Iterable[Entity]]
 class Detector:
     """Detects with fixed options; `models` are (layer, model) pairs: layer 2 runs in modes ner and auto, 3 in auto."""
 
-    def __init__(self, langs="zh", *, mode="fast", names=(), types=None, types_exclude=None, models: tuple[tuple[int, Model], ...] = (), name_lists=None):
+    def __init__(self, langs="zh", *, mode="fast", names=(), types=None, types_exclude=None, models: tuple[tuple[int, Model], ...] = (), name_lists=None, packs: tuple[LanguagePack, ...] = ()):
         from .names import NameLists
 
         if mode not in ("fast", "ner", "auto"):
@@ -189,8 +192,9 @@ class Detector:
         if types is not None and types_exclude is not None:
             raise ValueError("types and types_exclude exclude each other")
         self.langs = [langs] if isinstance(langs, str) else list(langs)
+        self.packs = tuple(packs)
         if self.langs != ["auto"]:
-            patterns_for(self.langs)
+            patterns_for(self.langs, self.packs)
         self.mode, self.names, self.models = mode, tuple(n for n in names or () if n), models
         self.types, self.types_exclude = types and frozenset(types), types_exclude and frozenset(types_exclude)
         self.lists = name_lists or NameLists()
@@ -202,7 +206,7 @@ class Detector:
 
         langs = [x for x in detect_languages(text) if x in LANGUAGES] if self.langs == ["auto"] else self.langs
         seen, places = normalize(text)
-        raw, near = match_patterns(seen, langs)
+        raw, near = match_patterns(seen, langs, self.packs)
         first = []
         for e in raw:
             a, b = original_span(e.start, e.end, places, len(text))

@@ -28,18 +28,21 @@ def match_values(predicted: DataFrame, gold: DataFrame, doc: str = "doc_id") ->
 def match_spans(predicted: DataFrame, gold: DataFrame, doc: str = "doc_id", tolerance: int = 3) -> DataFrame:
     """The same with spans: a prediction and a gold span of one type match if both ends differ by at most `tolerance`.
 
-    Starts fall into bins of tolerance + 1 characters, so that the join is an equi-join on neighbouring bins; each span
-    is matched once, nearest first from both sides.
+    Starts fall into bins of tolerance + 1 characters, so that the join is an equi-join on neighbouring bins. Each span is
+    matched once: gold spans in their order take the first prediction that is near and free. The near pairs of a document
+    and type are folded in that order.
     """
     width = tolerance + 1
     p = predicted.select(doc, "type", F.col("start").alias("ps"), F.col("end").alias("pe")).withColumn("pid", F.monotonically_increasing_id())
     g = gold.select(doc, "type", F.col("start").alias("gs"), F.col("end").alias("ge")).withColumn("gid", F.monotonically_increasing_id())
     bins = p.withColumn("bin", F.explode(F.array(*(F.floor(F.col("ps") / width) + k for k in (-1, 0, 1)))))
     near = bins.join(g.withColumn("bin", F.floor(F.col("gs") / width)), [doc, "type", "bin"]).where(f"abs(ps - gs) <= {tolerance} AND abs(pe - ge) <= {tolerance}")
-    near = near.withColumn("far", F.abs(F.col("ps") - F.col("gs")) + F.abs(F.col("pe") - F.col("ge")))
-    first = lambda side, other: F.row_number().over(Window.partitionBy(doc, "type", side).orderBy("far", other))
-    pairs = near.withColumn("a", first("ps", "gs")).withColumn("b", first("gs", "ps")).where("a = 1 AND b = 1")
-    tp = pairs.groupBy("type").agg(F.count("*").alias("tp"))
+    pairs = near.groupBy(doc, "type").agg(F.array_sort(F.collect_list(F.struct("gs", "ge", "gid", "ps", "pe", "pid"))).alias("near"))
+    folded = F.expr(
+        "aggregate(near, named_struct('taken', cast(array() AS array<bigint>), 'last', -1L), (s, x) -> if(x.gid = s.last OR array_contains(s.taken, x.pid), s, "
+        "named_struct('taken', array_append(s.taken, x.pid), 'last', x.gid)), s -> size(s.taken))"
+    )
+    tp = pairs.groupBy("type").agg(F.sum(folded.cast("long")).alias("tp"))
     total = lambda d, n: d.groupBy("type").agg(F.count("*").alias(n))
     counts = total(p, "np").join(total(g, "ng"), "type", "full").join(tp, "type", "left").fillna(0, ["np", "ng", "tp"])
     return _scores(counts.select("type", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn")))

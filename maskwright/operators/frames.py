@@ -7,6 +7,7 @@ characters get null results and `oversize` true instead of failing the job.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,18 @@ def _arrow_type(ddl: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(ddl))
 
 
+#: Bytes of a scan's estimated size for each core below which rows are dealt out anew, as few row groups leave cores idle;
+#: and bytes below which one core will do.
+SPREAD_BYTES, LEAST_SPREAD = 64 << 20, 256 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs over all cores; large ones, which have row groups enough, stay where they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if not df.isStreaming and LEAST_SPREAD <= size < cores * SPREAD_BYTES else df
+
+
 def append_columns(df: DataFrame, inputs: list[str], made: dict[str, str], make) -> DataFrame:
     """Adds columns: make() gives, once per task, a function from the inputs' values to a tuple of the new ones' values."""
     clash = set(made) & set(df.columns)
@@ -63,19 +76,26 @@ def append_columns(df: DataFrame, inputs: list[str], made: dict[str, str], make)
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *kinds])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
-def detect(df: DataFrame, text: str = "text", *, lang="zh", mode="fast", names=(), types=None, types_exclude=None, models=(), name_lists=None, out: str = "detected") -> DataFrame:
-    """Adds `out`: entities, languages, hints and layers' counts. lang: a code, several, or "auto"."""
-    options = dict(mode=mode, names=names, types=types, types_exclude=types_exclude, models=tuple(models), name_lists=name_lists)
+def detect(df: DataFrame, text: str = "text", *, lang="zh", mode="fast", names=(), types=None, types_exclude=None, models=(), name_lists=None, packs=(), timed: str | None = None, out: str = "detected") -> DataFrame:
+    """Adds `out`: entities, languages, hints and layers' counts. lang: a code, several, or "auto". `timed` names a column
+    with the milliseconds that each text took."""
+    options = dict(mode=mode, names=names, types=types, types_exclude=types_exclude, models=tuple(models), name_lists=name_lists, packs=tuple(packs))
     Detector(lang, **options)
 
     def make():
         detector = Detector(lang, **options)
-        return lambda t: (None if t is None else _row(None, True) if len(t) > MAX_CHARS else _row(detector.detect(t)),)
 
-    return append_columns(df, [text], {out: DETECTED}, make)
+        def one(t):
+            began = time.perf_counter()
+            done = None if t is None else _row(None, True) if len(t) > MAX_CHARS else _row(detector.detect(t))
+            return (done, (time.perf_counter() - began) * 1000) if timed else (done,)
+
+        return one
+
+    return append_columns(df, [text], {out: DETECTED} | ({timed: "double"} if timed else {}), make)
 
 
 def entities(detected: DataFrame, keys: list[str], column: str = "detected") -> DataFrame:
@@ -85,14 +105,14 @@ def entities(detected: DataFrame, keys: list[str], column: str = "detected") ->
 
 def redact(
     df: DataFrame, text: str = "text", *, salt, lang="zh", mode="fast", config=None, profile=None, names=(), types=None, types_exclude=None, models=(), name_lists=None, unified_prefix=None, key: str | None = None,
-    out: str = "redacted",
+    packs=(), out: str = "redacted",
 ) -> DataFrame:
     """Adds `out`: struct of text, key (replacement -> original), types, entities, warnings, oversize.
 
     `key` names a map column with replacements to use again.
     """
     config, types = with_profile(profile, check_config(config), types)
-    options = dict(mode=mode, names=names, types=types, types_exclude=types_exclude, models=tuple(models), name_lists=name_lists)
+    options = dict(mode=mode, names=names, types=types, types_exclude=types_exclude, models=tuple(models), name_lists=name_lists, packs=tuple(packs))
     Detector(lang, **options)
     made = f"struct<text:string,key:{KEY},types:{KEY},entities:array<{ENTITY_TYPE}>,langs:array<string>,warnings:array<string>,oversize:boolean>"
 
@@ -105,7 +125,7 @@ def redact(
             if len(t) > MAX_CHARS:
                 return ({"text": None, "key": None, "types": None, "entities": None, "langs": None, "warnings": None, "oversize": True},)
             d = detector.detect(t)
-            r = replace(t, d.entities, salt=salt, key=dict(had or ()), config=config, langs=d.langs, unified_prefix=unified_prefix)
+            r = replace(t, d.entities, salt=salt, key=dict(had or ()), config=config, langs=d.langs, unified_prefix=unified_prefix, packs=detector.packs)
             body = fix_grammar(r.text, r.key) if d.langs and d.langs[0] == "en" else r.text
             return ({"text": body, "key": list(r.key.items()), "types": list(r.types.items()), "entities": [e._asdict() for e in d.entities], "langs": d.langs, "warnings": r.warnings, "oversize": False},)
 
@@ -117,7 +137,7 @@ def redact(
 def three_forms(detector: Detector, text: str, *, salt, config: dict, existing=None, audit_existing=None, unified_prefix=None, marker=None) -> dict:
     """Audit codes, realistic text and marked text from one detection; keys of both replacements apart and together."""
     d = detector.detect(text)
-    options = dict(salt=salt, langs=d.langs, unified_prefix=unified_prefix)
+    options = dict(salt=salt, langs=d.langs, unified_prefix=unified_prefix, packs=detector.packs)
     real = replace(text, d.entities, key=existing, config=config, **options)
     audit = replace(text, d.entities, key=audit_existing, config={k: {"strategy": "remove"} for k in config}, **options)
     grammar = d.langs[:1] == ["en"]
@@ -134,14 +154,14 @@ def override_strategies(config: dict, overrides: dict[str, str] | None) -> dict:
 
 def redact3(
     df: DataFrame, text: str = "text", *, salt, lang="zh", mode="fast", names=(), types=None, types_exclude=None, models=(), name_lists=None, strict_input=True, reserved_names=None, strategy_overrides=None,
-    unified_prefix=None, display_marker=None, existing_key: str | None = None, on_polluted: str = "flag", out: str = "forms",
+    unified_prefix=None, display_marker=None, existing_key: str | None = None, on_polluted: str = "flag", packs=(), out: str = "forms",
 ) -> DataFrame:
     """Adds `out`: audit, downstream and display texts, the joint key, aliases, polluted and oversize.
 
     Polluted rows (strict_input) have null texts and polluted = true; on_polluted="raise" fails the job instead.
     """
     config = override_strategies(with_profile("pseudonym-llm", None, None)[0], strategy_overrides)
-    options = dict(mode=mode, names=names, types=types, types_exclude=types_exclude, models=tuple(models), name_lists=name_lists)
+    options = dict(mode=mode, names=names, types=types, types_exclude=types_exclude, models=tuple(models), name_lists=name_lists, packs=tuple(packs))
     Detector(lang, **options), salt_bytes(salt), marker_of(display_marker)
     made = f"struct<audit_text:string,downstream_text:string,display_text:string,key:{KEY},aliases:map<string,array<string>>,polluted:boolean,oversize:boolean>"
     empty = {"audit_text": None, "downstream_text": None, "display_text": None, "key": None, "aliases": None}

@@ -39,13 +39,14 @@ class LeafRedactor:
     """Redacts strings in turn with one growing key."""
 
     def __init__(self, detector: Detector, salt, config, key=None):
-        self.detector, self.salt, self.config, self.key, self.types = detector, salt, check_config(config), dict(key or {}), {}
+        self.detector, self.salt, self.config, self.key, self.types, self.last = detector, salt, check_config(config), dict(key or {}), {}, ()
 
     def __call__(self, text: str) -> str:
         d = self.detector.detect(text)
         r = replace(text, d.entities, salt=self.salt, key=self.key, config=self.config, langs=d.langs)
         self.key = r.key
         self.types.update(r.types)
+        self.last = tuple(r.types)  # the replacements of this text
         return fix_grammar(r.text, r.key) if d.langs[:1] == ["en"] else r.text
 
 
@@ -128,26 +129,37 @@ def redact_csv(df: DataFrame, column: str = "content", *, salt, lang="zh", confi
     return append_columns(df, [column], {out: f"struct<csv:string,key:{KEY}>"}, make)
 
 
-def redact_turns(df: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text", *, salt, lang="zh", config=None, **options) -> DataFrame:
-    """Many turns with one key for a session: adds redacted, and the session's key so far.
+def restore_csv(df: DataFrame, column: str, key: str, out: str = "restored") -> DataFrame:
+    """column: CSV texts, restored as whole strings by the map column `key`; null gives null."""
+    from .frames import restore_text
+
+    return restore_text(df, column, key, out=out)
+
+
+def redact_turns(df: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text", *, salt, lang="zh", config=None, cumulate: bool = False, **options) -> DataFrame:
+    """Many turns with one key for a session: adds redacted, and turn_key with the replacements of this turn. With `cumulate`
+    also session_key, the session's key so far, whose rows grow with the session's length.
 
     Rows are dealt by session and sorted by turn; a task holds one session's key at a time, never its rows.
     """
     import pyarrow as pa
 
     Detector(lang, **options)
-    schema = StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], f"redacted string, session_key {KEY}").schema.fields])
+    schema = StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], f"redacted string, turn_key {KEY}" + (f", session_key {KEY}" if cumulate else "")).schema.fields])
     ordered = df.repartition(session).sortWithinPartitions(session, turn, text)
 
     def run(batches):
         detector, leaf, now = Detector(lang, **options), None, object()
         for b in batches:
-            done, keys = [], []
+            done, own, keys = [], [], []
             for s, t in zip(b.column(session).to_pylist(), b.column(text).to_pylist(), strict=True):
                 if s != now:
                     leaf, now = LeafRedactor(detector, salt, config), s
                 done.append(None if t is None else leaf(t))
-                keys.append(list(leaf.key.items()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string()), pa.array(keys, pa.map_(pa.string(), pa.string()))], [*b.schema.names, "redacted", "session_key"])
+                own.append([] if t is None else [(r, leaf.key[r]) for r in leaf.last if r in leaf.key])
+                if cumulate:
+                    keys.append(list(leaf.key.items()))
+            kind = pa.map_(pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string()), pa.array(own, kind), *([pa.array(keys, kind)] if cumulate else [])], [*b.schema.names, "redacted", "turn_key", *(["session_key"] if cumulate else [])])
 
     return ordered.mapInArrow(run, schema)

@@ -175,10 +175,10 @@ def restore_safety(spark, d):
 
 
 def conversations_redact(spark, d):
-    """One key for a conversation: each turn restores to itself with the key so far."""
+    """One key for a conversation: each turn restores to itself with its own part of the key."""
     t = read_table(spark, d, "conversations")
     r = structured.redact_turns(t, salt=SALT, lang="en", config={k: {"strategy": "remove"} for k in ("email", "phone", "credit_card")})
-    back = frames.restore_text(r, "redacted", "session_key")
+    back = frames.restore_text(r, "redacted", "turn_key")
     return back.select("conv_id", "turn", "role", F.coalesce(F.col("restored") == F.col("text"), F.lit(True)).alias("same"))
 
 

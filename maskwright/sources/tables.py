@@ -59,6 +59,23 @@ def load_options(path: str) -> dict:
         return json.load(f)
 
 
+def perf_records(timed: DataFrame, text: str = "text", detected: str = "detected", ms: str = "ms", slow_ms: float = 50.0, rate: float = 0.01, mode: str = "fast") -> DataFrame:
+    """One row per text of frames.detect(..., timed=ms): sizes, entities, milliseconds, slow and sampled. Slow texts are all
+    there, of the others a share of `rate`, chosen by a hash of the row so that a task that runs again keeps the same."""
+    chosen = F.pmod(F.xxhash64(text, F.lit("perf")), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
+    rows = timed.where(F.col(text).isNotNull()).select(
+        F.length(text).cast("long").alias("text_len"), (F.length(F.regexp_replace(text, "[^\\x00-\\x7f]", "")) / F.greatest(F.length(text), F.lit(1))).alias("text_ascii_ratio"), F.col(f"{detected}.langs").alias("lang"),
+        F.lit(mode).alias("mode"), F.col(ms).alias("total_ms"), F.size(f"{detected}.entities").cast("long").alias("entities_found"),
+        F.array_sort(F.array_distinct(F.transform(f"{detected}.entities", lambda e: e["type"]))).alias("entity_types"), (F.col(ms) >= slow_ms).alias("slow"), chosen.alias("sampled"),
+    )
+    return rows.where("slow OR sampled").withColumn("sampled", F.col("sampled") & ~F.col("slow"))
+
+
+def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
+    """JSON lines."""
+    records.write.mode(mode).json(path)
+
+
 class RunMetrics:
     """Counts of a redaction run, gathered while it runs: `watch` the frame, act on it, then `record`."""
 

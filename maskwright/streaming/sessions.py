@@ -1,7 +1,8 @@
 """Redaction and restoring of chunked streams with state for each session (Structured Streaming, RocksDB state).
 
 Chunks (session, seq, chunk, is_last) are buffered up to the last sentence end, so that values cut by chunk borders are
-found whole. Within a micro-batch rows are taken by seq; a session's batches follow each other. is_last flushes the rest.
+found whole. Within a micro-batch rows are taken by seq; a session's batches follow each other. is_last flushes the rest
+and clears the session's state.
 State holds the buffer and two maps, original -> stand-in and original -> audit code, apart from each other, so that a
 value that returns in a later chunk gets its stand-in in the downstream text and its code in the audit text. The salt is
 configuration and never part of the state.
@@ -92,6 +93,10 @@ class _Redactor(StatefulProcessor):
             forms = session.feed(r.chunk or "", bool(r.is_last))
             if forms:
                 out.append((key[0], int(r.seq), forms["audit_text"], forms["downstream_text"], forms["display_text"]))
+        if bool(batch["is_last"].any()):  # the session is over: nothing of it is kept
+            self.buffer.clear(), self.fakes.clear(), self.codes.clear()
+            yield pd.DataFrame(out, columns=["session", "seq", "audit_text", "downstream_text", "display_text"])
+            return
         self.buffer.update((session.buffer,))
         for state, old, new in ((self.fakes, before[0], session.fakes), (self.codes, before[1], session.codes)):
             for original, replacement in new.items():
@@ -111,12 +116,13 @@ class _Restorer(StatefulProcessor):
         self.buffer = handle.getValueState("buffer", "value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, out = self.buffer.get()[0] if self.buffer.exists() else "", []
+        held, out, over = self.buffer.get()[0] if self.buffer.exists() else "", [], False
         for r in pd.concat(rows).sort_values("seq", kind="stable").itertuples():
             ready, held = split_at_boundary(held, r.chunk or "", None, bool(r.is_last))
             if ready:
                 out.append((key[0], int(r.seq), restore(ready, dict(r.key or {}))))
-        self.buffer.update((held,))
+            over = over or bool(r.is_last)
+        self.buffer.clear() if over else self.buffer.update((held,))
         yield pd.DataFrame(out, columns=["session", "seq", "text"])
 
     def close(self) -> None:

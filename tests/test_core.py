@@ -139,3 +139,37 @@ def test_roundtrip(parts, salt):
     r = replace(text, d.entities, salt=salt, config=config, langs=["en"])
     assert restore(r.text, r.key) == text
     assert not any(e.text in r.text for e in d.entities if e.type in ("email", "credit_card"))
+
+
+def test_gates_never_rule_out_a_match():
+    """Detection with and without gates, over literal texts, mixed case and every pattern."""
+    import random
+
+    from maskwright.functions import gates, patterns
+
+    rng = random.Random(3)
+    parts = ["a@b.co", "12", "4111-1111-1111-1111", "sk-ant-", "Diagnosed With Flu", "My Mother", "护照号:E12345678", "IMEI", "ſalary $5", "DOB 01/02/1990", "aged 40", "岁", "我的", " ", "\n", "+1 555", "AKIA" + "A" * 16, "credit score 700", "GAY", "baptism", "1.2.3.4", "::1", "QQ 12345", "born"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    import re
+
+    gated = gates.Gated([p.regex for p in patterns.PATTERNS])
+    compiled = [re.compile(p.regex) for p in patterns.PATTERNS]
+    for t in texts:
+        for ok, r in zip(gated.passing(t), compiled, strict=True):
+            assert ok or not r.search(t), (r.pattern, t)
+    assert sum(g[0] is not None or g[1] for g in gated.gates) >= 80
+
+
+def test_normalize_paths_agree():
+    import random
+    import unicodedata
+
+    from maskwright.functions import text as t
+
+    rng = random.Random(4)
+    parts = ["a", "é", "é", "Ａ", "ﬁ", "①", "一二三四五六七", "１２３", "​", "а", "中", "가", " ", "-", "9"]
+    for _ in range(3000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        wide = "".join(c if c.isascii() else unicodedata.normalize("NFKC", c) for c in s.translate(t._LOOKS) if c not in t.INVISIBLE)
+        out, places = t.normalize(s)
+        assert out == t._RUN.sub(t._ascii_run, wide) and (places is None) == (out == s) and (places is None or len(places) == len(out))
