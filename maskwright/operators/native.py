@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.gates import ODD_CASE, gate
 from maskwright.functions.patterns import Pattern, patterns_for
 from maskwright.functions.text import mask_column
 from maskwright.functions.validators import column as valid
 
 from .entities import CONTEXT, ENTITY_TYPE, FALSE_AFTER, FALSE_BEFORE, SELF
+from .frames import spread
 
 _EMPTY = f"array<{ENTITY_TYPE}>"
 
@@ -27,29 +30,51 @@ def java_regex(regex: str) -> str:
     return "(?U)" + re.sub(r"\(\?P<\w+>", "(", regex)
 
 
-def group_number(regex: str, name: str) -> int:
-    return re.compile(regex).groupindex[name]
-
-
-def spans(text: Column, regex: str, group: int = 0) -> Column:
-    """array<struct<start,end,text,mstart,mend>>: group's span (the whole match's where the group is empty) and the match's."""
-    java = java_regex(regex)
+def split_group(regex: str, name: str) -> str | None:
+    """The pattern with what stands before the named group as group 1 and the named group as group 2; None where the group
+    isn't a part of the pattern's outermost sequence."""
+    parsed = _parser.parse(regex)
+    number = parsed.state.groupdict[name]
+    at = regex.index(f"(?P<{name}>")
+    if not any(op is _constants.SUBPATTERN and value[0] == number for op, value in parsed) or re.compile(regex[:at]).groups:
+        return None
+    return f"({regex[:at]}){regex[at:]}"
+
+
+def may_match(text: Column, regex: str) -> Column:
+    """Whether the text holds what a match needs; a scan for literals is far cheaper than the pattern."""
+    literals, digit = gate(regex)
+    ok = text.rlike("(?U)\\d") if digit else F.lit(True)
+    if literals:
+        low = F.lower(text)
+        # letters whose case folding isn't that of lower() pass
+        ok = ok & (reduce(lambda x, y: x | y, (F.contains(low, F.lit(v)) for v in sorted(literals))) | text.rlike(f"[{''.join(sorted(ODD_CASE))}]"))
+    return ok
+
+
+def spans(text: Column, regex: str, group: str = "") -> Column:
+    """array<struct<start,end,text,mstart,mend>>: the named group's span (the whole match's where it is empty) and the match's."""
+    split = split_group(regex, group) if group else None
+    java = java_regex(split or regex)
     whole = F.regexp_extract_all(text, F.lit(java), F.lit(0))
     gaps = F.transform(F.split(text, java, -1), lambda g: F.length(g))
-    parts = F.regexp_extract_all(text, F.lit(java), F.lit(group)) if group else whole
-    zipped = F.transform(whole, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("gap"), F.get(parts, i).alias("g")))
+    parts = F.regexp_extract_all(text, F.lit(java), F.lit(2 if split else re.compile(regex).groupindex[group])) if group else whole
+    heads = F.regexp_extract_all(text, F.lit(java), F.lit(1)) if split else whole
+    zipped = F.transform(whole, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("gap"), F.get(parts, i).alias("g"), F.get(heads, i).alias("h")))
 
     def step(state: Column, x: Column) -> Column:
         a = state["at"] + x["gap"]
-        # the group's place in its match: it is the match's end or the only such text in what a prefix leaves
-        inner = F.when(x["g"] == "", 0).when(F.right(x["m"], F.length(x["g"])) == x["g"], F.length(x["m"]) - F.length(x["g"])).otherwise(F.instr(x["m"], x["g"]) - 1)
+        if split:
+            inner = F.when(x["g"] == "", 0).otherwise(F.length(x["h"]))
+        else:
+            inner = F.when(x["g"] == "", 0).when(F.right(x["m"], F.length(x["g"])) == x["g"], F.length(x["m"]) - F.length(x["g"])).otherwise(F.instr(x["m"], x["g"]) - 1)
         value = F.when(x["g"] == "", x["m"]).otherwise(x["g"])
         found = F.struct((a + inner).alias("start"), (a + inner + F.length(value)).alias("end"), value.alias("text"), a.alias("mstart"), (a + F.length(x["m"])).alias("mend"))
         return F.struct((a + F.length(x["m"])).alias("at"), F.array_append(state["out"], found).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string,mstart:int,mend:int>>").alias("out"))
     found = F.aggregate(zipped, start, step)["out"]
-    return F.when(text.rlike(java), found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,mstart:int,mend:int>>"))
+    return F.when(may_match(text, regex) & text.rlike(java), found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,mstart:int,mend:int>>"))
 
 
 def false_positive(text: Column, start: Column, end: Column) -> Column:
@@ -60,7 +85,7 @@ def false_positive(text: Column, start: Column, end: Column) -> Column:
 
 def pattern_entities(text: Column, p: Pattern) -> Column:
     """Entities of one pattern after its check and its context filter."""
-    found = spans(text, p.regex, group_number(p.regex, p.group) if p.group else 0)
+    found = spans(text, p.regex, p.group)
     if p.validator:
         found = F.filter(found, lambda x: valid(p.validator, x["text"]))
     if p.context:
@@ -69,7 +94,7 @@ def pattern_entities(text: Column, p: Pattern) -> Column:
 
 
 def near_misses(text: Column, p: Pattern) -> Column:
-    found = spans(text, p.regex, group_number(p.regex, p.group) if p.group else 0)
+    found = spans(text, p.regex, p.group)
     return F.filter(found, lambda x: ~valid(p.validator, x["text"])) if p.validator else F.array().cast("array<string>")
 
 
@@ -99,7 +124,7 @@ def detect_native(df: DataFrame, text: str = "text", langs: tuple[str, ...] = ("
     chosen = [p for p in patterns_for(langs) if p.type != SELF and (types is None or p.type in types)]
     chosen.sort(key=lambda p: bool(p.validator))
     found = [pattern_entities(F.col(text), p) for p in chosen]
-    return df.withColumn("_found", F.concat(*found) if found else F.array().cast(_EMPTY)).withColumn(out, merge_column(F.col("_found"))).drop("_found")
+    return spread(df).withColumn("_found", F.concat(*found) if found else F.array().cast(_EMPTY)).withColumn(out, merge_column(F.col("_found"))).drop("_found")
 
 
 def mask_native(df: DataFrame, text: str = "text", entities: str = "entities", out: str = "redacted") -> DataFrame:
