@@ -20,10 +20,10 @@ from maskwright.functions.registry import REGISTRY
 from maskwright.functions.text import MAX_CHARS
 from maskwright.plans.profiles import with_profile
 
-from .entities import ENTITY_TYPE, Detection, Detector
+from .entities import ENTITY_TYPE, Detection, Detector, Entity, boost, merge
 from .replacing import check_config, fix_grammar, mark, marker_of, replace, restore, restore_warnings, salt_bytes
 
-HINT_TYPE = "struct<pii_count:int,density:string,intent:string,self_reference_tier:int,has_kinship:boolean,near_misses:array<struct<start:int,end:int,text:string,type:string>>>"
+HINT_TYPE = "struct<pii_count:int,density:string,intent:string,self_reference_tier:int,has_kinship:boolean,person_threshold:double,skip_ner:boolean,ner_confidence:double,near_misses:array<struct<start:int,end:int,text:string,type:string>>>"
 DETECTED = f"struct<entities:array<{ENTITY_TYPE}>,langs:array<string>,hints:{HINT_TYPE},layer_counts:map<int,int>,layer_status:map<int,string>,oversize:boolean>"
 KEY = "map<string,string>"
 
@@ -39,7 +39,7 @@ def _row(d: Detection | None, oversize: bool = False) -> dict | None:
     near = [{"start": e.start, "end": e.end, "text": e.text, "type": e.type} for e in h.near_misses]
     return {
         "entities": [e._asdict() for e in d.entities], "langs": d.langs, "layer_counts": list(d.layer_counts.items()), "layer_status": list(d.layer_status.items()), "oversize": oversize,
-        "hints": {"pii_count": h.pii_count, "density": h.density, "intent": h.intent, "self_reference_tier": h.tier, "has_kinship": h.has_kinship, "near_misses": near},
+        "hints": {"pii_count": h.pii_count, "density": h.density, "intent": h.intent, "self_reference_tier": h.tier, "has_kinship": h.has_kinship, "person_threshold": h.person_threshold, "skip_ner": h.skip_ner, "ner_confidence": h.ner_confidence, "near_misses": near},
     }
 
 
@@ -98,6 +98,21 @@ def detect(df: DataFrame, text: str = "text", *, lang="zh", mode="fast", names=(
     return append_columns(df, [text], {out: DETECTED} | ({timed: "double"} if timed else {}), make)
 
 
+def merged(df: DataFrame, column: str, text: str, out: str = "merged") -> DataFrame:
+    """Adds `out`: the entities of the array column `column` (of several layers) merged, those of agreeing layers boosted."""
+
+    def make():
+        def one(es, t):
+            if es is None or t is None:
+                return (None,)
+            own = [Entity(**e) for e in es]
+            return ([e._asdict() for e in boost(merge(own, t), own)],)
+
+        return one
+
+    return append_columns(df, [column, text], {out: f"array<{ENTITY_TYPE}>"}, make)
+
+
 def entities(detected: DataFrame, keys: list[str], column: str = "detected") -> DataFrame:
     """One row per entity: the keys, seq (its place in the text) and the entity's fields."""
     return detected.select(*keys, F.posexplode(f"{column}.entities").alias("seq", "e")).select(*keys, "seq", "e.*")

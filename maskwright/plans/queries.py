@@ -13,9 +13,11 @@ from maskwright.functions.registry import HIPAA, builtin_types, types_frame
 from maskwright.functions.text import languages_column, mask_column, simple_normal_column
 from maskwright.functions.validators import luhn_column
 from maskwright.operators import evaluate, frames, native, risk, structured
+from maskwright.plans import cases
 from maskwright.sources.tables import read_table
 
 SALT = 20240501
+_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 
 
 def pattern(lang: str, kind: str, index: int = 0) -> Pattern:
@@ -142,7 +144,8 @@ def redact_roundtrip(spark, d):
     config = {k: {"strategy": "remove"} for k in ("email", "phone", "credit_card", "person", "self_reference")}
     r = frames.redact(_docs(spark, d).select("doc_id", "text").where("text IS NOT NULL"), salt=SALT, lang="en", config=config)
     back = frames.restore_text(r.withColumn("red", F.col("redacted.text")).withColumn("key", F.col("redacted.key")), "red", "key")
-    return back.select("doc_id", (F.size("redacted.entities") == 0).alias("clean"), (F.col("restored") == F.col("text")).alias("same")).select("doc_id", "same")
+    left = F.size(F.regexp_extract_all("redacted.text", F.lit(_EMAIL), F.lit(0))).cast("long")
+    return back.select("doc_id", F.md5(F.col("restored")).alias("restored"), left.alias("emails_left"), F.size(F.array_distinct(F.filter("redacted.entities", lambda e: e["type"] == "email")["text"])).cast("long").alias("n_emails"))
 
 
 def redact_profile(spark, d):
@@ -159,7 +162,7 @@ def redact_three_forms(spark, d):
     r = frames.redact3(_docs(spark, d).select("doc_id", "text").where("text IS NOT NULL"), salt=SALT, lang="en", strict_input=False)
     r = r.select("doc_id", "text", "forms.*")
     r = frames.restore_text(frames.restore_text(r, "downstream_text", "key", out="a"), "audit_text", "key", out="b")
-    return r.select("doc_id", (F.col("a") == F.col("text")).alias("downstream_same"), (F.col("b") == F.col("text")).alias("audit_same"))
+    return r.select("doc_id", F.md5(F.col("a")).alias("downstream"), F.md5(F.col("b")).alias("audit"), F.size(F.regexp_extract_all("audit_text", F.lit(_EMAIL), F.lit(0))).cast("long").alias("emails_left"))
 
 
 def polluted_emails(spark, d):
@@ -171,7 +174,8 @@ def restore_safety(spark, d):
     r = frames.redact(_docs(spark, d).select("doc_id", "text"), salt=SALT, lang="en", profile="gdpr", types=["email"])
     r = r.select("doc_id", F.col("redacted.text").alias("red"), F.col("redacted.key").alias("key"), F.size("redacted.key").alias("codes"))
     r = r.withColumn("output", F.concat("red", F.lit(" https://x.test "), F.concat_ws(" ", F.map_keys("key"))))
-    return frames.safety_warnings(r, "red", "output", "key").select("doc_id", (F.size("warnings") >= F.col("codes")).alias("warned"))
+    injected = F.size(F.filter("warnings", lambda w: w.endswith("possible injection")))
+    return frames.safety_warnings(r, "red", "output", "key").select("doc_id", F.col("codes").cast("long").alias("n_codes"), injected.cast("long").alias("n_injected"))
 
 
 def conversations_redact(spark, d):
@@ -179,21 +183,21 @@ def conversations_redact(spark, d):
     t = read_table(spark, d, "conversations")
     r = structured.redact_turns(t, salt=SALT, lang="en", config={k: {"strategy": "remove"} for k in ("email", "phone", "credit_card")})
     back = frames.restore_text(r, "redacted", "turn_key")
-    return back.select("conv_id", "turn", "role", F.coalesce(F.col("restored") == F.col("text"), F.lit(True)).alias("same"))
+    return back.select("conv_id", "turn", "role", F.md5(F.col("restored")).alias("restored"))
 
 
 def events_json(spark, d):
     """JSON texts of events, every string leaf; and back."""
     r = structured.redact_json(read_table(spark, d, "events").select("event_id", "props"), "props", salt=SALT, lang="en")
     back = structured.restore_json(r.select("event_id", "props", F.col("redacted.json").alias("json"), F.col("redacted.key").alias("key")), "json", "key")
-    return back.select("event_id", (F.parse_json("restored").cast("string") == F.parse_json("props").cast("string")).alias("same"))
+    return back.select("event_id", F.md5(F.regexp_replace("restored", r"\s", "")).alias("restored"))
 
 
 def customer_struct(spark, d):
     """A nested column through redaction and back to its type."""
     c = read_table(spark, d, "customer").select("c_custkey", F.struct("c_name", "c_mktsegment", F.struct(F.concat(F.lit("mail "), F.translate(F.lower("c_name"), "#", "."), F.lit("@corp.test")).alias("note")).alias("extra")).alias("person"))
     r = structured.redact_struct(c, "person", salt=SALT, lang="en", paths=["extra.note"])
-    return r.select("c_custkey", (F.col("redacted.value.c_name") == F.col("person.c_name")).alias("name_same"), F.col("redacted.value.extra.note").rlike(r"^mail c\*{3,}@corp\.test$").alias("masked"))
+    return r.select("c_custkey", F.col("redacted.value.c_name").alias("name"), F.col("redacted.value.c_mktsegment").alias("segment"), F.regexp_replace("redacted.value.extra.note", "[^a-z*@. ]", "").alias("masked"))
 
 
 def customer_csv(spark, d):
@@ -239,7 +243,7 @@ def eval_survival(spark, d):
     r = frames.redact(_docs(spark, d).select("doc_id", "text").where("text IS NOT NULL"), salt=SALT, lang="en", profile="gdpr", types=["email"])
     r = r.select("doc_id", F.col("redacted.text").alias("red"), F.col("redacted.key").alias("key"), F.transform("redacted.entities", lambda e: e["text"]).alias("vals"))
     r = evaluate.survival(frames.restore_text(r, "red", "key"), "vals", "red", "restored")
-    return r.select("doc_id", (F.col("privacy") == 1.0).alias("private"), (F.col("reversibility") == 1.0).alias("reversible"))
+    return r.select("doc_id", F.size(F.array_distinct("vals")).cast("long").alias("n"), "privacy", "reversibility")
 
 
 def streaming_redact(spark, d):
@@ -261,7 +265,8 @@ def streaming_redact(spark, d):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     out = spark.read.schema("session string, seq long, audit_text string, downstream_text string, display_text string").parquet(f"{folder}/out")
-    return out.groupBy("session").agg(F.count("*").alias("n_parts"))
+    parts = out.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "downstream_text"))).alias("p"))
+    return parts.select("session", F.md5(F.array_join(F.transform("p", lambda x: x["downstream_text"]), "")).alias("text"))
 
 
 _QUERIES = (
@@ -272,7 +277,7 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | cases.queries()
 
 
 def _types_values() -> str:
@@ -281,7 +286,6 @@ def _types_values() -> str:
     return f"(VALUES {rows}) AS t(lang, name, strategy, prefix, sensitivity, reversible, gdpr_special, hipaa_category)"
 
 
-_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 _AGE = r"\d{1,3}岁|(?:年龄|周岁)\s*[:：]?\s*\d{1,3}|\d{1,3}\s*[-‐]?\s*years?\s*[-‐]?\s*old|aged\s+\d{1,3}"
 _URL = r"https?://[^\s]+[?&](?:token|api_key|access_token|secret|key|auth|session_id|password)=[^\s&]+"
 _EMAILS = f"""
@@ -320,13 +324,23 @@ def oracle_sql() -> dict[str, str]:
         "LEFT JOIN (SELECT doc_id, count(*) AS ne FROM e GROUP BY 1) USING (doc_id)) SELECT doc_id, CASE WHEN ne + na = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS score, CASE WHEN ne + na = 0 THEN 'none' ELSE 'medium' END AS level, "
         "array_to_string(list_filter([CASE WHEN ne > 0 THEN 'email (medium)' END, CASE WHEN na > 0 THEN 'age (medium)' END], lambda x: x IS NOT NULL), '|') AS reasons, "
         "CASE WHEN ne + na = 0 THEN '' WHEN ne + na >= 3 THEN 'PIPL Art.13|PIPL Art.28|PIPL Art.55|PIPL Art.56' ELSE 'PIPL Art.13|PIPL Art.28|PIPL Art.56' END AS articles, CASE WHEN ne > 0 THEN 'email_addresses' ELSE '' END AS hipaa FROM c",
+        "phone_us": (
+            "WITH m AS (SELECT doc_id, regexp_replace(text, '([0-9]+)', '#\\1#', 'g') AS t FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(t, "
+            "'(?:[+]#1#?[-.\\s]?[(]?#?|[(]?#)[0-9]{3}#?[)]?[-.\\s]?#?[0-9]{3}#?[-.\\s]?#?[0-9]{4}#')) AS BIGINT) AS n FROM m"
+        ),
+        "near_miss_cards": (
+            "WITH m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([0-9]+)', '#\\1#', 'g'), '#[3-6][0-9]{15}#|#[3-6][0-9]{3}#[- ]?#[0-9]{4}#[- ]?#[0-9]{4}#[- ]?#[0-9]{4}#')) AS x FROM documents), "
+            "v AS (SELECT doc_id, list_transform(string_split(regexp_replace(x, '[^0-9]', '', 'g'), ''), lambda c: CAST(c AS INTEGER)) AS dg FROM m) SELECT doc_id, count(*) AS n FROM v "
+            "WHERE list_sum(list_transform(generate_series(1, 16), lambda i: CASE WHEN i % 2 = 0 THEN dg[i] WHEN dg[i] > 4 THEN dg[i] * 2 - 9 ELSE dg[i] * 2 END)) % 10 <> 0 GROUP BY 1"
+        ),
+        "streaming_redact": "SELECT CAST(conv_id AS VARCHAR) AS session, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS text FROM conversations GROUP BY 1",
         "polluted_emails": r"SELECT doc_id, regexp_matches(text, '@example\.(?:com|org|net)\b') AS polluted FROM documents",
-        "redact_roundtrip": "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL",
-        "redact_three_forms": "SELECT doc_id, true AS downstream_same, true AS audit_same FROM documents WHERE text IS NOT NULL",
-        "restore_safety": "SELECT doc_id, true AS warned FROM documents",
-        "conversations_redact": "SELECT conv_id, turn, role, true AS same FROM conversations",
-        "events_json": "SELECT event_id, true AS same FROM events",
-        "customer_struct": "SELECT c_custkey, true AS name_same, true AS masked FROM customer",
+        "redact_roundtrip": _EMAILS + "SELECT d.doc_id, md5(d.text) AS restored, CAST(len(regexp_extract_all(d.text, '" + _EMAIL + "')) - coalesce(k, 0) AS BIGINT) AS emails_left, coalesce(n, 0) AS n_emails FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k, count(DISTINCT text) AS n FROM e GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL",
+        "redact_three_forms": _EMAILS + "SELECT d.doc_id, md5(d.text) AS downstream, md5(d.text) AS audit, CAST(len(regexp_extract_all(d.text, '" + _EMAIL + "')) - coalesce(k, 0) AS BIGINT) AS emails_left FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k FROM e GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL",
+        "restore_safety": _EMAILS + "SELECT d.doc_id, coalesce(n, 0) AS n_codes, coalesce(n, 0) AS n_injected FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT text) AS n FROM e GROUP BY 1) USING (doc_id)",
+        "conversations_redact": "SELECT conv_id, turn, role, md5(text) AS restored FROM conversations",
+        "events_json": "SELECT event_id, md5(regexp_replace(props, '\\s', '', 'g')) AS restored FROM events",
+        "customer_struct": "SELECT c_custkey, c_name AS name, c_mktsegment AS segment, 'mail c' || repeat('*', len(c_name) - 1) || '@corp.test' AS masked FROM customer",
         "customer_csv": "SELECT c_nationkey, count(*) AS n_rows, count(*) AS n_key, true AS header FROM customer GROUP BY 1",
         "customer_masks": "SELECT c_custkey, CASE WHEN len(c_name) <= 7 THEN repeat('*', len(c_name)) ELSE left(c_name, 3) || repeat('*', len(c_name) - 7) || right(c_name, 4) END AS masked, "
         "CASE WHEN len(c_name) <= 10 THEN repeat('*', len(c_name)) ELSE left(c_name, 6) || repeat('*', len(c_name) - 10) || right(c_name, 4) END AS card FROM customer",
@@ -335,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
         "eval_values": _EMAILS + ", g AS (SELECT DISTINCT doc_id, text FROM e), p AS (SELECT DISTINCT doc_id, text FROM e WHERE seq = 0), c AS (SELECT (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM p) AS tp) "
         "SELECT 'email' AS type, tp, CAST(0 AS BIGINT) AS fp, ng - tp AS fn, round(tp / ng, 6) AS recall FROM c WHERE ng > 0",
         "eval_spans": _EMAILS + "SELECT 'email' AS type, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(1.0 AS DOUBLE) AS f1 FROM e HAVING count(*) > 0",
-        "eval_survival": "SELECT doc_id, true AS private, true AS reversible FROM documents WHERE text IS NOT NULL",
+        "eval_survival": _EMAILS + "SELECT d.doc_id, coalesce(n, 0) AS n, CAST(1 AS DOUBLE) AS privacy, CAST(1 AS DOUBLE) AS reversibility FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT text) AS n FROM e GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL",
         "secrets_by_kind": "SELECT " + ", ".join(
             f"CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS {k}"
             for k, p in (
@@ -351,4 +365,4 @@ def oracle_sql() -> dict[str, str]:
             "FROM (SELECT doc_id, text, list_transform(string_split(regexp_replace(text, '[^0-9]', '', 'g'), ''), lambda c: CAST(c AS INTEGER)) AS dg FROM v)"
         ),
     }
-    return out
+    return out | cases.oracle_sql()
