@@ -247,26 +247,29 @@ def eval_survival(spark, d):
 
 
 def streaming_redact(spark, d):
-    """Conversations as streams of turns; sentences cut by turns are redacted whole."""
+    """Conversations as streams: each turn is followed by an address of its session that is cut by two chunks."""
     from maskwright.sources.work import work_folder
     from maskwright.streaming.sessions import PROVIDER, redact_stream
 
     turns = read_table(spark, d, "conversations")
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     folder = work_folder(spark)
-    chunks = turns.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), (F.row_number().over(last) == 1).alias("is_last"))
+    parts = F.array(F.struct(F.lit(0).alias("k"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ask u"), F.col("conv_id").cast("string"), F.lit("@corp")).alias("chunk")), F.struct(F.lit(1).alias("k"), F.lit(".test now.").alias("chunk")))
+    cut = turns.withColumn("final", F.row_number().over(last) == 1).withColumn("part", F.explode(parts))
+    chunks = cut.select(F.col("conv_id").cast("string").alias("session"), (F.col("turn") * 2 + F.col("part.k")).alias("seq"), F.col("part.chunk").alias("chunk"), (F.col("final") & (F.col("part.k") == 1)).alias("is_last"))
     chunks.write.parquet(f"{folder}/chunks")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
         stream = spark.readStream.schema(chunks.schema).parquet(f"{folder}/chunks")
-        q = redact_stream(stream, salt=SALT, lang="en").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q = redact_stream(stream, salt=SALT, lang="en", types=["email"]).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     out = spark.read.schema("session string, seq long, audit_text string, downstream_text string, display_text string").parquet(f"{folder}/out")
-    parts = out.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "downstream_text"))).alias("p"))
-    return parts.select("session", F.md5(F.array_join(F.transform("p", lambda x: x["downstream_text"]), "")).alias("text"))
+    parts = out.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "audit_text"))).alias("p"))
+    audit = F.array_join(F.transform("p", lambda x: x["audit_text"]), "")
+    return parts.select("session", F.md5(F.regexp_replace(audit, r"EMAI-\d{5}", "CODE")).alias("text"), F.size(F.array_distinct(F.regexp_extract_all(audit, F.lit(r"EMAI-\d{5}"), F.lit(0)))).cast("long").alias("n_codes"))
 
 
 _QUERIES = (
@@ -333,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
             "v AS (SELECT doc_id, list_transform(string_split(regexp_replace(x, '[^0-9]', '', 'g'), ''), lambda c: CAST(c AS INTEGER)) AS dg FROM m) SELECT doc_id, count(*) AS n FROM v "
             "WHERE list_sum(list_transform(generate_series(1, 16), lambda i: CASE WHEN i % 2 = 0 THEN dg[i] WHEN dg[i] > 4 THEN dg[i] * 2 - 9 ELSE dg[i] * 2 END)) % 10 <> 0 GROUP BY 1"
         ),
-        "streaming_redact": "SELECT CAST(conv_id AS VARCHAR) AS session, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS text FROM conversations GROUP BY 1",
+        "streaming_redact": "SELECT CAST(conv_id AS VARCHAR) AS session, md5(string_agg(coalesce(text, '') || ' ask CODE now.', '' ORDER BY turn)) AS text, CAST(1 AS BIGINT) AS n_codes FROM conversations GROUP BY 1",
         "polluted_emails": r"SELECT doc_id, regexp_matches(text, '@example\.(?:com|org|net)\b') AS polluted FROM documents",
         "redact_roundtrip": _EMAILS + "SELECT d.doc_id, md5(d.text) AS restored, CAST(len(regexp_extract_all(d.text, '" + _EMAIL + "')) - coalesce(k, 0) AS BIGINT) AS emails_left, coalesce(n, 0) AS n_emails FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k, count(DISTINCT text) AS n FROM e GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL",
         "redact_three_forms": _EMAILS + "SELECT d.doc_id, md5(d.text) AS downstream, md5(d.text) AS audit, CAST(len(regexp_extract_all(d.text, '" + _EMAIL + "')) - coalesce(k, 0) AS BIGINT) AS emails_left FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k FROM e GROUP BY 1) USING (doc_id) WHERE d.text IS NOT NULL",
