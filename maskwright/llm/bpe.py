@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_blocks
+from .common import BLOCK_DOCS, map_batches, text_blocks
 
 #: Bytes of text in a block at most, but for a longer document.
 BLOCK_BYTES = 8 << 20
@@ -192,7 +192,7 @@ def _cut(path: str, pattern: str):
 
         def step(batch):
             doc_ids = batch.column("doc_id")
-            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES, BLOCK_DOCS):
                 number: defaultdict[str, int] = defaultdict()
                 number.default_factory = number.__len__
                 parts, sizes, raw = [], [], block.data.tobytes()
@@ -276,7 +276,7 @@ def _straight(path: str, pattern: str, finish, names: list[str]):
 
         def step(batch):
             doc_ids = batch.column("doc_id")
-            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES, BLOCK_DOCS):
                 number: defaultdict[str, int] = defaultdict()
                 number.default_factory = number.__len__
                 parts, raw = [], block.data.tobytes()

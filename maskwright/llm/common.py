@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -82,24 +83,26 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
-def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cuts a string column into blocks; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    first = 0
-    while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), len(column), first + BLOCK_DOCS)
-        yield Block(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        first = last
+#: Rows that are turned into bytes at once.
+SLICE_ROWS = 1024
+
+
+def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES, rows: int = SLICE_ROWS) -> Iterator[Block]:
+    """Cuts a string column into blocks, of `rows` rows at most; null counts as empty."""
+    for begin in range(0, len(column), rows):
+        part = column.slice(begin, rows)
+        if isinstance(part, pa.ChunkedArray):
+            part = pa.concat_arrays(part.chunks)
+        part = pc.fill_null(part.cast(pa.large_string()), "")
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(part):
+            last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
+            last = min(max(last, first + 1), len(part), first + BLOCK_DOCS)
+            yield Block(begin + first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
 
 
 def find_words(block: Block, space: np.ndarray = _SPACE) -> Words:
@@ -229,5 +232,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
         for b in batches:
             if b.num_rows:
                 yield from step(b)
+        trim()
 
     return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Gives back the memory that a task has freed, as its worker goes on to others."""
+    pa.default_memory_pool().release_unused()
+    if (give := _malloc_trim()) is not None:
+        give(0)
+
+
+@lru_cache(maxsize=1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not this C library
+        return None

@@ -97,7 +97,7 @@ class _Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _spans(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _spans(batch: pa.RecordBatch, size: int = 1 << 18) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Documents' words, in groups of about `size` words."""
     texts, rows, n, first = batch.column("text"), [], 0, 0
     for i in range(len(texts)):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, Scratch, combine, find_words, hash_words, map_batches, mix, narrowed, shuffle_partitions, signed, text_blocks, without
+from .common import Block, Scratch, combine, find_words, hash_words, map_batches, mix, narrowed, shuffle_partitions, signed, text_blocks, trim, without
 
 #: Bucket mates that are compared at once.
 BLOCK = 256
@@ -265,6 +265,8 @@ def _packed_signatures(shingle: int, percent: int, ranges: int):
                     held, count = [], 0
         if count:
             yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held = None
+        trim()
 
     return run
 
@@ -291,6 +293,8 @@ def _buckets(batches):
                 held, count = [], 0
                 yield out
     yield _full_buckets(held, centres, False)[0]
+    held = centres = None
+    trim()
 
 
 def _full_buckets(held, centres, more: bool):

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Block, Words, _LOWER, find_words, hash_words, map_batches, shared_dir, text_blocks
+from .common import BLOCK_DOCS, Block, Words, _LOWER, find_words, hash_words, map_batches, shared_dir, text_blocks
 
 MAGIC = b"WVMX0002"
 BLOCK_BITS = 1 << 15
@@ -340,7 +340,7 @@ def shards(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 continue
             part = batch.column("part")[0].as_py()
             doc_ids = batch.column("doc_id").to_pylist()
-            for block in text_blocks(batch.column("text"), TEXT_BYTES):
+            for block in text_blocks(batch.column("text"), TEXT_BYTES, BLOCK_DOCS):
                 ids, bounds = encoder.encode(block)
                 lengths = np.diff(bounds) + 1
                 values = np.insert(ids, bounds[1:], end_id)
