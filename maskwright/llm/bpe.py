@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import BLOCK_DOCS, map_batches, text_blocks
 
 #: Bytes of text in a block at most, but for a longer document.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of distinct words that are folded at once.
+FOLD_BYTES = 1 << 18
 NO_RANK = (1 << 31) - 1
 
 
@@ -140,6 +142,15 @@ def fold_words(flat: np.ndarray, lengths: np.ndarray, rank_map: tuple) -> tuple[
     return token[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
 
 
+def _fold_in_parts(words: list[bytes], byte_ids: np.ndarray, rank_map: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """fold_words of parts of about FOLD_BYTES, which bounds its arrays."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    part = (np.cumsum(sizes) - sizes) // FOLD_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+    done = [fold_words(byte_ids[np.frombuffer(b"".join(words[a:b]), np.uint8)], sizes[a:b], rank_map) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -287,7 +298,7 @@ def _straight(path: str, pattern: str, finish, names: list[str]):
                 known = np.fromiter((ranks.get(w, -1) for w in words), np.int64, len(words))
                 todo = np.flatnonzero(known < 0)
                 fold = [words[i] for i in todo.tolist()]
-                inner, counts = fold_words(byte_ids[np.frombuffer(b"".join(fold), np.uint8)], np.fromiter(map(len, fold), np.int64, len(fold)), lookup)
+                inner, counts = _fold_in_parts(fold, byte_ids, lookup)
                 lengths, firsts = np.ones(len(known), np.int64), np.arange(len(known)) + len(inner)
                 lengths[todo], firsts[todo] = counts, np.cumsum(counts) - counts
                 ids, out = np.concatenate([inner, known]), []

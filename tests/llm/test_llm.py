@@ -472,3 +472,14 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
         now = stage(spark, now, str(tmp_path))
         assert now.columns == base.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()
+
+
+def test_fold_in_parts(monkeypatch):
+    ranks = bpe.load_ranks(RANKS)
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé ing tion 12") for _ in range(rng.randint(1, 30))).encode() for _ in range(400)]
+    whole = bpe._fold_in_parts(words, byte_ids, bpe._numpy_map(RANKS))
+    monkeypatch.setattr(bpe, "FOLD_BYTES", 100)
+    parts = bpe._fold_in_parts(words, byte_ids, bpe._numpy_map(RANKS))
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(bpe._fold_in_parts([], byte_ids, bpe._numpy_map(RANKS))[0]) == 0
