@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_DOCS, map_batches, text_blocks
+from .common import map_batches, text_blocks, trim
 
 #: Bytes of text in a block at most, but for a longer document.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of distinct words that are folded at once.
 FOLD_BYTES = 1 << 18
 NO_RANK = (1 << 31) - 1
@@ -84,7 +84,10 @@ def _place(table: list[int], key: int, rank: int, first: int, second: int) -> bo
 @lru_cache(maxsize=2)
 def _numpy_map(path: str) -> tuple[np.ndarray, int, int]:
     table, first, second = rank_map(load_ranks(path))
-    return np.array(table, np.int64), first, second
+    out = np.array(table, np.int64), first, second
+    del table
+    trim()
+    return out
 
 
 def fold_words(flat: np.ndarray, lengths: np.ndarray, rank_map: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +206,7 @@ def _cut(path: str, pattern: str):
 
         def step(batch):
             doc_ids = batch.column("doc_id")
-            for block in text_blocks(batch.column("text"), BLOCK_BYTES, BLOCK_DOCS):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
                 number: defaultdict[str, int] = defaultdict()
                 number.default_factory = number.__len__
                 parts, sizes, raw = [], [], block.data.tobytes()
@@ -287,7 +290,7 @@ def _straight(path: str, pattern: str, finish, names: list[str]):
 
         def step(batch):
             doc_ids = batch.column("doc_id")
-            for block in text_blocks(batch.column("text"), BLOCK_BYTES, BLOCK_DOCS):
+            for block in text_blocks(batch.column("text"), BLOCK_BYTES):
                 number: defaultdict[str, int] = defaultdict()
                 number.default_factory = number.__len__
                 parts, raw = [], block.data.tobytes()
@@ -306,6 +309,7 @@ def _straight(path: str, pattern: str, finish, names: list[str]):
                     n = lengths[w]
                     ends = np.cumsum(n)
                     out.append(finish(ids[np.repeat(firsts[w] - (ends - n), n) + np.arange(ends[-1] if len(w) else 0)].tolist(), pieces))
+                del number, parts, words, fold, ids  # before the next block's
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(block.first, len(block)), *map(pa.array, zip(*out, strict=True))], ["doc_id", *names])
 
         return step
