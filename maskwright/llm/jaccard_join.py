@@ -40,6 +40,9 @@ BLOCK = 256
 #: Signatures that a task holds before it hands them on, and that a range's task holds before it hands on full buckets.
 HELD_OUT, HELD_IN = 1_000_000, 2_000_000
 
+#: Pairs and components that a task remembers, so as not to hand them on again.
+MOST_REMEMBERED = 1_000_000
+
 _HASH_BITS = 52
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
 #: The cost model's size of the corpus, and the share of two sets' shingles that agree by chance.
@@ -375,8 +378,17 @@ def _sketches_near(percent: int):
 
 
 def _near_pairs(percent: int, forest: bool):
-    """Rows sorted by (sig, lo, hi): pairs of each group between components that the sketches don't rule out; with
-    `forest` only as many as connect the group's components."""
+    """Rows sorted by (sig, lo, hi): pairs of each group between components that the sketches don't rule out, each once in a
+    task; with `forest` only as many as connect the components of all groups of the task."""
+
+    root: dict[int, int] = {}
+    seen: set[tuple[int, int]] = set()
+
+    def top(z):
+        while root.get(z, z) != z:
+            root[z] = root.get(root[z], root[z])
+            z = root[z]
+        return z
 
     def compare(rows: dict[str, list], out: list[tuple[int, int]]) -> None:
         n, fp, label, part = (np.array(rows[k]) for k in ("n", "fp", "label", "part"))
@@ -402,14 +414,8 @@ def _near_pairs(percent: int, forest: bool):
                         found += [(abs(int(n[k]) - int(n[own])), fp[own], fp[k], label[own], label[k]) for k in o[near].tolist()]
         if forest:
             found.sort()
-            root = {}
-
-            def top(z):
-                while root.get(z, z) != z:
-                    root[z] = root.get(root[z], root[z])
-                    z = root[z]
-                return z
-
+            if len(root) > MOST_REMEMBERED:
+                root.clear()
             kept = []
             for f in found:
                 u, v = top(f[3]), top(f[4])
@@ -417,9 +423,15 @@ def _near_pairs(percent: int, forest: bool):
                     root[u] = v
                     kept.append(f)
             found = kept
-        out += [(int(min(f[1], f[2])), int(max(f[1], f[2]))) for f in found]
+        pairs = dict.fromkeys((int(min(f[1], f[2])), int(max(f[1], f[2]))) for f in found)
+        new = [p for p in pairs if p not in seen]
+        if len(seen) > MOST_REMEMBERED:
+            seen.clear()
+        seen.update(new)
+        out += new
 
     def run(batches):
+        root.clear(), seen.clear()
         names = ("fp", "n", "label", "part", "lo", "hi", "sketch")
         held, key = None, None
         for batch in batches:
