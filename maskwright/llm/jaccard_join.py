@@ -25,6 +25,7 @@ sets. Classes are told apart by 128 bits, classes in signatures and links by 64.
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import lru_cache
 
@@ -378,8 +379,11 @@ def _sketches_near(percent: int):
 
 
 def _near_pairs(percent: int, forest: bool):
-    """Rows sorted by (sig, lo, hi): pairs of each group between components that the sketches don't rule out, each once in a
-    task; with `forest` only as many as connect the components of all groups of the task."""
+    """Rows sorted by (sig, lo, hi): pairs of each group between components that the sketches don't rule out.
+
+    With `forest` only as many as connect the components of all groups of the task, each once in a task. Without it the rows
+    have `sigs`, the sorted signatures of their groups, and of a pair's groups the one of the least signature hands it on.
+    """
 
     root: dict[int, int] = {}
     seen: set[tuple[int, int]] = set()
@@ -424,6 +428,10 @@ def _near_pairs(percent: int, forest: bool):
                     kept.append(f)
             found = kept
         pairs = dict.fromkeys((int(min(f[1], f[2])), int(max(f[1], f[2]))) for f in found)
+        if not forest:
+            lower = {f: x[: np.searchsorted(x, rows["sig"][0])] for f, x in zip(fp.tolist(), rows["sigs"], strict=True)}
+            out += [(a, b) for a, b in pairs if not np.intersect1d(lower[a], lower[b], assume_unique=True).size]
+            return
         new = [p for p in pairs if p not in seen]
         if len(seen) > MOST_REMEMBERED:
             seen.clear()
@@ -432,20 +440,24 @@ def _near_pairs(percent: int, forest: bool):
 
     def run(batches):
         root.clear(), seen.clear()
-        names = ("fp", "n", "label", "part", "lo", "hi", "sketch")
+        names = ("sig", "fp", "n", "label", "part", "lo", "hi", "sketch")
         held, key = None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
             columns = {k: batch.column(k).to_pylist() for k in names}
-            keys = list(zip(batch.column("sig").to_pylist(), columns["lo"], columns["hi"], strict=True))
+            if not forest:
+                lists = batch.column("sigs")
+                flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                columns["sigs"] = [flat[a:b] for a, b in itertools.pairwise(ends.tolist())]
+            keys = list(zip(columns["sig"], columns["lo"], columns["hi"], strict=True))
             at = 0
             while at < len(keys):
                 end = at + 1
                 while end < len(keys) and keys[end] == keys[at]:
                     end += 1
-                piece = {k: columns[k][at:end] for k in names}
+                piece = {k: x[at:end] for k, x in columns.items()}
                 if keys[at] == key:
-                    held = {k: held[k] + piece[k] for k in names}
+                    held = {k: held[k] + piece[k] for k in held}
                 else:
                     if held:
                         compare(held, out)
@@ -581,8 +593,11 @@ def _join_mates(docs: DataFrame, mates: DataFrame, classes: DataFrame, scratch:
     for forest in (True, False):
         now = several.join(labels, several.fp == labels.node, "left").select("sig", "fp", F.coalesce("label", "fp").alias("label"))
         open_ = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", F.ceil(F.col("k") / BLOCK).alias("parts"))
-        dealt = now.join(open_, "sig").withColumn("part", F.pmod(F.xxhash64("fp", "sig"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("sig", "fp", "label", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).join(nodes.select("fp", "n", "sketch"), "fp")
+        live, own = now.join(open_, "sig"), nodes.select("fp", "n", "sketch")
+        if not forest:
+            own = own.join(live.groupBy("fp").agg(F.sort_array(F.collect_set("sig")).alias("sigs")), "fp")
+        dealt = live.withColumn("part", F.pmod(F.xxhash64("fp", "sig"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("sig", "fp", "label", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).join(own, "fp")
         dealt = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "part", "fp")
         new = dealt.mapInArrow(_near_pairs(percent, forest), "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
         if not checked(scratch.written(new)):

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -483,3 +484,24 @@ def test_fold_in_parts(monkeypatch):
     monkeypatch.setattr(bpe, "FOLD_BYTES", 100)
     parts = bpe._fold_in_parts(words, byte_ids, bpe._numpy_map(RANKS))
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(bpe._fold_in_parts([], byte_ids, bpe._numpy_map(RANKS))[0]) == 0
+
+
+def test_near_pairs_come_from_one_group_only():
+    rng = np.random.default_rng(5)
+    groups = {int(s): sorted(rng.choice(12, rng.integers(3, 9), replace=False).tolist()) for s in rng.integers(-(2**62), 2**62, 20)}
+    lists = {f: sorted(s for s, fps in groups.items() if f in fps) for f in range(12)}
+    label = {f: f % 4 for f in range(12)}
+    rows = []
+    for s in sorted(groups):
+        dealt = [(part, f) for f in groups[s] for part in [f % 2]]
+        for lo, hi in ((0, 0), (0, 1), (1, 1)):
+            rows += [(s, f, 10, label[f], part, lo, hi, bytes(64), lists[f]) for part, f in sorted(dealt) if part in (lo, hi)]
+    names = ["sig", "fp", "n", "label", "part", "lo", "hi", "sketch", "sigs"]
+    half = next(i for i in range(len(rows) // 2, len(rows)) if rows[i][:1] + rows[i][5:7] != rows[i - 1][:1] + rows[i - 1][5:7])
+    got = []
+    for task in (rows[:half], rows[half:]):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in task[i : i + 7]]) for i in range(0, len(task), 7)]
+        for out in jaccard_join._near_pairs(80, False)(iter(batches)):
+            got += zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)
+    brute = {(a, b) for fps in groups.values() for a in fps for b in fps if a < b and label[a] != label[b]}
+    assert sorted(got) == sorted(brute)
