@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections import defaultdict
 from functools import lru_cache
 
@@ -207,8 +208,7 @@ def _cut(path: str, pattern: str):
         def step(batch):
             doc_ids = batch.column("doc_id")
             for block in text_blocks(batch.column("text"), BLOCK_BYTES):
-                number: defaultdict[str, int] = defaultdict()
-                number.default_factory = number.__len__
+                number = defaultdict(itertools.count().__next__)  # not its own __len__, which would keep it until a garbage collection
                 parts, sizes, raw = [], [], block.data.tobytes()
                 for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
                     words = match(raw[a:b].decode())
@@ -291,8 +291,7 @@ def _straight(path: str, pattern: str, finish, names: list[str]):
         def step(batch):
             doc_ids = batch.column("doc_id")
             for block in text_blocks(batch.column("text"), BLOCK_BYTES):
-                number: defaultdict[str, int] = defaultdict()
-                number.default_factory = number.__len__
+                number = defaultdict(itertools.count().__next__)  # not its own __len__, which would keep it until a garbage collection
                 parts, raw = [], block.data.tobytes()
                 for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
                     words = match(raw[a:b].decode())

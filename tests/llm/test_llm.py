@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing names."""
 
 import collections
+import gc
 import hashlib
 import math
 import random
@@ -486,6 +487,19 @@ def test_fold_in_parts(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(bpe._fold_in_parts([], byte_ids, bpe._numpy_map(RANKS))[0]) == 0
 
 
+def test_a_block_of_words_goes_without_a_garbage_collection():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["zwölf Äpfel", "onlyhere onlyhere"]})
+    gc.collect()
+    gc.disable()
+    try:
+        for make in (bpe._straight(RANKS, P.PATTERN, bpe._digest, ["n_tokens", "ids_sha256", "decoded_sha256"]), bpe._cut(RANKS, P.PATTERN)):
+            step = make()
+            assert [b.num_rows for b in step(batch)]
+            assert not [x for x in gc.get_objects() if isinstance(x, dict) and " onlyhere" in x]
+    finally:
+        gc.enable()
+
+
 def test_near_pairs_come_from_one_group_only():
     rng = np.random.default_rng(5)
     groups = {int(s): sorted(rng.choice(12, rng.integers(3, 9), replace=False).tolist()) for s in rng.integers(-(2**62), 2**62, 20)}
