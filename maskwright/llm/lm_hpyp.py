@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, fold_crc, map_batches, mix, signed, written
+from .common import Scratch, combine, fold_crc, map_batches, mix, signed
 
 BLOCK_DOCS = 2048
 BURN_IN, SAMPLES = 1, 3
@@ -39,6 +39,8 @@ BURN_IN, SAMPLES = 1, 3
 STRENGTH, SPELLING_DISCOUNT = 1.0, (0.1, 0.3, 0.5)
 #: Words whose sums over pairs a task holds before it hands them on.
 SUM_WORDS = 1 << 20
+#: Parts of the blocks that are scored one after the other, which bounds what is in the shuffle at once.
+SLICES = 3
 #: Symbols: bytes, the end of a word, its start.
 END, START, SYMBOLS = 256, 257, 258
 
@@ -158,6 +160,15 @@ def _keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+#: A pair's key within a block, from the hashes of its words; the same as _pair_keys.
+PAIR_KEY = "context ^ (shiftleft(word, 1) | shiftrightunsigned(word, 63))"
+
+
+def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    c, w = context.view(np.uint64), word.view(np.uint64)
+    return (c ^ (w << np.uint64(1) | w >> np.uint64(63))).view(np.int64)
+
+
 @dataclass
 class WordModel:
     discount: float
@@ -273,12 +284,14 @@ def _paired(texts: list[str | None], train: list[bool]) -> tuple[list[bytes], np
 
 def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _block_pairs sorted by context and word. kind 0: pairs with their training count and blocks, without those
-    that one block has at most once; kinds 1 and 2: for contexts and for words, how many distinct training pairs have them."""
+    that one block has at most once; kinds 1 and 2: for contexts and for words, how many distinct training pairs have them
+    (the other column is null)."""
 
     def rows(kind, context, word, c, blocks=None):
         n = len(context)
         blocks = pa.array([None] * n, pa.list_(pa.int64())) if blocks is None else blocks
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), pa.array(context), pa.array(word), pa.array(c), blocks], ["kind", "context", "word", "c", "blocks"])
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), none if kind == 2 else pa.array(context), none if kind == 1 else pa.array(word), pa.array(c), blocks], ["kind", "context", "word", "c", "blocks"])
 
     def sums(held):
         for kind in (1, 2):
@@ -322,6 +335,8 @@ class PairModel:
     discount: float
     words: DataFrame  # word, h, c (training tokens), and means over the samples: p (word restaurant), t (tables of its own restaurant)
     seats: DataFrame  # context, word, t: mean tables of pairs seen more than once
+    words_table: DataFrame  # what `words` and `seats` read
+    seats_table: DataFrame
 
 
 def _reseat(discount: float, sweep: int, sampled: bool):
@@ -349,9 +364,10 @@ def _priced(shared):
     return make
 
 
-def fit_pairs(table: DataFrame, merged: DataFrame) -> PairModel:
-    """Gibbs sweeps over pairs, words and spelling. table: word, c for all words; merged: the rows of _merged_pairs."""
-    sc = table.sparkSession.sparkContext
+def fit_pairs(table: DataFrame, merged: DataFrame, scratch: Scratch) -> PairModel:
+    """Gibbs sweeps over pairs, words and spelling. table: word, c for all words; merged: the rows of _merged_pairs.
+    A sweep's tables go as the next one's are there."""
+    sc, written = table.sparkSession.sparkContext, scratch.written
     # a pair seen once has one table; those seen more often have `drawn`
     firsts = lambda kind, name, own: merged.where(f"kind = {kind}").groupBy(F.col(own).alias("h")).agg(F.sum("c").cast("double").alias(name))
     hashed = map_batches(table, _hashed, "word binary, h long, c long")
@@ -364,6 +380,7 @@ def fit_pairs(table: DataFrame, merged: DataFrame) -> PairModel:
     state = WordModel(own, s.m, s.v, [tables], [tables], [spelling], [0.0], [BURN_IN + SAMPLES])
     words = start.select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), F.lit(0.0).alias("p_sum"), F.lit(0.0).alias("t_sum"))
     seats = pairs.withColumn("total", F.lit(0.0))
+    old = [start]
     for sweep in range(BURN_IN + SAMPLES):
         sampled = sweep >= BURN_IN
         prices = map_batches(words.where("c > 0").select("word", "h", "m", "t"), _priced(sc.broadcast(state)), "h long, p double, t double")
@@ -372,7 +389,9 @@ def fit_pairs(table: DataFrame, merged: DataFrame) -> PairModel:
         more = lambda of, name: seats.where("drawn > 1").groupBy(F.col(of).alias("h")).agg(F.sum(F.col("drawn") - 1).alias(name))
         moved = words.drop("m", "t").join(more("word", "dm"), "h", "left").join(more("context", "dt"), "h", "left")
         words = written(moved.withColumn("m", F.col("m1") + F.coalesce("dm", F.lit(0.0))).withColumn("t", F.col("t1") + F.coalesce("dt", F.lit(0.0))).drop("dm", "dt"))
-        before = tables
+        for x in old:
+            scratch.drop(x)
+        before, old = tables, [seats, words]
         rows = _sweep(words.where("m > 0").select("word", F.col("m").alias("c")), sc.broadcast((spelling, before)), own, sweep).toPandas().sort_values("code")
         tables, known = (float(rows.loc[rows["code"] == k, "n"].sum()) for k in (-1, -2))
         customers = words.agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0]
@@ -381,8 +400,10 @@ def fit_pairs(table: DataFrame, merged: DataFrame) -> PairModel:
         spelling = Spelling.sampled(cells["code"].to_numpy(np.int64), cells["n"].to_numpy(float), spelling, sweep)
         if sampled:
             words = written(map_batches(words, _summed(sc.broadcast(state)), words.schema))
+            scratch.drop(old[1])
+            old[1] = words
     mean = words.select("word", "h", "c", (F.col("p_sum") / SAMPLES).alias("p"), (F.col("t_sum") / SAMPLES).alias("t"))
-    return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")))
+    return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")), words, seats)
 
 
 def _hashed():
@@ -407,25 +428,22 @@ def _summed(shared):
 
 
 def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: doc_id, text, train; right: for words (context null) their hash, c, p, t, for pairs c and t; bottom: log10 of
-    the base's denominator. A pair without a row is of this block alone, and seen once at most."""
+    """left: doc_id, text, train; right: for words their hash, c, p, t, for pairs (p null) their key and c - discount * t;
+    bottom: log10 of the base's denominator. A pair without a row is of this block alone, and seen once at most."""
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     if not left.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
     words, codes, n, pair, bounds = _paired(left.column("text").to_pylist(), left.column("train").to_pylist())
     h = signed(_keys(words))
-    order = np.argsort(h)
-    place = lambda x: order[np.searchsorted(h[order], x)]
-    single = right.filter(right.column("context").is_null())
-    at = place(single.column("word").to_numpy())
+    place = lambda keys, x: (order := np.argsort(keys))[np.searchsorted(keys, x, sorter=order)]
+    u, w = codes // len(words), codes % len(words)
+    single, double = right.filter(right.column("p").is_valid()), right.filter(right.column("p").is_null())
+    at = place(h, single.column("key").to_numpy())
     c, p, t = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
     c[at], p[at], t[at] = (single.column(k).to_numpy() for k in ("c", "p", "t"))
-    double = right.filter(right.column("context").is_valid())
-    at = np.searchsorted(codes, place(double.column("context").to_numpy()) * len(words) + place(double.column("word").to_numpy()))
-    pair_c, pair_t = n.astype(float), (n > 0).astype(float)
-    pair_c[at], pair_t[at] = (double.column(k).to_numpy() for k in ("c", "t"))
-    u, w = codes // len(words), codes % len(words)
-    lp = np.log10(np.maximum((pair_c - discount * pair_t + (STRENGTH + discount * t[u]) * p[w]) / (STRENGTH + c[u]), 1e-300))
+    seated = n - discount * (n > 0)
+    seated[place(_pair_keys(h[u], h[w]), double.column("key").to_numpy())] = double.column("c").to_numpy()
+    lp = np.log10(np.maximum((seated + (STRENGTH + discount * t[u]) * p[w]) / (STRENGTH + c[u]), 1e-300))
     base = np.log10(c + 1.0) - bottom
     out = []
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -446,19 +464,33 @@ def score_texts(docs: DataFrame) -> DataFrame:
     )
     # an Arrow batch may end within a block, so that a block's word or pair can come in several rows
     blocks = numbered.select("block", "text", "train")
-    vocabulary = written(map_batches(blocks, _block_words, "block long, word binary, n long"))
-    table = written(vocabulary.groupBy("word").agg(F.sum("n").alias("c")))
+    scratch = Scratch(docs.sparkSession, free=True)
     found = map_batches(blocks, _block_pairs, "block long, context long, word long, n long").repartition("context", "word").sortWithinPartitions("context", "word")
-    merged = written(found.mapInArrow(_merged_pairs, "kind long, context long, word long, c long, blocks array<long>"))
-    model = fit_pairs(table, merged)
+    merged = scratch.written(found.mapInArrow(_merged_pairs, "kind long, context long, word long, c long, blocks array<long>"))  # the largest shuffle, before the other tables
+    vocabulary = scratch.written(map_batches(blocks, _block_words, "block long, word binary, n long"))
+    table = scratch.written(vocabulary.groupBy("word").agg(F.sum("n").alias("c")))
+    model = fit_pairs(table, merged, scratch)
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     bottom = math.log10(total + distinct + 1)
 
-    own = vocabulary.select("block", "word").join(model.words, "word").select("block", F.lit(None).cast("long").alias("context"), F.col("h").alias("word"), "c", "p", "t")
     shared = merged.where("kind = 0").join(model.seats, ["context", "word"], "left")
-    sent = shared.select(F.explode("blocks").alias("block"), "context", "word", "c", F.lit(None).cast("double").alias("p"), F.coalesce("t", F.lit(1.0)).alias("t"))
-    scored = (
-        numbered.select("block", "doc_id", "text", "train").groupBy("block").cogroup(own.unionByName(sent).groupBy("block"))
-        .applyInArrow(partial(_score_block, bottom, model.discount), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    )
+    shared = scratch.written(shared.select(F.expr(PAIR_KEY).alias("key"), (F.col("c") - F.lit(model.discount) * F.coalesce("t", F.lit(1.0))).alias("c"), "blocks"))
+    scratch.drop(merged)
+    scratch.drop(model.seats_table)
+    scratch.drop(table)
+    own = vocabulary.select("block", "word").join(model.words, "word").select("block", F.col("h").alias("key"), F.col("c").cast("double").alias("c"), "p", "t")
+    none = F.lit(None).cast("double")
+    sent = shared.select(F.explode("blocks").alias("block"), "key", "c", none.alias("p"), none.alias("t"))
+    found = own.unionByName(sent)
+    scored = None
+    for k in range(SLICES):
+        inside = F.pmod("block", F.lit(SLICES)) == k
+        left, right = numbered.where(inside).select("block", "doc_id", "text", "train"), found.where(inside)
+        part = scratch.written(
+            left.groupBy("block").cogroup(right.groupBy("block"))
+            .applyInArrow(partial(_score_block, bottom, model.discount), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        )
+        scored = part if scored is None else scored.unionByName(part)
+    for x in (shared, vocabulary, model.words_table):
+        scratch.drop(x)
     return scored.select("doc_id", (fold_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

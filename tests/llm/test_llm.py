@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, decontam, gbt, html_extract, jaccard_join, langid, lm_hpyp, quality_classifier, quality_rules, secret_forest, textstats, wavelet
+from maskwright.llm.common import FREE_SHUFFLES, Scratch
 
 P = pytest.importorskip("public_tokenizers")
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -369,6 +370,30 @@ def test_language_model_word_contexts_and_spelling(spark):
     assert score[2] > score[3] + 1  # an unknown word that looks like the known ones
 
 
+def test_language_model_leaves_only_its_scores_on_disk(docs, texts, monkeypatch):
+    live, written, drop = {}, Scratch.written, Scratch.drop
+    at_most = []
+
+    def keep(self, df, files=None):
+        out = written(self, df, files)
+        live[id(out)] = out
+        at_most.append(len(live))
+        return out
+
+    monkeypatch.setattr(Scratch, "written", keep)
+    monkeypatch.setattr(Scratch, "drop", lambda self, df: (live.pop(id(df)), drop(self, df)))
+    monkeypatch.setattr(lm_hpyp, "BLOCK_DOCS", 4)
+    scores = []
+    for slices in (1, 3):
+        monkeypatch.setattr(lm_hpyp, "SLICES", slices)
+        live.clear()
+        got = lm_hpyp.score_texts(docs)
+        assert len(live) == slices and all("score" in x.columns for x in live.values()) and max(at_most) <= 7
+        assert docs.sparkSession.conf.get(FREE_SHUFFLES, "false") == "false"
+        scores.append({d: r.score for d, r in by_id(got).items()})
+    assert scores[0].keys() == scores[1].keys() == texts.keys() and all(math.isclose(scores[0][d], scores[1][d], abs_tol=1e-9) for d in texts)
+
+
 def test_pairs_across_batches_count_once():
     import pyarrow as pa
 
