@@ -13,17 +13,18 @@ Words that training doesn't know have the probability of their spelling. In the
 
 Counts cover all training documents and stay distributed: one row per distinct word, one per distinct pair that isn't
 a pair of one block seen once or never. Only the spelling restaurants are gathered; they have at most 258**2 * 257 cells,
-whatever the corpus. Words and pairs are counted in blocks of BLOCK_DOCS documents: the distinct words of each block are
-joined with the word table and come back to the block, and so do its pairs whose seats the block can't tell by itself.
+whatever the corpus. Words and pairs are counted in blocks of BLOCK_DOCS documents, and merged in cells of their hashes:
+what is known of a block's distinct words comes back to it, and so do its pairs whose seats it can't tell by itself.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, combine, fold_crc, map_batches, mix, signed
+from .common import Scratch, combine, fold_crc, map_batches, mix, shuffle_partitions, signed, trim
 
 BLOCK_DOCS = 2048
 BURN_IN, SAMPLES = 1, 3
@@ -64,21 +65,21 @@ def seat(customers: np.ndarray, base: np.ndarray, discount: float, strength: flo
     open_ = (strength + discount * np.asarray(tables, float)) * base
     t = (customers > 0).astype(float)
     for k in range(1, 8):
-        live = customers > k
-        if not live.any():
+        live = np.flatnonzero(customers > k)
+        if not len(live):
             return t
-        p = open_ / (open_ + np.maximum(k - discount * t, 1e-9))
-        t += live & (_uniform(keys, salt * 1000 + k) < p)
+        p = open_[live] / (open_[live] + np.maximum(k - discount * t[live], 1e-9))
+        t[live] += _uniform(keys[live], salt * 1000 + k) < p
     n = 8.0
-    while (customers > n).any():
-        size = np.clip(customers - n, 0, n)
-        p = open_ / (open_ + np.maximum(n - discount * t, 1e-9))
-        u, v = _uniform(keys, salt * 1000 + 100 + int(n).bit_length()), _uniform(keys, salt * 1000 + 200 + int(n).bit_length())
+    while len(live := np.flatnonzero(customers > n)):
+        size, own = np.clip(customers[live] - n, 0, n), keys[live]
+        p = open_[live] / (open_[live] + np.maximum(n - discount * t[live], 1e-9))
+        u, v = _uniform(own, salt * 1000 + 100 + int(n).bit_length()), _uniform(own, salt * 1000 + 200 + int(n).bit_length())
         normal = np.sqrt(-2 * np.log(np.maximum(u, 1e-300))) * np.cos(2 * np.pi * v)
         mean = size * p
         few = np.floor(mean) + (u < mean - np.floor(mean))  # for small means rounding at random keeps the expectation
         many = np.round(mean + np.sqrt(mean * (1 - p)) * normal)
-        t += np.clip(np.where(mean < 10, few, many), 0, size)
+        t[live] += np.clip(np.where(mean < 10, few, many), 0, size)
         n *= 2
     return t
 
@@ -105,8 +106,27 @@ class Spelling:
         return p
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        codes, owner = trigram_codes(words)
-        return np.exp(np.bincount(owner, np.log(self.probability(codes)), len(words)))
+        return self.of(*trigram_codes(words), len(words))
+
+    def of(self, codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Of n words, by their trigrams and the words these belong to: `probability` with all that depends on a cell or its
+        context alone looked up."""
+        cells, seen, parent, weight, below = self._tables()
+        at = np.minimum(np.searchsorted(cells, codes), len(cells) - 1) if len(cells) else np.zeros(len(codes), np.int64)
+        miss = np.flatnonzero(cells[at] != codes) if len(cells) else np.arange(len(codes))
+        logs = seen[at] if len(cells) else np.empty(len(codes))
+        context, last = codes[miss] // SYMBOLS, codes[miss] % SYMBOLS**2
+        logs[miss] = np.log(weight[context] * parent[last] / below[context])
+        return np.exp(np.bincount(owner, logs, n))
+
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """Cells with two symbols of context and their log probabilities, then the probability of each cell with one, and for
+        each context of two what an unseen cell's parent is multiplied with and divided by."""
+        if (own := getattr(self, "_looked_up", None)) is None:
+            all_ = np.arange(SYMBOLS**2)
+            n, m = _look(self.contexts[2], all_, self.context_counts[2], self.context_tables[2])
+            own = self._looked_up = self.cells[2], np.log(self.probability(self.cells[2])), self.probability(all_, 1), STRENGTH + SPELLING_DISCOUNT[2] * m, STRENGTH + n
+        return own
 
     @classmethod
     def empty(cls) -> Spelling:
@@ -140,10 +160,20 @@ def _look(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.
 
 def trigram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of (two symbols before, symbol) for all bytes and the end of each word, and the words they belong to."""
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    return _trigrams(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def _column_trigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a binary column without nulls."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = words.buffers()[2]
+    return _trigrams(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(offsets))
+
+
+def _trigrams(raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = length + 3
     ends = np.cumsum(length)
     s = np.empty(ends[-1] if len(ends) else 0, np.int64)
-    raw = np.frombuffer(b"".join(words), np.uint8)
     inner = np.ones(len(s), bool)
     inner[ends - 1] = False
     inner[ends - length] = inner[ends - length + 1] = False
@@ -153,7 +183,7 @@ def trigram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     scored = np.ones(len(s), bool)
     scored[ends - length] = scored[ends - length + 1] = False
     at = at[scored]
-    return (s[at - 2] * SYMBOLS + s[at - 1]) * SYMBOLS + s[at], np.repeat(np.arange(len(words)), length - 2)
+    return (s[at - 2] * SYMBOLS + s[at - 1]) * SYMBOLS + s[at], np.repeat(np.arange(len(length)), length - 2)
 
 
 def _keys(words: list[bytes]) -> np.ndarray:
@@ -238,60 +268,100 @@ def _sweep(seen: DataFrame, shared, discount: float, sweep: int) -> DataFrame:
     return seen.select("word", "c").mapInArrow(run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _block_words():
-    def step(batch):
-        blocks = batch.column("block").to_numpy()
-        edges = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
-        texts, train = batch.column("text"), batch.column("train").to_pylist()
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(blocks)], strict=True):
-            held, rest = Counter(), Counter()
-            for i in range(a, b):
-                (held if train[i] else rest).update(tokens((texts[i].as_py() or "").encode()))
-            words = list(held.keys() | rest.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), blocks[a])), pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64())], ["block", "word", "n"])
+#: A pair's entry in a cell, in planes of bytes: the step from the hash of the context before, the word's hash without its lowest byte, the training count.
+_ENTRY = 8 + 7 + 4
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, all first ones before all second ones, which compresses better."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T
+
 
-    return step
+def _whole(planes: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _block_pairs():
-    """block, context, word, n: the distinct pairs of each block by the hashes of their words, and their training count."""
+def _zipped(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+
+
+def _unzipped(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+
+
+def _block_cells(bits: int):
+    """cell, block, pairs, words, n: a block's distinct pairs and words, dealt over 2**bits cells (8 bits and more), compressed.
+
+    A pair's cell is that of the exclusive or of its words' hashes, so that the second's lowest byte needn't be sent. Pairs
+    are in the order of their contexts; words are joined by blanks, n has their training counts and in how many distinct
+    training pairs of the block they are the second and the first.
+    """
+    mask = np.uint64((1 << bits) - 1)
+
+    def make():
+        def step(batch):
+            blocks = batch.column("block").to_numpy()
+            edges = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
+            texts, train = batch.column("text"), batch.column("train").to_pylist()
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(blocks)], strict=True):
+                words, codes, n, _, _ = _paired([texts[i].as_py() for i in range(a, b)], train[a:b])
+                h = _keys(words)
+                u, w = codes // len(words), codes % len(words)
+                # each token is the second of one pair; then the block's distinct training pairs with the word as second and as first
+                held = np.stack([np.bincount(w, n, len(words)), np.bincount(w, n > 0, len(words)), np.bincount(u, n > 0, len(words))]).astype("<i4")
+                context, word = h[u], h[w]
+                cell = (context ^ word) & mask
+                order = np.argsort(cell << np.uint64(64 - bits) | context >> np.uint64(bits))
+                pairs = np.searchsorted(cell[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+                step_ = np.diff(context[order], prepend=np.uint64(0))
+                heads = pairs[:-1][np.diff(pairs) > 0]
+                step_[heads] = context[order][heads]
+                sent = np.concatenate([_planes(step_.astype("<u8")), _planes(word[order].astype("<u8"))[1:], _planes(n[order].astype("<i4"))])
+                mine = h & mask
+                listed = np.argsort(mine, kind="stable")
+                single = np.searchsorted(mine[listed], np.arange((1 << bits) + 1, dtype=np.uint64))
+                words, held = [words[i] for i in listed.tolist()], held[:, listed]
+                used = np.flatnonzero((np.diff(pairs) > 0) | (np.diff(single) > 0))
+                cut = [(pairs[k], pairs[k + 1], single[k], single[k + 1]) for k in used.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used, pa.int32()), pa.array(np.full(len(used), blocks[a])), pa.array([_zipped(sent[:, i:j].tobytes()) for i, j, _, _ in cut], pa.binary()),
+                        pa.array([_zipped(b" ".join(words[i:j])) for _, _, i, j in cut], pa.binary()), pa.array([_zipped(_planes(held[:, i:j].ravel()).tobytes()) for _, _, i, j in cut], pa.binary()),
+                    ],
+                    ["cell", "block", "pairs", "words", "n"],
+                )
 
-    def step(batch):
-        blocks = batch.column("block").to_numpy()
-        edges = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
-        texts, train = batch.column("text"), batch.column("train").to_pylist()
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(blocks)], strict=True):
-            words, codes, n, _, _ = _paired([texts[i].as_py() for i in range(a, b)], train[a:b])
-            h = signed(_keys(words))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), blocks[a])), pa.array(h[codes // len(words)]), pa.array(h[codes % len(words)]), pa.array(n)], ["block", "context", "word", "n"])
+        return step
 
-    return step
+    return make
 
 
 def _paired(texts: list[str | None], train: list[bool]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, distinct pairs (place of the context * number of words + place of the word), their training counts,
     for each token its pair, and where each text's tokens begin. A text's first context is the end."""
-    place, ids, bounds = {b"": 0}, [], [0]
+    place, ids, bounds = defaultdict(count().__next__, {}), [], [0]
+    place[b""]  # the end is the first word
     for text in texts:
-        ids += [place.setdefault(w, len(place)) for w in tokens((text or "").encode())]
-        bounds.append(len(ids))
-    at = np.array(ids, np.int64)
+        own = tokens((text or "").encode())
+        ids.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
+        bounds.append(bounds[-1] + len(own))
+    at = np.concatenate([np.zeros(0, np.int64), *ids])
     before = np.concatenate([[0], at[:-1]])  # each text ends with the end, whose place is 0
     codes, pair = np.unique(before * len(place) + at, return_inverse=True)
     held = np.repeat(np.array(train, bool), np.diff(bounds))
     return list(place), codes, np.bincount(pair[held], minlength=len(codes)), pair, np.array(bounds)
 
 
-def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _block_pairs sorted by context and word. kind 0: pairs with their training count and blocks, without those
-    that one block has at most once; kinds 1 and 2: for contexts and for words, how many distinct training pairs have them
-    (the other column is null)."""
+def _merged_pairs(batches: Iterator[pa.RecordBatch], summed: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows of context, word, block, n in which those of a pair stand together. kind 0: pairs with their training count and
+    blocks, without those that one block has at most once, and in `more` how many rows after the first have training counts;
+    with `summed`, kinds 1 and 2: for contexts and for words, how many distinct training pairs have them (the other column is null)."""
 
-    def rows(kind, context, word, c, blocks=None):
+    def rows(kind, context, word, c, blocks=None, more=None):
         n = len(context)
-        blocks = pa.array([None] * n, pa.list_(pa.int64())) if blocks is None else blocks
+        blocks = pa.nulls(n, pa.list_(pa.int64())) if blocks is None else blocks
         none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), none if kind == 2 else pa.array(context), none if kind == 1 else pa.array(word), pa.array(c), blocks], ["kind", "context", "word", "c", "blocks"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), none if kind == 2 else pa.array(context), none if kind == 1 else pa.array(word), pa.array(c), blocks, none if more is None else pa.array(more)], ["kind", "context", "word", "c", "blocks", "more"])
 
     def sums(held):
         for kind in (1, 2):
@@ -302,13 +372,13 @@ def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         context, word, block, n = x
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(context) != 0) | (np.diff(word) != 0)]))
         k, c = np.diff(np.append(starts, len(n))), np.add.reduceat(n, starts)
-        seen = starts[c > 0]
-        held[1].append(context[seen])
-        held[2].append(word[seen])
+        if summed:
+            seen = starts[c > 0]
+            held[1].append(context[seen])
+            held[2].append(word[seen])
         keep = (c > 1) | ((c == 1) & (k > 1))
-        bounds = np.concatenate([[0], np.cumsum(k[keep])])
-        blocks = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(block[np.repeat(keep, k)]))
-        return rows(0, context[starts[keep]], word[starts[keep]], c[keep], blocks)
+        more = np.add.reduceat((n > 0).astype(np.int64), starts)[keep] - 1
+        return rows(0, context[starts[keep]], word[starts[keep]], c[keep], _listed(block[np.repeat(keep, k)], k[keep]), more)
 
     held, left = {1: [], 2: []}, None
     for batch in batches:
@@ -330,10 +400,87 @@ def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from sums(held)
 
 
+def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
+def _packed(blocks: pa.ListArray) -> pa.Array:
+    """Lists of blocks as bytes."""
+    offsets, values = blocks.offsets.to_numpy().astype(np.int64), blocks.values.to_numpy().astype("<i4")
+    values = values[offsets[0] : offsets[-1]]
+    return pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(((offsets - offsets[0]) * 4).astype(np.int32)), pa.py_buffer(values)])
+
+
+#: `second` and `first`: the distinct training pairs that have the word there, by blocks; pairs of several are counted `more` often too often.
+MERGED = "kind long, context long, word long, c long, blocks binary, more long, second long, first long, text binary"
+
+
+def _merged_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _block_cells sorted by cell, as MERGED has them: kind 0 of _merged_pairs, but that pairs which training has once
+    are kind 3, with their key as word; and words as kind 4, with their hash (as word), training count and blocks. A task
+    holds one cell."""
+
+    def pairs(cell, block, sent):
+        sent = [np.frombuffer(_unzipped(x), np.uint8).reshape(_ENTRY, -1) for x in sent]
+        sizes, planes = np.array([x.shape[1] for x in sent]), np.concatenate(sent, axis=1)
+        context, n = signed(np.concatenate([np.cumsum(_whole(x[:8], "<u8"), dtype=np.uint64) for x in sent])), _whole(planes[15:], "<i4").astype(np.int64)
+        word = _whole(np.concatenate([((context ^ cell) & 255).astype(np.uint8)[None], planes[8:15]]), "<i8")
+        key = _pair_keys(context, word)
+        order = np.argsort(key)
+        if (np.diff(context[order])[np.diff(key[order]) == 0] != 0).any():  # two pairs of one key
+            order = np.lexsort((word, context))
+        return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (context, word, np.repeat(block, sizes), n)], ["context", "word", "block", "n"])
+
+    def words(block, sent, counts):
+        n = [_whole(np.frombuffer(_unzipped(x), np.uint8).reshape(4, -1), "<i4").reshape(3, -1) for x in counts]
+        sizes = np.array([x.shape[1] for x in n])
+        listed = pa.array([w for x, size in zip(sent, sizes.tolist(), strict=True) if size for w in _unzipped(x).split(b" ")], pa.binary()).dictionary_encode()
+        at, text = listed.indices.to_numpy(), listed.dictionary
+        order, k = np.argsort(at, kind="stable"), np.bincount(at, minlength=len(text))
+        c, second, first = (pa.array(np.bincount(at, x, len(text)).astype(np.int64)) for x in np.concatenate(n, axis=1))
+        h, none = signed(_keys(text.to_pylist())), pa.nulls(len(text), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), 4)), none, pa.array(h), c, _packed(_listed(np.repeat(block, sizes)[order], k)), none, second, first, text], names)
+
+    def cells():
+        cell, parts = None, []
+        for batch in batches:
+            at = batch.column("cell").to_numpy()
+            edges = np.flatnonzero(np.diff(at, prepend=at[:1] - 1))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
+                if parts and at[a] != cell:
+                    yield cell, parts
+                    parts = []
+                cell = int(at[a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield cell, parts
+
+    def opened():
+        for cell, parts in cells():
+            block = np.concatenate([x.column("block").to_numpy() for x in parts])
+            of = {k: [y for x in parts for y in x.column(k).to_pylist()] for k in ("pairs", "words", "n")}
+            texts.append(words(block, of["words"], of["n"]))
+            yield pairs(cell, block, of["pairs"])
+
+    def widened(x):
+        context, word, c = (x.column(k).to_numpy() for k in ("context", "word", "c"))
+        once, none = c == 1, pa.nulls(x.num_rows, pa.int64())
+        kind, key = pa.array(np.where(once, 3, 0)), np.where(once, _pair_keys(context, word), word)
+        return pa.RecordBatch.from_arrays([kind, pa.array(context, mask=once), pa.array(key), pa.array(c), _packed(x.column("blocks")), x.column("more"), none, none, pa.nulls(x.num_rows, pa.binary())], names)
+
+    names, texts = ["kind", "context", "word", "c", "blocks", "more", "second", "first", "text"], []
+    for x in _merged_pairs(opened(), summed=False):
+        yield widened(x)
+        while texts:
+            yield texts.pop()
+    yield from texts
+    trim()
+
+
 @dataclass
 class PairModel:
     discount: float
-    words: DataFrame  # word, h, c (training tokens), and means over the samples: p (word restaurant), t (tables of its own restaurant)
+    words: DataFrame  # h, c (training tokens), and means over the samples: p (word restaurant), t (tables of its own restaurant)
     seats: DataFrame  # context, word, t: mean tables of pairs seen more than once
     words_table: DataFrame  # what `words` and `seats` read
     seats_table: DataFrame
@@ -353,82 +500,121 @@ def _reseat(discount: float, sweep: int, sampled: bool):
     return make
 
 
-def _priced(shared):
+def _priced(shared, discount: float, salt: int):
+    """Fills base, the spelling's probability of a word, and drawn, its tables in the word restaurant. shared: the spelling, and the tables to draw with."""
+
     def make():
+        spelling, tables = shared.value
+
         def step(batch):
-            p = shared.value.predict(batch.column("word").to_pylist(), batch.column("m").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(p), batch.column("t")], ["h", "p", "t"])
+            base = spelling.of(*_column_trigrams(batch.column("word")), batch.num_rows)
+            t = seat(batch.column("m").to_numpy(), base, discount, STRENGTH, tables, batch.column("h").to_numpy().view(np.uint64), salt)
+            new = {"base": pa.array(base), "drawn": pa.array(t)}
+            yield pa.RecordBatch.from_arrays([new.get(k, batch.column(k)) for k in batch.schema.names], batch.schema.names)
 
         return step
 
     return make
 
 
-def fit_pairs(table: DataFrame, merged: DataFrame, scratch: Scratch) -> PairModel:
-    """Gibbs sweeps over pairs, words and spelling. table: word, c for all words; merged: the rows of _merged_pairs.
-    A sweep's tables go as the next one's are there."""
-    sc, written = table.sparkSession.sparkContext, scratch.written
+def _customers(words: DataFrame) -> DataFrame:
+    """code, n: customers that the drawn tables bring to the two-symbol cells; code -1 has the number of tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, sums, taken = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for batch in batches:
+            t = batch.column("drawn").to_numpy()
+            own, owner = _column_trigrams(batch.column("word"))
+            codes, inverse = np.unique(np.concatenate([codes, own]), return_inverse=True)
+            sums, taken = np.bincount(inverse, np.concatenate([sums, t[owner]]), len(codes)), taken + t.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(sums, taken))], ["code", "n"])
+
+    return words.where("drawn > 0").select("word", "drawn").mapInArrow(run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
+    """Gibbs sweeps over pairs, words and spelling. merged: the rows of _merged_cells.
+
+    A sweep's tables go as the next one's are there. Of each word a sweep keeps its base and the tables drawn for it; its
+    probability is a sum of columns once the sweep's totals are known, which the next sweep and the means take."""
+    sc, written = merged.sparkSession.sparkContext, scratch.written
+    zero = F.lit(0.0)
     # a pair seen once has one table; those seen more often have `drawn`
-    firsts = lambda kind, name, own: merged.where(f"kind = {kind}").groupBy(F.col(own).alias("h")).agg(F.sum("c").cast("double").alias(name))
-    hashed = map_batches(table, _hashed, "word binary, h long, c long")
-    start = written(hashed.join(firsts(2, "m1", "word"), "h", "left").join(firsts(1, "t1", "context"), "h", "left").select("word", "h", "c", F.coalesce("m1", F.lit(0.0)).alias("m1"), F.coalesce("t1", F.lit(0.0)).alias("t1")))
-    pairs = merged.where("kind = 0 AND c > 1").select("context", "word", "c")
+    twice = merged.where("kind = 0 AND more > 0").select(F.expr("stack(2, word, more, 0L, context, 0L, more) AS (h, d2, d1)")).groupBy("h").agg(F.sum("d2").alias("d2"), F.sum("d1").alias("d1"))
+    table = merged.where("kind = 4").select(F.col("text").alias("word"), F.col("word").alias("h"), "c", "second", "first").join(twice, "h", "left")
+    of = lambda name, d: (F.col(name) - F.coalesce(d, F.lit(0))).cast("double")
+    start = written(table.select("word", "h", "c", of("second", "d2").alias("m1"), of("first", "d1").alias("t1")))
+    pairs = merged.where("kind = 0").select("context", "word", "c")
     twos, many = pairs.agg(F.count_if(F.col("c") == 2), F.count("*")).first()
     s = start.agg(F.coalesce(F.sum("m1"), F.lit(0.0)).alias("m"), F.count_if(F.col("m1") > 0).alias("v"), F.count_if(F.col("m1") == 1).alias("n1"), F.count_if(F.col("m1") == 2).alias("n2")).first()
     discount, own = _discount(int(s.m) - many, twos), _discount(s.n1, s.n2)
-    spelling, tables = Spelling.empty(), float(s.v)
-    state = WordModel(own, s.m, s.v, [tables], [tables], [spelling], [0.0], [BURN_IN + SAMPLES])
-    words = start.select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), F.lit(0.0).alias("p_sum"), F.lit(0.0).alias("t_sum"))
-    seats = pairs.withColumn("total", F.lit(0.0))
-    old = [start]
+    spelling, tables, customers = Spelling.empty(), float(s.v), float(s.m)
+    words = start.select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), zero.alias("base"), zero.alias("drawn"), zero.alias("p_sum"), zero.alias("t_sum"))
+    priced = lambda of, salt: map_batches(of, _priced(sc.broadcast((spelling, tables)), own, salt), "word binary, h long, c long, m1 double, t1 double, m double, t double, base double, drawn double, p_sum double, t_sum double")
+    price = lambda: (F.col("m") - F.lit(own) * F.col("drawn") + F.lit(STRENGTH + own * tables) * F.col("base")) / F.lit(STRENGTH + customers)
+    seats = pairs.withColumn("total", zero)
+    old, prices = [start], priced(words.where("c > 1"), BURN_IN + SAMPLES).select("h", price().alias("p"), "t")
     for sweep in range(BURN_IN + SAMPLES):
-        sampled = sweep >= BURN_IN
-        prices = map_batches(words.where("c > 0").select("word", "h", "m", "t"), _priced(sc.broadcast(state)), "h long, p double, t double")
-        joined = seats.select("context", "word", "c", "total").join(prices.select(F.col("h").alias("word"), "p"), "word").join(words.where("c > 0").select(F.col("h").alias("context"), "t"), "context")
-        seats = written(map_batches(joined, _reseat(discount, sweep, sampled), "context long, word long, c long, drawn double, total double"))
-        more = lambda of, name: seats.where("drawn > 1").groupBy(F.col(of).alias("h")).agg(F.sum(F.col("drawn") - 1).alias(name))
-        moved = words.drop("m", "t").join(more("word", "dm"), "h", "left").join(more("context", "dt"), "h", "left")
-        words = written(moved.withColumn("m", F.col("m1") + F.coalesce("dm", F.lit(0.0))).withColumn("t", F.col("t1") + F.coalesce("dt", F.lit(0.0))).drop("dm", "dt"))
+        joined = seats.select("context", "word", "c", "total").join(prices.select(F.col("h").alias("word"), "p"), "word").join(words.where("c > 1").select(F.col("h").alias("context"), "t"), "context")
+        held = sweep > BURN_IN  # the sweep before was a kept one
+        moved = words.select("word", "h", "c", "m1", "t1", "base", "drawn", *((F.col("p_sum") + price()).alias("p_sum") if held else F.col("p_sum"), (F.col("t_sum") + F.col("t")).alias("t_sum") if held else F.col("t_sum")))
+        seats = written(map_batches(joined, _reseat(discount, sweep, sweep >= BURN_IN), "context long, word long, c long, drawn double, total double"))
+        more = seats.where("drawn > 1").select(F.expr("stack(2, word, drawn - 1, 0D, context, 0D, drawn - 1) AS (h, dm, dt)")).groupBy("h").agg(F.sum("dm").alias("dm"), F.sum("dt").alias("dt"))
+        moved = moved.join(more, "h", "left")
+        moved = moved.select("word", "h", "c", "m1", "t1", (F.col("m1") + F.coalesce("dm", zero)).alias("m"), (F.col("t1") + F.coalesce("dt", zero)).alias("t"), "base", "drawn", "p_sum", "t_sum")
+        words = written(priced(moved, sweep))
         for x in old:
             scratch.drop(x)
-        before, old = tables, [seats, words]
-        rows = _sweep(words.where("m > 0").select("word", F.col("m").alias("c")), sc.broadcast((spelling, before)), own, sweep).toPandas().sort_values("code")
-        tables, known = (float(rows.loc[rows["code"] == k, "n"].sum()) for k in (-1, -2))
-        customers = words.agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0]
-        state = WordModel(own, customers, s.v, [tables], [before], [spelling], [known], [sweep])
+        old = [seats, words]
+        rows = _customers(words).toPandas().sort_values("code")
+        tables, customers = float(rows.loc[rows["code"] == -1, "n"].sum()), float(words.agg(F.coalesce(F.sum("m"), zero)).first()[0])
         cells = rows[rows["code"] >= 0]
         spelling = Spelling.sampled(cells["code"].to_numpy(np.int64), cells["n"].to_numpy(float), spelling, sweep)
-        if sampled:
-            words = written(map_batches(words, _summed(sc.broadcast(state)), words.schema))
-            scratch.drop(old[1])
-            old[1] = words
-    mean = words.select("word", "h", "c", (F.col("p_sum") / SAMPLES).alias("p"), (F.col("t_sum") / SAMPLES).alias("t"))
+        prices = words.where("c > 1").select("h", price().alias("p"), "t")
+    mean = words.select("h", "c", ((F.col("p_sum") + price()) / SAMPLES).alias("p"), ((F.col("t_sum") + F.col("t")) / SAMPLES).alias("t"))
     return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")), words, seats)
 
 
-def _hashed():
-    def step(batch):
-        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(signed(_keys(batch.column("word").to_pylist()))), batch.column("c")], ["word", "h", "c"])
-
-    return step
-
+#: Entries that a task gathers before it sends them to their blocks.
+SENT = 1 << 20
 
-def _summed(shared):
-    """Adds a kept sweep's word probabilities and tables to p_sum and t_sum."""
-
-    def make():
-        def step(batch):
-            p = shared.value.predict(batch.column("word").to_pylist(), batch.column("m").to_numpy())
-            new = {"p_sum": pa.array(batch.column("p_sum").to_numpy() + p), "t_sum": pa.array(batch.column("t_sum").to_numpy() + batch.column("t").to_numpy())}
-            yield pa.RecordBatch.from_arrays([new.get(k, batch.column(k)) for k in batch.schema.names], batch.schema.names)
 
-        return step
+def _sent(part: int):
+    """block, key, c, p, t: the rows of key, c, p, t (p and t null: pairs) with `blocks`, gathered by block, columns as bytes;
+    blocks of one part only."""
 
-    return make
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(kind):
+            block, *values = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+            held[kind].clear()
+            order = np.argsort(block, kind="stable")
+            block, values = block[order], [x[order] for x in values]
+            starts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1)).tolist()
+            cut = [pa.array([x[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(block)], strict=True)], pa.binary()) for x in values]
+            return pa.RecordBatch.from_arrays([pa.array(block[starts]), *cut, *[pa.nulls(len(starts), pa.binary())] * (4 - len(cut))], ["block", "key", "c", "p", "t"])
+
+        held = {False: [], True: []}
+        for batch in batches:
+            lists = batch.column("blocks")
+            bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + batch.num_rows + 1].astype(np.int64)
+            block, owner = np.frombuffer(lists.buffers()[2], "<i4")[bounds[0] // 4 : bounds[-1] // 4], np.repeat(np.arange(batch.num_rows), np.diff(bounds) // 4)
+            word = batch.column("p").is_valid().to_numpy(zero_copy_only=False)
+            for kind, names in ((False, ("key", "c")), (True, ("key", "c", "p", "t"))):
+                wanted = np.flatnonzero((block % SLICES == part) & (word[owner] == kind))
+                if len(wanted):
+                    held[kind].append((block[wanted], *(batch.column(k).to_numpy(zero_copy_only=False)[owner[wanted]] for k in names)))
+                if sum(len(x[0]) for x in held[kind]) > SENT:
+                    yield sent(kind)
+        for kind in held:
+            if held[kind]:
+                yield sent(kind)
+        trim()
+
+    return run
 
 
 def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: doc_id, text, train; right: for words their hash, c, p, t, for pairs (p null) their key and c - discount * t;
+    """left: doc_id, text, train; right: rows of _sent, for words with their hash, c, p, t, for pairs with their key and c - discount * t;
     bottom: log10 of the base's denominator. A pair without a row is of this block alone, and seen once at most."""
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     if not left.num_rows:
@@ -438,11 +624,12 @@ def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table
     place = lambda keys, x: (order := np.argsort(keys))[np.searchsorted(keys, x, sorter=order)]
     u, w = codes // len(words), codes % len(words)
     single, double = right.filter(right.column("p").is_valid()), right.filter(right.column("p").is_null())
-    at = place(h, single.column("key").to_numpy())
+    column = lambda of, name, kind=float: np.frombuffer(b"".join(of.column(name).to_pylist()), kind)
+    at = place(h, column(single, "key", np.int64))
     c, p, t = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
-    c[at], p[at], t[at] = (single.column(k).to_numpy() for k in ("c", "p", "t"))
+    c[at], p[at], t[at] = (column(single, k) for k in ("c", "p", "t"))
     seated = n - discount * (n > 0)
-    seated[place(_pair_keys(h[u], h[w]), double.column("key").to_numpy())] = double.column("c").to_numpy()
+    seated[place(_pair_keys(h[u], h[w]), column(double, "key", np.int64))] = column(double, "c")
     lp = np.log10(np.maximum((seated + (STRENGTH + discount * t[u]) * p[w]) / (STRENGTH + c[u]), 1e-300))
     base = np.log10(c + 1.0) - bottom
     out = []
@@ -458,39 +645,38 @@ def score_texts(docs: DataFrame) -> DataFrame:
     docs: doc_id and text; other columns are ignored. Null and empty texts have the end as their only token. Without
     training documents counts are 0: the base is uniform over the end alone (log10 of 1) and the model is its spelling.
     """
+    place = "monotonically_increasing_id()"
     numbered = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(fold_crc(F.col("doc_id"), 7) != 2, F.lit(True)).alias("train"),
-        F.shiftright(F.monotonically_increasing_id(), BLOCK_DOCS.bit_length() - 1).alias("block"),
+        F.expr(f"cast(((({place} >> 33) << 12) ^ (({place} & {(1 << 33) - 1}) >> {BLOCK_DOCS.bit_length() - 1})) & {(1 << 31) - 1} AS INT)").alias("block"),  # blocks that share a number are one
     )
     # an Arrow batch may end within a block, so that a block's word or pair can come in several rows
     blocks = numbered.select("block", "text", "train")
-    scratch = Scratch(docs.sparkSession, free=True)
-    found = map_batches(blocks, _block_pairs, "block long, context long, word long, n long").repartition("context", "word").sortWithinPartitions("context", "word")
-    merged = scratch.written(found.mapInArrow(_merged_pairs, "kind long, context long, word long, c long, blocks array<long>"))  # the largest shuffle, before the other tables
-    vocabulary = scratch.written(map_batches(blocks, _block_words, "block long, word binary, n long"))
-    table = scratch.written(vocabulary.groupBy("word").agg(F.sum("n").alias("c")))
-    model = fit_pairs(table, merged, scratch)
-    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    scratch = Scratch(docs.sparkSession, free=True, codec="zstd")
+    bits = max(8, math.ceil(math.log2(max(4 * shuffle_partitions(docs.sparkSession), numbered.count() / BLOCK_DOCS))))
+    found = map_batches(blocks, _block_cells(bits), "cell int, block int, pairs binary, words binary, n binary").repartition("cell").sortWithinPartitions("cell")
+    merged = scratch.written(found.mapInArrow(_merged_cells, MERGED))  # the largest shuffle, before the other tables
+    model = fit_pairs(merged, scratch)
+    total, distinct = merged.where("kind = 4").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     bottom = math.log10(total + distinct + 1)
 
-    shared = merged.where("kind = 0").join(model.seats, ["context", "word"], "left")
-    shared = scratch.written(shared.select(F.expr(PAIR_KEY).alias("key"), (F.col("c") - F.lit(model.discount) * F.coalesce("t", F.lit(1.0))).alias("c"), "blocks"))
-    scratch.drop(merged)
-    scratch.drop(model.seats_table)
-    scratch.drop(table)
-    own = vocabulary.select("block", "word").join(model.words, "word").select("block", F.col("h").alias("key"), F.col("c").cast("double").alias("c"), "p", "t")
     none = F.lit(None).cast("double")
-    sent = shared.select(F.explode("blocks").alias("block"), "key", "c", none.alias("p"), none.alias("t"))
-    found = own.unionByName(sent)
+    seated = lambda t: F.col("c") - F.lit(model.discount) * t
+    many = merged.where("kind = 0").select("context", "word", "c", "blocks").join(model.seats, ["context", "word"])
+    many = many.select(F.expr(PAIR_KEY).alias("key"), seated(F.col("t")).alias("c"), none.alias("p"), none.alias("t"), "blocks")
+    once = merged.where("kind = 3").select(F.col("word").alias("key"), seated(F.lit(1.0)).alias("c"), none.alias("p"), none.alias("t"), "blocks")
+    own = merged.where("kind = 4").select(F.col("word").alias("h"), "blocks").join(model.words, "h").select(F.col("h").alias("key"), F.col("c").cast("double").alias("c"), "p", "t", "blocks")
+    found = scratch.written(many.unionByName(once).unionByName(own))
+    for x in (merged, model.seats_table, model.words_table):
+        scratch.drop(x)
     scored = None
     for k in range(SLICES):
-        inside = F.pmod("block", F.lit(SLICES)) == k
-        left, right = numbered.where(inside).select("block", "doc_id", "text", "train"), found.where(inside)
+        left = numbered.where(F.pmod("block", F.lit(SLICES)) == k).select("block", "doc_id", "text", "train")
+        right = found.mapInArrow(_sent(k), "block int, key binary, c binary, p binary, t binary")
         part = scratch.written(
             left.groupBy("block").cogroup(right.groupBy("block"))
             .applyInArrow(partial(_score_block, bottom, model.discount), "doc_id long, n_tokens long, n_known long, base_score double, score double")
         )
         scored = part if scored is None else scored.unionByName(part)
-    for x in (shared, vocabulary, model.words_table):
-        scratch.drop(x)
+    scratch.drop(found)
     return scored.select("doc_id", (fold_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
