@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as html_module
 import random
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -243,10 +244,39 @@ def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
 
 def main_text(page: str | None, model: Trees) -> str:
     """The kept blocks in page order, joined by an empty line; null and pages without text give an empty string."""
-    if not page:
+    return next(main_texts([page], model))
+
+
+#: Nodes from which on the pages held are scored.
+SCORED_NODES = 1 << 12
+
+
+def main_texts(pages: Iterable[str | None], model: Trees) -> Iterator[str]:
+    """main_text of each page in turn. Pages wait for each other's scores, as the trees take as long for one node as for many."""
+
+    def done():
+        scores = model.score(np.concatenate([x for _, x in held])) if held else np.zeros(0)
+        at = 0
+        for nodes, x in held:
+            yield _kept_text(nodes, scores[at : at + len(x)])
+            at += len(x)
+
+    held, n = [], 0
+    none = np.zeros((0, len(FEATURES)))
+    for page in pages:
+        nodes = parse(page) if page else []
+        held.append((nodes, features(nodes, len(page)) if nodes else none))
+        n += len(nodes)
+        if n >= SCORED_NODES or len(held) >= SCORED_NODES:
+            yield from done()
+            held, n = [], 0
+    yield from done()
+
+
+def _kept_text(nodes: list[Node], scores: np.ndarray) -> str:
+    if not nodes:
         return ""
-    nodes = parse(page)
-    kept = decode(nodes, model.score(features(nodes, len(page))))
+    kept = decode(nodes, scores)
     blocks = [b for d, k in zip(nodes, kept, strict=True) if k and (d.parent >= 0 or len(nodes) == 1) for b in d.blocks]
     return "\n\n".join(b for _, b in sorted(blocks))
 
@@ -363,7 +393,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def make():
         def step(batch):
-            texts = [main_text(h.as_py(), model) for h in batch.column("html")]
+            texts = list(main_texts((h.as_py() for h in batch.column("html")), model))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return step

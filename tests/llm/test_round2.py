@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from maskwright.llm import lm_hpyp
+from maskwright.llm import html_extract, lm_hpyp
 
 
 def _blocks(texts, train, size):
@@ -59,3 +59,18 @@ def test_spelling_tables_give_the_same_probabilities():
     for model in (lm_hpyp.Spelling.empty(), fitted):
         codes, owner = lm_hpyp.trigram_codes(words)
         assert (model.of(*lm_hpyp._column_trigrams(pa.array([b"x", *words], pa.binary())[1:]), len(words)) == np.exp(np.bincount(owner, np.log(model.probability(codes)), len(words)))).all()
+
+
+def test_pages_are_scored_together_and_come_out_the_same(monkeypatch):
+    rng = random.Random(3)
+    pages = [None, "", "plain", "<p>", *(html_extract.synthetic_page(rng) for _ in range(60)), None, "<div><p>One.</p></div>"]
+    model, calls = html_extract.trained(), []
+    score = type(model).score
+    monkeypatch.setattr(type(model), "score", lambda self, x: (calls.append(len(x)), score(self, x))[1])
+    alone = [html_extract.main_text(p, model) for p in pages]
+    calls.clear()
+    assert list(html_extract.main_texts(iter(pages), model)) == alone and len(calls) == 1
+    monkeypatch.setattr(html_extract, "SCORED_NODES", 100)
+    calls.clear()
+    assert list(html_extract.main_texts(iter(pages), model)) == alone and 1 < len(calls) < len(pages)
+    assert list(html_extract.main_texts([], model)) == [] and alone[0] == alone[1] == ""
