@@ -34,6 +34,11 @@ SHARD_IDS = 2 << 20
 TEXT_BYTES = 4 << 20
 
 
+def _width(bits: int) -> type:
+    """The narrowest of two types for numbers of so many bits."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """A sequence of integers of `bits` bits in `bits` planes, and the documents that it is made of."""
 
@@ -47,13 +52,15 @@ class WaveletMatrix:
         values = np.asarray(values, np.uint32)
         n, bits = len(values), int(values.max()).bit_length() if len(values) else 0
         planes, zeros, width = [], [], BLOCK_BITS // 8
+        values = values.astype(_width(bits))
         for b in range(bits - 1, -1, -1):
-            bit = (values >> np.uint32(b) & np.uint32(1)).astype(bool)
+            bit = (values & values.dtype.type(1 << b)).astype(bool)
             packed = np.zeros(-(-n // BLOCK_BITS) * width, np.uint8)
             packed[: -(-n // 8)] = np.packbits(bit, bitorder="little")
             planes.append(packed.reshape(-1, width))
             zeros.append(int(n - np.count_nonzero(bit)))
-            values = np.concatenate([values[~bit], values[bit]])
+            if b:
+                values = np.concatenate([values.take(np.flatnonzero(x)) for x in (~bit, bit)])  # faster than by masks
         counts = np.array([np.bitwise_count(p).sum(axis=1) for p in planes], np.int64).reshape(bits, -(-n // BLOCK_BITS))
         none = np.zeros(0, np.int64)
         return cls(n, bits, zeros, np.cumsum(counts, axis=1) - counts, lambda level, k: planes[level][k], none if doc_ids is None else np.asarray(doc_ids, np.int64), none if lengths is None else np.asarray(lengths, np.int64))
@@ -120,14 +127,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All values: each plane's stable partition is undone, from the lowest bit up."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, _width(self.bits))
         for level in range(self.bits - 1, -1, -1):
             plane = np.concatenate([self.block(level, k) for k in range(self.ones.shape[1])])
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            before = np.empty_like(values)
-            before[~bit], before[bit] = values[: self.zeros[level]], values[self.zeros[level] :]
-            values = before | bit.astype(np.uint32) << np.uint32(self.bits - 1 - level)
-        return values
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            before, one = np.empty_like(values), values[self.zeros[level] :]
+            one |= values.dtype.type(1 << self.bits - 1 - level)
+            before[np.flatnonzero(~bit)], before[np.flatnonzero(bit)] = values[: self.zeros[level]], one
+            values = before
+        return values.astype(np.uint32, copy=False)
 
     def to_bytes(self) -> bytes:
         blocks = self.ones.shape[1]
@@ -195,11 +203,11 @@ def plain_pieces(block: Block, words: Words) -> tuple[Words, np.ndarray, np.ndar
         letter = (second != 0x97) & (second != 0xB7)
         bad[latin] = ~letter
         low[latin] += np.where(letter & (second < 0x9F), 32, 0).astype(np.uint8)
-    bads = np.concatenate([[0], np.cumsum(bad)])
-    plain = bads[words.ends] == bads[words.starts]
+    bads = np.flatnonzero(bad)
+    plain = np.searchsorted(bads, words.ends) == np.searchsorted(bads, words.starts)
     inside = np.zeros(n + 1, np.int8)
     inside[words.starts[plain]] += 1
-    np.subtract.at(inside, words.ends[plain], 1)
+    inside[words.ends[plain]] -= 1  # words have ends of their own
     inside = np.cumsum(inside[:n], dtype=np.int8).astype(bool)
     kind = np.where(inside, _KIND[data], 0)
     begins = np.zeros(n, bool)
@@ -225,6 +233,16 @@ def plain_pieces(block: Block, words: Words) -> tuple[Words, np.ndarray, np.ndar
     return Words(starts, ends, np.searchsorted(starts, block.offsets)), np.where(inside, low, data), plain[chunk]
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, where one of each stands (not always the first), and each hash's place among them."""
+    order = np.argsort(hashes)
+    own = hashes[order]
+    new = np.concatenate([[True], own[1:] != own[:-1]])
+    inverse = np.empty(len(hashes), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return own[new], order[new], inverse
+
+
 class Encoder:
     """tokenizers' ids of whole texts, kept by pieces, which no token of the vocabulary crosses.
 
@@ -289,7 +307,7 @@ class Encoder:
         if len(self.places) > self.MOST or self.n_ids > 8 * self.MOST:
             self._clear()
         units, data, plain = plain_pieces(block, words)
-        key, first, inverse = np.unique(hash_words(Block(block.first, data, block.offsets), units, lower=False), return_index=True, return_inverse=True)
+        key, first, inverse = _distinct(hash_words(Block(block.first, data, block.offsets), units, lower=False))
         keys = key.tolist()
         place = np.fromiter(map(self.places.get, keys, [-1] * len(keys)), np.int64, len(key))
         new = np.flatnonzero(place < 0)

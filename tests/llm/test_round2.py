@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from maskwright.llm import html_extract, lm_hpyp
+from maskwright.llm import html_extract, lm_hpyp, wavelet
 
 
 def _blocks(texts, train, size):
@@ -74,3 +74,21 @@ def test_pages_are_scored_together_and_come_out_the_same(monkeypatch):
     calls.clear()
     assert list(html_extract.main_texts(iter(pages), model)) == alone and 1 < len(calls) < len(pages)
     assert list(html_extract.main_texts([], model)) == [] and alone[0] == alone[1] == ""
+
+
+def test_wavelet_matrices_of_few_bits_use_half_the_width():
+    rng = np.random.default_rng(2)
+    for top in (1, 2, 300, 1 << 16, (1 << 16) + 1, (1 << 32) - 1):
+        values = np.append(rng.integers(0, top, 70_000), top - 1).astype(np.uint32)
+        matrix = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(values).to_bytes())
+        out = matrix.decode()
+        assert out.dtype == np.uint32 and (out == values).all() and [matrix.access(i) for i in (0, 34_567, 70_000)] == values[[0, 34_567, 70_000]].tolist()
+    assert (wavelet._width(16), wavelet._width(17)) == (np.uint16, np.uint32)
+
+
+def test_distinct_hashes_as_numpy_finds_them():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 10_000):
+        hashes = rng.integers(0, 1 << 64, 700, np.uint64)[rng.integers(0, 700, n)]
+        key, one, inverse = wavelet._distinct(hashes)
+        assert (key == np.unique(hashes)).all() and (hashes[one] == key).all() and (key[inverse] == hashes).all()
