@@ -482,8 +482,7 @@ class PairModel:
     discount: float
     words: DataFrame  # h, c (training tokens), and means over the samples: p (word restaurant), t (tables of its own restaurant)
     seats: DataFrame  # context, word, t: mean tables of pairs seen more than once
-    words_table: DataFrame  # what `words` and `seats` read
-    seats_table: DataFrame
+    tables: list[DataFrame]  # what `words` and `seats` read
 
 
 def _reseat(discount: float, sweep: int, sampled: bool):
@@ -532,11 +531,38 @@ def _customers(words: DataFrame) -> DataFrame:
     return words.where("drawn > 0").select("word", "drawn").mapInArrow(run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = rows.toPandas()
+    return table["code"].to_numpy(np.int64), table["n"].to_numpy(float)
+
+
+def _total(codes: np.ndarray, n: np.ndarray) -> float:
+    return float(n[codes == -1].sum())
+
+
+def _rare(shared, discount: float):
+    """h, c, mean p, t of words with one customer or none, which has its own table. shared: of kept sweeps the spelling, what a base is
+    multiplied with, and what all is divided by."""
+
+    def make():
+        def step(batch):
+            trigrams, m = _column_trigrams(batch.column("word")), batch.column("m1").to_numpy()
+            p = np.zeros(batch.num_rows)
+            for spelling, weight, total in shared.value:
+                p += (m - discount * m + weight * spelling.of(*trigrams, batch.num_rows)) / total
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(p / SAMPLES), batch.column("t")], ["h", "c", "p", "t"])
+
+        return step
+
+    return make
+
+
 def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
     """Gibbs sweeps over pairs, words and spelling. merged: the rows of _merged_cells.
 
     A sweep's tables go as the next one's are there. Of each word a sweep keeps its base and the tables drawn for it; its
-    probability is a sum of columns once the sweep's totals are known, which the next sweep and the means take."""
+    probability is a sum of columns once the sweep's totals are known, which the next sweep and the means take. Words that
+    training has once or never are in no pair that is seated, and have one table or none: sweeps need their sums only."""
     sc, written = merged.sparkSession.sparkContext, scratch.written
     zero = F.lit(0.0)
     # a pair seen once has one table; those seen more often have `drawn`
@@ -549,13 +575,17 @@ def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
     s = start.agg(F.coalesce(F.sum("m1"), F.lit(0.0)).alias("m"), F.count_if(F.col("m1") > 0).alias("v"), F.count_if(F.col("m1") == 1).alias("n1"), F.count_if(F.col("m1") == 2).alias("n2")).first()
     discount, own = _discount(int(s.m) - many, twos), _discount(s.n1, s.n2)
     spelling, tables, customers = Spelling.empty(), float(s.v), float(s.m)
-    words = start.select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), zero.alias("base"), zero.alias("drawn"), zero.alias("p_sum"), zero.alias("t_sum"))
+    rare = start.where("c <= 1")
+    rare_codes, rare_n = _gathered(_customers(rare.select("word", F.col("m1").alias("drawn"))))
+    rare_tables, rare_customers = _total(rare_codes, rare_n), float(rare.agg(F.coalesce(F.sum("m1"), zero)).first()[0])
+    rare_codes, rare_n, states = rare_codes[rare_codes >= 0], rare_n[rare_codes >= 0], []
+    words = start.where("c > 1").select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), zero.alias("base"), zero.alias("drawn"), zero.alias("p_sum"), zero.alias("t_sum"))
     priced = lambda of, salt: map_batches(of, _priced(sc.broadcast((spelling, tables)), own, salt), "word binary, h long, c long, m1 double, t1 double, m double, t double, base double, drawn double, p_sum double, t_sum double")
     price = lambda: (F.col("m") - F.lit(own) * F.col("drawn") + F.lit(STRENGTH + own * tables) * F.col("base")) / F.lit(STRENGTH + customers)
     seats = pairs.withColumn("total", zero)
-    old, prices = [start], priced(words.where("c > 1"), BURN_IN + SAMPLES).select("h", price().alias("p"), "t")
+    old, prices = [], priced(words, BURN_IN + SAMPLES).select("h", price().alias("p"), "t")
     for sweep in range(BURN_IN + SAMPLES):
-        joined = seats.select("context", "word", "c", "total").join(prices.select(F.col("h").alias("word"), "p"), "word").join(words.where("c > 1").select(F.col("h").alias("context"), "t"), "context")
+        joined = seats.select("context", "word", "c", "total").join(prices.select(F.col("h").alias("word"), "p").hint("shuffle_hash"), "word").join(words.select(F.col("h").alias("context"), "t").hint("shuffle_hash"), "context")
         held = sweep > BURN_IN  # the sweep before was a kept one
         moved = words.select("word", "h", "c", "m1", "t1", "base", "drawn", *((F.col("p_sum") + price()).alias("p_sum") if held else F.col("p_sum"), (F.col("t_sum") + F.col("t")).alias("t_sum") if held else F.col("t_sum")))
         seats = written(map_batches(joined, _reseat(discount, sweep, sweep >= BURN_IN), "context long, word long, c long, drawn double, total double"))
@@ -566,51 +596,57 @@ def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
         for x in old:
             scratch.drop(x)
         old = [seats, words]
-        rows = _customers(words).toPandas().sort_values("code")
-        tables, customers = float(rows.loc[rows["code"] == -1, "n"].sum()), float(words.agg(F.coalesce(F.sum("m"), zero)).first()[0])
-        cells = rows[rows["code"] >= 0]
-        spelling = Spelling.sampled(cells["code"].to_numpy(np.int64), cells["n"].to_numpy(float), spelling, sweep)
-        prices = words.where("c > 1").select("h", price().alias("p"), "t")
+        codes, n = _gathered(_customers(words))
+        tables, customers = _total(codes, n) + rare_tables, float(words.agg(F.coalesce(F.sum("m"), zero)).first()[0]) + rare_customers
+        if sweep >= BURN_IN:
+            states.append((spelling, STRENGTH + own * tables, STRENGTH + customers))
+        spelling = Spelling.sampled(np.concatenate([codes[codes >= 0], rare_codes]), np.concatenate([n[codes >= 0], rare_n]), spelling, sweep)
+        prices = words.select("h", price().alias("p"), "t")
     mean = words.select("h", "c", ((F.col("p_sum") + price()) / SAMPLES).alias("p"), ((F.col("t_sum") + F.col("t")) / SAMPLES).alias("t"))
-    return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")), words, seats)
+    mean = mean.unionByName(map_batches(rare.select("word", "h", "c", "m1", F.col("t1").alias("t")), _rare(sc.broadcast(states), own), "h long, c long, p double, t double"))
+    return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")), [start, words, seats])
 
 
 #: Entries that a task gathers before it sends them to their blocks.
-SENT = 1 << 20
+SENT = 1 << 18
 
 
-def _sent(part: int):
-    """block, key, c, p, t: the rows of key, c, p, t (p and t null: pairs) with `blocks`, gathered by block, columns as bytes;
-    blocks of one part only."""
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, key, c, p, t: the rows of key, c, p, t (p and t null: pairs) with `blocks`, gathered by block, columns as bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(kind):
-            block, *values = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-            held[kind].clear()
-            order = np.argsort(block, kind="stable")
-            block, values = block[order], [x[order] for x in values]
-            starts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1)).tolist()
-            cut = [pa.array([x[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(block)], strict=True)], pa.binary()) for x in values]
-            return pa.RecordBatch.from_arrays([pa.array(block[starts]), *cut, *[pa.nulls(len(starts), pa.binary())] * (4 - len(cut))], ["block", "key", "c", "p", "t"])
-
-        held = {False: [], True: []}
-        for batch in batches:
-            lists = batch.column("blocks")
-            bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + batch.num_rows + 1].astype(np.int64)
-            block, owner = np.frombuffer(lists.buffers()[2], "<i4")[bounds[0] // 4 : bounds[-1] // 4], np.repeat(np.arange(batch.num_rows), np.diff(bounds) // 4)
-            word = batch.column("p").is_valid().to_numpy(zero_copy_only=False)
-            for kind, names in ((False, ("key", "c")), (True, ("key", "c", "p", "t"))):
-                wanted = np.flatnonzero((block % SLICES == part) & (word[owner] == kind))
-                if len(wanted):
-                    held[kind].append((block[wanted], *(batch.column(k).to_numpy(zero_copy_only=False)[owner[wanted]] for k in names)))
-                if sum(len(x[0]) for x in held[kind]) > SENT:
-                    yield sent(kind)
-        for kind in held:
-            if held[kind]:
+    def sent(kind):
+        block, *values = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+        held[kind].clear()
+        order = np.argsort(block, kind="stable")
+        block, values = block[order], [x[order] for x in values]
+        starts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1)).tolist()
+        cut = [pa.array([x[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(block)], strict=True)], pa.binary()) for x in values]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *cut, *[pa.nulls(len(starts), pa.binary())] * (4 - len(cut))], ["block", "key", "c", "p", "t"])
+
+    held = {False: [], True: []}
+    for batch in batches:
+        lists = batch.column("blocks")
+        bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + batch.num_rows + 1].astype(np.int64)
+        block, owner = np.frombuffer(lists.buffers()[2], "<i4")[bounds[0] // 4 : bounds[-1] // 4], np.repeat(np.arange(batch.num_rows), np.diff(bounds) // 4)
+        word = batch.column("p").is_valid().to_numpy(zero_copy_only=False)[owner]
+        for kind, names in ((False, ("key", "c")), (True, ("key", "c", "p", "t"))):
+            wanted = np.flatnonzero(word == kind)
+            if len(wanted):
+                held[kind].append((block[wanted], *(batch.column(k).to_numpy(zero_copy_only=False)[owner[wanted]] for k in names)))
+            if sum(len(x[0]) for x in held[kind]) > SENT:
                 yield sent(kind)
-        trim()
+    for kind in held:
+        if held[kind]:
+            yield sent(kind)
+    trim()
+
 
-    return run
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted keys stand; both are sorted, as looking up in order is faster."""
+    order, asked = np.argsort(keys), np.argsort(wanted)
+    out = np.empty(len(wanted), np.int64)
+    out[asked] = order[np.searchsorted(keys[order], wanted[asked])]
+    return out
 
 
 def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -621,15 +657,14 @@ def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
     words, codes, n, pair, bounds = _paired(left.column("text").to_pylist(), left.column("train").to_pylist())
     h = signed(_keys(words))
-    place = lambda keys, x: (order := np.argsort(keys))[np.searchsorted(keys, x, sorter=order)]
     u, w = codes // len(words), codes % len(words)
     single, double = right.filter(right.column("p").is_valid()), right.filter(right.column("p").is_null())
     column = lambda of, name, kind=float: np.frombuffer(b"".join(of.column(name).to_pylist()), kind)
-    at = place(h, column(single, "key", np.int64))
+    at = _places(h, column(single, "key", np.int64))
     c, p, t = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
     c[at], p[at], t[at] = (column(single, k) for k in ("c", "p", "t"))
     seated = n - discount * (n > 0)
-    seated[place(_pair_keys(h[u], h[w]), column(double, "key", np.int64))] = column(double, "c")
+    seated[_places(_pair_keys(h[u], h[w]), column(double, "key", np.int64))] = column(double, "c")
     lp = np.log10(np.maximum((seated + (STRENGTH + discount * t[u]) * p[w]) / (STRENGTH + c[u]), 1e-300))
     base = np.log10(c + 1.0) - bottom
     out = []
@@ -667,16 +702,18 @@ def score_texts(docs: DataFrame) -> DataFrame:
     once = merged.where("kind = 3").select(F.col("word").alias("key"), seated(F.lit(1.0)).alias("c"), none.alias("p"), none.alias("t"), "blocks")
     own = merged.where("kind = 4").select(F.col("word").alias("h"), "blocks").join(model.words, "h").select(F.col("h").alias("key"), F.col("c").cast("double").alias("c"), "p", "t", "blocks")
     found = scratch.written(many.unionByName(once).unionByName(own))
-    for x in (merged, model.seats_table, model.words_table):
+    for x in (merged, *model.tables):
         scratch.drop(x)
+    sent = scratch.written(found.mapInArrow(_sent, "block int, key binary, c binary, p binary, t binary"))
+    scratch.drop(found)
     scored = None
     for k in range(SLICES):
-        left = numbered.where(F.pmod("block", F.lit(SLICES)) == k).select("block", "doc_id", "text", "train")
-        right = found.mapInArrow(_sent(k), "block int, key binary, c binary, p binary, t binary")
+        inside = F.pmod("block", F.lit(SLICES)) == k
+        left, right = numbered.where(inside).select("block", "doc_id", "text", "train"), sent.where(inside)
         part = scratch.written(
             left.groupBy("block").cogroup(right.groupBy("block"))
             .applyInArrow(partial(_score_block, bottom, model.discount), "doc_id long, n_tokens long, n_known long, base_score double, score double")
         )
         scored = part if scored is None else scored.unionByName(part)
-    scratch.drop(found)
+    scratch.drop(sent)
     return scored.select("doc_id", (fold_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -92,3 +92,15 @@ def test_distinct_hashes_as_numpy_finds_them():
         hashes = rng.integers(0, 1 << 64, 700, np.uint64)[rng.integers(0, 700, n)]
         key, one, inverse = wavelet._distinct(hashes)
         assert (key == np.unique(hashes)).all() and (hashes[one] == key).all() and (key[inverse] == hashes).all()
+
+
+def test_values_are_sent_to_blocks_once():
+    packed = lm_hpyp._packed(pa.array([[3, 5], [5], [], [0, 3, 5]], pa.list_(pa.int64())))
+    rows = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13]), pa.array([1.5, 2.0, 7.0, 3.0]), pa.array([None, 0.25, None, None]), pa.array([None, 4.0, None, None]), packed], ["key", "c", "p", "t", "blocks"])
+    got = collections.defaultdict(list)
+    for r in (r for b in lm_hpyp._sent(iter([rows, rows.slice(1, 1)])) for r in b.to_pylist()):
+        value = [np.frombuffer(r[k], float).tolist() if r[k] is not None else None for k in ("c", "p", "t")]
+        got[r["block"]].append((np.frombuffer(r["key"], np.int64).tolist(), *value))
+    assert got == {0: [([13], [3.0], None, None)], 3: [([10, 13], [1.5, 3.0], None, None)], 5: [([10, 13], [1.5, 3.0], None, None), ([11, 11], [2.0] * 2, [0.25] * 2, [4.0] * 2)]}
+    keys = np.array([7, -3, 9, 0])
+    assert lm_hpyp._places(keys, np.array([0, 9, 7])).tolist() == [3, 2, 0]
