@@ -100,7 +100,10 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, first: int
         before = F.when(kind == k, pick("before", b)) if before is None else before.when(kind == k, pick("before", b))
         label = F.when(kind == k, F.lit(y)) if label is None else label.when(kind == k, F.lit(y))
     lead = F.concat(odd, F.lit(" "), words("lead"), F.lit(" "))
-    return r.select(text.alias("text"), F.concat(lead, before).alias("before"), F.concat(F.when(before.rlike("[\"']$"), F.right(before, F.lit(1))).otherwise(F.lit("")), F.lit(" "), odd).alias("after"), label.cast("double").alias("label"), kind.alias("kind"))
+    made = r.select(text.alias("text"), F.concat(lead, before).alias("before"), odd.alias("odd"), label.cast("double").alias("label"), kind.alias("kind"))
+    # a quote is closed; a column that is used again is one column here, else its expression is compiled anew at each place
+    closing = F.when(F.col("before").rlike("[\"']$"), F.right("before", F.lit(1))).otherwise(F.lit(""))
+    return made.select("text", "before", F.concat(closing, F.lit(" "), "odd").alias("after"), "label", "kind")
 
 
 def labelled_vectors(findings: DataFrame) -> DataFrame:
@@ -111,14 +114,21 @@ def labelled_vectors(findings: DataFrame) -> DataFrame:
 
 
 def fit_forest(spark: SparkSession, findings: DataFrame | None = None) -> list[tuple]:
-    """Trees as nested tuples (feature, threshold, left, right) or a vote. findings: text, before, after, label."""
+    """Trees as nested tuples (feature, threshold, left, right) or a vote. findings: text, before, after, label.
+
+    Findings and their vectors are kept while the forest grows: the learner reads them once a level, and a plan that makes
+    and scans the findings in one is too large to be compiled."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    findings = labelled_findings(spark) if findings is None else findings
-    rows = labelled_vectors(findings).coalesce(4)
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    model = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=13, featureSubsetStrategy="onethird", cacheNodeIds=False).fit(data)
+    findings = (labelled_findings(spark) if findings is None else findings).select("text", "before", "after", "label").persist()
+    rows = labelled_vectors(findings).coalesce(4).persist()
+    try:
+        data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+        model = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=13, featureSubsetStrategy="onethird", cacheNodeIds=False).fit(data)
+    finally:
+        rows.unpersist()
+        findings.unpersist()
     return parse_forest(model.toDebugString)
 
 
