@@ -20,11 +20,9 @@ what is known of a block's distinct words comes back to it, and so do its pairs
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, combine, fold_crc, map_batches, mix, shuffle_partitions, signed, trim
+from .common import Scratch, combine, fold_crc, map_batches, mix, shuffle_partitions, signed, text_blocks, trim, word_spans
 
 BLOCK_DOCS = 2048
 BURN_IN, SAMPLES = 1, 3
@@ -281,8 +279,9 @@ def _whole(planes: np.ndarray, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _zipped(x: bytes) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+def _zipped(x: bytes | np.ndarray) -> bytes:
+    x = x if isinstance(x, bytes) else np.ascontiguousarray(x).data
+    return memoryview(x).nbytes.to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
 
 
 def _unzipped(x: bytes) -> bytes:
@@ -302,9 +301,9 @@ def _block_cells(bits: int):
         def step(batch):
             blocks = batch.column("block").to_numpy()
             edges = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
-            texts, train = batch.column("text"), batch.column("train").to_pylist()
+            texts, train = batch.column("text"), batch.column("train")
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(blocks)], strict=True):
-                words, codes, n, _, _ = _paired([texts[i].as_py() for i in range(a, b)], train[a:b])
+                words, codes, n, _, _ = _paired(texts.slice(a, b - a), train.slice(a, b - a), places=False)
                 h = _keys(words)
                 u, w = codes // len(words), codes % len(words)
                 # each token is the second of one pair; then the block's distinct training pairs with the word as second and as first
@@ -313,9 +312,11 @@ def _block_cells(bits: int):
                 cell = (context ^ word) & mask
                 order = np.argsort(cell << np.uint64(64 - bits) | context >> np.uint64(bits))
                 pairs = np.searchsorted(cell[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-                step_ = np.diff(context[order], prepend=np.uint64(0))
+                context = context[order]
+                step_ = context.copy()
+                step_[1:] -= context[:-1]
                 heads = pairs[:-1][np.diff(pairs) > 0]
-                step_[heads] = context[order][heads]
+                step_[heads] = context[heads]
                 sent = np.concatenate([_planes(step_.astype("<u8")), _planes(word[order].astype("<u8"))[1:], _planes(n[order].astype("<i4"))])
                 mine = h & mask
                 listed = np.argsort(mine, kind="stable")
@@ -325,8 +326,8 @@ def _block_cells(bits: int):
                 cut = [(pairs[k], pairs[k + 1], single[k], single[k + 1]) for k in used.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(used, pa.int32()), pa.array(np.full(len(used), blocks[a])), pa.array([_zipped(sent[:, i:j].tobytes()) for i, j, _, _ in cut], pa.binary()),
-                        pa.array([_zipped(b" ".join(words[i:j])) for _, _, i, j in cut], pa.binary()), pa.array([_zipped(_planes(held[:, i:j].ravel()).tobytes()) for _, _, i, j in cut], pa.binary()),
+                        pa.array(used, pa.int32()), pa.array(np.full(len(used), blocks[a])), pa.array([_zipped(sent[:, i:j]) for i, j, _, _ in cut], pa.binary()),
+                        pa.array([_zipped(b" ".join(words[i:j])) for _, _, i, j in cut], pa.binary()), pa.array([_zipped(_planes(held[:, i:j].ravel())) for _, _, i, j in cut], pa.binary()),
                     ],
                     ["cell", "block", "pairs", "words", "n"],
                 )
@@ -336,20 +337,52 @@ def _block_cells(bits: int):
     return make
 
 
-def _paired(texts: list[str | None], train: list[bool]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _token_column(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The same as `tokens` of all texts as one column, with an end before the first text; and where each text's tokens begin, without that end."""
+    data, lengths, counts = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    for block in text_blocks(texts):
+        raw = block.data
+        inside = (raw != 32) & (raw - np.uint8(9) > 4)
+        found = word_spans(block, inside)
+        length = np.zeros(len(found.starts) + len(block), np.int64)
+        length[np.arange(len(found.starts)) + found.docs] = found.ends - found.starts
+        lengths.append(length)
+        counts.append(found.counts + 1)
+        raw = raw[inside]
+        data.append(raw + (raw - np.uint8(65) < 26) * np.uint8(32))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    raw = np.concatenate([np.zeros(0, np.uint8), *data])
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), np.cumsum(np.concatenate(counts))
+
+
+def _listed_bytes(column: pa.Array) -> list[bytes]:
+    """The values of a large binary column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = column.buffers()[2].to_pybytes() if column.buffers()[2] is not None else b""
+    return [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _sorted_pairs(codes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, and how often each is in training."""
+    both = np.sort(codes << 1 | train)
+    new = np.ones(len(both), bool)
+    np.greater(both[1:] ^ both[:-1], 1, out=new[1:])
+    starts = np.flatnonzero(new)
+    return both[starts] >> 1, np.add.reduceat(both & 1, starts) if len(starts) else starts
+
+
+def _paired(texts: pa.Array | pa.ChunkedArray, train: pa.Array | pa.ChunkedArray, places: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
     """Distinct words, distinct pairs (place of the context * number of words + place of the word), their training counts,
-    for each token its pair, and where each text's tokens begin. A text's first context is the end."""
-    place, ids, bounds = defaultdict(count().__next__, {}), [], [0]
-    place[b""]  # the end is the first word
-    for text in texts:
-        own = tokens((text or "").encode())
-        ids.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
-        bounds.append(bounds[-1] + len(own))
-    at = np.concatenate([np.zeros(0, np.int64), *ids])
-    before = np.concatenate([[0], at[:-1]])  # each text ends with the end, whose place is 0
-    codes, pair = np.unique(before * len(place) + at, return_inverse=True)
-    held = np.repeat(np.array(train, bool), np.diff(bounds))
-    return list(place), codes, np.bincount(pair[held], minlength=len(codes)), pair, np.array(bounds)
+    with `places` for each token its pair, and where each text's tokens begin. A text's first context is the end."""
+    column, bounds = _token_column(texts)
+    listed = column.dictionary_encode()  # the end is the first word
+    words, at = _listed_bytes(listed.dictionary), listed.indices.to_numpy().astype(np.int64)
+    codes = at[:-1] * len(words) + at[1:]  # each text ends with the end, whose place is 0
+    held = np.repeat(train.to_numpy(zero_copy_only=False).astype(bool) if isinstance(train, pa.Array) else train.to_numpy().astype(bool), np.diff(bounds))
+    if not places:
+        return words, *_sorted_pairs(codes, held), None, bounds
+    codes, pair = np.unique(codes, return_inverse=True)
+    return words, codes, np.bincount(pair[held], minlength=len(codes)), pair, bounds
 
 
 def _merged_pairs(batches: Iterator[pa.RecordBatch], summed: bool = True) -> Iterator[pa.RecordBatch]:
@@ -411,6 +444,14 @@ def _packed(blocks: pa.ListArray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(((offsets - offsets[0]) * 4).astype(np.int32)), pa.py_buffer(values)])
 
 
+def _split_words(joined: bytes, n: int) -> pa.Array:
+    """The n words that are joined by blanks."""
+    raw = np.frombuffer(joined, np.uint8)
+    blank = raw == 32
+    ends = np.append(np.flatnonzero(blank), len(raw))[:n] - np.arange(n)
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw[~blank])])
+
+
 #: `second` and `first`: the distinct training pairs that have the word there, by blocks; pairs of several are counted `more` often too often.
 MERGED = "kind long, context long, word long, c long, blocks binary, more long, second long, first long, text binary"
 
@@ -434,11 +475,11 @@ def _merged_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def words(block, sent, counts):
         n = [_whole(np.frombuffer(_unzipped(x), np.uint8).reshape(4, -1), "<i4").reshape(3, -1) for x in counts]
         sizes = np.array([x.shape[1] for x in n])
-        listed = pa.array([w for x, size in zip(sent, sizes.tolist(), strict=True) if size for w in _unzipped(x).split(b" ")], pa.binary()).dictionary_encode()
-        at, text = listed.indices.to_numpy(), listed.dictionary
+        listed = _split_words(b" ".join(_unzipped(x) for x, size in zip(sent, sizes.tolist(), strict=True) if size), int(sizes.sum())).dictionary_encode()
+        at, text = listed.indices.to_numpy(), listed.dictionary.cast(pa.binary())
         order, k = np.argsort(at, kind="stable"), np.bincount(at, minlength=len(text))
         c, second, first = (pa.array(np.bincount(at, x, len(text)).astype(np.int64)) for x in np.concatenate(n, axis=1))
-        h, none = signed(_keys(text.to_pylist())), pa.nulls(len(text), pa.int64())
+        h, none = signed(_keys(_listed_bytes(listed.dictionary))), pa.nulls(len(text), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), 4)), none, pa.array(h), c, _packed(_listed(np.repeat(block, sizes)[order], k)), none, second, first, text], names)
 
     def cells():
@@ -655,7 +696,7 @@ def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     if not left.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-    words, codes, n, pair, bounds = _paired(left.column("text").to_pylist(), left.column("train").to_pylist())
+    words, codes, n, pair, bounds = _paired(left.column("text"), left.column("train"))
     h = signed(_keys(words))
     u, w = codes // len(words), codes % len(words)
     single, double = right.filter(right.column("p").is_valid()), right.filter(right.column("p").is_null())
@@ -667,11 +708,10 @@ def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table
     seated[_places(_pair_keys(h[u], h[w]), column(double, "key", np.int64))] = column(double, "c")
     lp = np.log10(np.maximum((seated + (STRENGTH + discount * t[u]) * p[w]) / (STRENGTH + c[u]), 1e-300))
     base = np.log10(c + 1.0) - bottom
-    out = []
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        own = w[pair[a:b]]
-        out.append((left.column("doc_id")[i].as_py(), b - a, int(np.count_nonzero(c[own])), math.fsum(base[own].tolist()), math.fsum(lp[pair[a:b]].tolist())))
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names)
+    own = w[pair]
+    known = np.add.reduceat((c > 0).astype(np.int64)[own], bounds[:-1])  # each text has the end at least
+    sums = [[math.fsum(of[at[a:b]].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] for of, at in ((base, own), (lp, pair))]
+    return pa.table([left.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(known), *(pa.array(x, pa.float64()) for x in sums)], names)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
