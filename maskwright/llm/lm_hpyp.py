@@ -608,7 +608,7 @@ def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
     zero = F.lit(0.0)
     # a pair seen once has one table; those seen more often have `drawn`
     twice = merged.where("kind = 0 AND more > 0").select(F.expr("stack(2, word, more, 0L, context, 0L, more) AS (h, d2, d1)")).groupBy("h").agg(F.sum("d2").alias("d2"), F.sum("d1").alias("d1"))
-    table = merged.where("kind = 4").select(F.col("text").alias("word"), F.col("word").alias("h"), "c", "second", "first").join(twice, "h", "left")
+    table = merged.where("kind = 4").select(F.col("text").alias("word"), F.col("word").alias("h"), "c", "second", "first").join(twice.hint("shuffle_hash"), "h", "left")
     of = lambda name, d: (F.col(name) - F.coalesce(d, F.lit(0))).cast("double")
     start = written(table.select("word", "h", "c", of("second", "d2").alias("m1"), of("first", "d1").alias("t1")))
     pairs = merged.where("kind = 0").select("context", "word", "c")
@@ -631,7 +631,7 @@ def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
         moved = words.select("word", "h", "c", "m1", "t1", "base", "drawn", *((F.col("p_sum") + price()).alias("p_sum") if held else F.col("p_sum"), (F.col("t_sum") + F.col("t")).alias("t_sum") if held else F.col("t_sum")))
         seats = written(map_batches(joined, _reseat(discount, sweep, sweep >= BURN_IN), "context long, word long, c long, drawn double, total double"))
         more = seats.where("drawn > 1").select(F.expr("stack(2, word, drawn - 1, 0D, context, 0D, drawn - 1) AS (h, dm, dt)")).groupBy("h").agg(F.sum("dm").alias("dm"), F.sum("dt").alias("dt"))
-        moved = moved.join(more, "h", "left")
+        moved = moved.join(more.hint("shuffle_hash"), "h", "left")
         moved = moved.select("word", "h", "c", "m1", "t1", (F.col("m1") + F.coalesce("dm", zero)).alias("m"), (F.col("t1") + F.coalesce("dt", zero)).alias("t"), "base", "drawn", "p_sum", "t_sum")
         words = written(priced(moved, sweep))
         for x in old:
@@ -737,15 +737,22 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("double")
     seated = lambda t: F.col("c") - F.lit(model.discount) * t
-    many = merged.where("kind = 0").select("context", "word", "c", "blocks").join(model.seats, ["context", "word"])
-    many = many.select(F.expr(PAIR_KEY).alias("key"), seated(F.col("t")).alias("c"), none.alias("p"), none.alias("t"), "blocks")
+    # a pair's key and context tell its word; rows are looked up by the key alone, which is faster than by two columns
+    places = model.seats.select(F.expr(PAIR_KEY).alias("seat_key"), F.col("context").alias("seat_context"), "t").hint("shuffle_hash")
+    many = merged.where("kind = 0").select(F.expr(PAIR_KEY).alias("key"), "context", "c", "blocks")
+    many = many.join(places, (F.col("key") == F.col("seat_key")) & (F.col("context").bitwiseXOR(F.col("seat_context")) == 0))
+    many = many.select("key", seated(F.col("t")).alias("c"), none.alias("p"), none.alias("t"), "blocks")
     once = merged.where("kind = 3").select(F.col("word").alias("key"), seated(F.lit(1.0)).alias("c"), none.alias("p"), none.alias("t"), "blocks")
-    own = merged.where("kind = 4").select(F.col("word").alias("h"), "blocks").join(model.words, "h").select(F.col("h").alias("key"), F.col("c").cast("double").alias("c"), "p", "t", "blocks")
-    found = scratch.written(many.unionByName(once).unionByName(own))
-    for x in (merged, *model.tables):
+    own = merged.where("kind = 4").select(F.col("word").alias("h"), "blocks").join(model.words.hint("shuffle_hash"), "h").select(F.col("h").alias("key"), F.col("c").cast("double").alias("c"), "p", "t", "blocks")
+    send = lambda rows: scratch.written(rows.mapInArrow(_sent, "block int, key binary, c binary, p binary, t binary"))
+    start, words, seats = model.tables
+    parts = [send(own)]
+    for x in (start, words):  # before the larger part
         scratch.drop(x)
-    sent = scratch.written(found.mapInArrow(_sent, "block int, key binary, c binary, p binary, t binary"))
-    scratch.drop(found)
+    parts.append(send(many.unionByName(once)))
+    for x in (merged, seats):
+        scratch.drop(x)
+    sent = parts[0].unionByName(parts[1])
     scored = None
     for k in range(SLICES):
         inside = F.pmod("block", F.lit(SLICES)) == k
@@ -755,5 +762,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
             .applyInArrow(partial(_score_block, bottom, model.discount), "doc_id long, n_tokens long, n_known long, base_score double, score double")
         )
         scored = part if scored is None else scored.unionByName(part)
-    scratch.drop(sent)
+    for x in parts:
+        scratch.drop(x)
     return scored.select("doc_id", (fold_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
