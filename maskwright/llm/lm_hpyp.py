@@ -11,10 +11,11 @@ double. Scores are predictions of the seats, tables and word probabilities avera
 
 Words that training doesn't know have the probability of their spelling. In the base score they are one event.
 
-Counts cover all training documents and stay distributed: one row per distinct word, one per distinct pair that isn't
-a pair of one block seen once or never. Only the spelling restaurants are gathered; they have at most 258**2 * 257 cells,
-whatever the corpus. Words and pairs are counted in blocks of BLOCK_DOCS documents, and merged in cells of their hashes:
-what is known of a block's distinct words comes back to it, and so do its pairs whose seats it can't tell by itself.
+Counts cover all training documents and stay distributed: one row per distinct word and one per distinct pair that training
+has more than once. Only the spelling restaurants are gathered; they have at most 258**2 * 257 cells, whatever the corpus.
+Words and pairs are counted in blocks of BLOCK_DOCS documents, and merged in cells of their hashes: what is known of a
+block's distinct words and pairs comes back to it. Of those that training has once it is told where other blocks have them
+too; else its own count is all. Such words have one customer and one table, so that a block prices them by their spelling.
 """
 
 from __future__ import annotations
@@ -109,14 +110,19 @@ class Spelling:
     def of(self, codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Of n words, by their trigrams and the words these belong to: `probability` with all that depends on a cell or its
         context alone looked up."""
-        cells, seen, parent, weight, below = self._tables()
+        cells, seen = self._tables()[:2]
         at = np.minimum(np.searchsorted(cells, codes), len(cells) - 1) if len(cells) else np.zeros(len(codes), np.int64)
         miss = np.flatnonzero(cells[at] != codes) if len(cells) else np.arange(len(codes))
         logs = seen[at] if len(cells) else np.empty(len(codes))
-        context, last = codes[miss] // SYMBOLS, codes[miss] % SYMBOLS**2
-        logs[miss] = np.log(weight[context] * parent[last] / below[context])
+        logs[miss] = self.unseen(codes[miss])
         return np.exp(np.bincount(owner, logs, n))
 
+    def unseen(self, codes: np.ndarray) -> np.ndarray:
+        """Log probabilities of trigrams that have no cell."""
+        _, _, parent, weight, below = self._tables()
+        context, last = codes // SYMBOLS, codes % SYMBOLS**2
+        return np.log(weight[context] * parent[last] / below[context])
+
     def _tables(self) -> tuple[np.ndarray, ...]:
         """Cells with two symbols of context and their log probabilities, then the probability of each cell with one, and for
         each context of two what an unseen cell's parent is multiplied with and divided by."""
@@ -444,6 +450,13 @@ def _packed(blocks: pa.ListArray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(((offsets - offsets[0]) * 4).astype(np.int32)), pa.py_buffer(values)])
 
 
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of all lists of _packed, and the places of the lists that they are in."""
+    bounds = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    data = packed.buffers()[2]
+    return np.frombuffer(data if data is not None else b"", "<i4")[bounds[0] // 4 : bounds[-1] // 4], np.repeat(np.arange(len(packed)), np.diff(bounds) // 4)
+
+
 def _split_words(joined: bytes, n: int) -> pa.Array:
     """The n words that are joined by blanks."""
     raw = np.frombuffer(joined, np.uint8)
@@ -518,12 +531,60 @@ def _merged_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     trim()
 
 
+#: `block` and `keys`: a block, and as bytes the keys of pairs (kind 5) or the hashes of words (kind 6) that it has.
+SETTLED = MERGED + ", block int, keys binary"
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of _merged_cells the pairs and words that training has more than once, as SETTLED. Those it has once, and several blocks
+    have, are gathered by block, as kinds 5 and 6. Kind 7: how often (as c) the words it has once have a trigram (as word);
+    -1 has the number of these words."""
+
+    def gathered(kind):
+        block, (keys,) = _by_block(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
+        held[kind].clear()
+        size[kind] = 0
+        return rows(len(block), kind=pa.array(np.full(len(block), kind)), block=pa.array(block, pa.int32()), keys=keys)
+
+    def rows(n, **columns):
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (x.split() for x in SETTLED.split(", "))])
+    held, size, codes, n, words = {5: [], 6: []}, {5: 0, 6: 0}, np.zeros(0, np.int64), np.zeros(0), 0
+    for batch in _merged_cells(batches):
+        kind, c = batch.column("kind").to_numpy(), batch.column("c").to_numpy()
+        kept = batch.filter(pa.array((kind == 0) | (c > 1)))
+        yield rows(kept.num_rows, **dict(zip(kept.schema.names, kept.columns, strict=True)))
+        once = batch.filter(pa.array((kind != 0) & (c == 1)))
+        block, owner = _unpacked(once.column("blocks"))
+        several = np.bincount(owner, minlength=once.num_rows)[owner] > 1
+        kind, key = once.column("kind").to_numpy(), once.column("word").to_numpy()
+        for new, old in ((5, 3), (6, 4)):
+            wanted = np.flatnonzero(several & (kind[owner] == old))
+            if len(wanted):
+                held[new].append((block[wanted], key[owner[wanted]]))
+                size[new] += len(wanted)
+            if size[new] > SENT:
+                yield gathered(new)
+        if len(seen := np.flatnonzero(kind == 4)):
+            own, counts = np.unique(_column_trigrams(once.column("text").take(pa.array(seen)))[0], return_counts=True)
+            codes, inverse = np.unique(np.concatenate([codes, own]), return_inverse=True)
+            n, words = np.bincount(inverse, np.concatenate([n, counts]), len(codes)), words + len(seen)
+    for kind in held:
+        if held[kind]:
+            yield gathered(kind)
+    yield rows(len(codes) + 1, kind=pa.array(np.full(len(codes) + 1, 7)), word=pa.array(np.append(codes, -1)), c=pa.array(np.append(n, words).astype(np.int64)))
+
+
 @dataclass
 class PairModel:
     discount: float
-    words: DataFrame  # h, c (training tokens), and means over the samples: p (word restaurant), t (tables of its own restaurant)
+    words: DataFrame  # of words that training has more than once h, c (training tokens), and means over the samples: p (word restaurant), t (tables of its own restaurant)
     seats: DataFrame  # context, word, t: mean tables of pairs seen more than once
     tables: list[DataFrame]  # what `words` and `seats` read
+    once: int  # words that training has once
+    rare: RareWords  # all other words
 
 
 def _reseat(discount: float, sweep: int, sampled: bool):
@@ -581,29 +642,51 @@ def _total(codes: np.ndarray, n: np.ndarray) -> float:
     return float(n[codes == -1].sum())
 
 
-def _rare(shared, discount: float):
-    """h, c, mean p, t of words with one customer or none, which has its own table. shared: of kept sweeps the spelling, what a base is
-    multiplied with, and what all is divided by."""
-
-    def make():
-        def step(batch):
-            trigrams, m = _column_trigrams(batch.column("word")), batch.column("m1").to_numpy()
-            p = np.zeros(batch.num_rows)
-            for spelling, weight, total in shared.value:
-                p += (m - discount * m + weight * spelling.of(*trigrams, batch.num_rows)) / total
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(p / SAMPLES), batch.column("t")], ["h", "c", "p", "t"])
-
-        return step
-
-    return make
+@dataclass
+class RareWords:
+    """Words with one customer or none, which has its own table. states: of kept sweeps the spelling, what a base is multiplied
+    with, and what all is divided by."""
+
+    discount: float  # of the word restaurant
+    states: list[tuple[Spelling, float, float]]
+
+    def p(self, words: list[bytes], m: np.ndarray) -> np.ndarray:
+        """Mean p of words with m customers, with each base as Spelling.of has it; a trigram is looked up once for all states."""
+        codes, owner = trigram_codes(words)
+        bits, ranks, logs = self._tables()
+        word, bit = codes >> 6, (codes & 63).astype(np.uint64)
+        inside, one = bits[word], np.uint64(1)
+        at = ranks[word] + np.bitwise_count(inside & ((one << bit) - one))
+        miss = np.flatnonzero((inside >> bit & one) == 0)
+        at[miss] = 0
+        missing, p = codes[miss], np.zeros(len(words))
+        for (spelling, weight, total), known in zip(self.states, logs, strict=True):
+            own = known[at]
+            own[miss] = spelling.unseen(missing)
+            p += (m - self.discount * m + weight * np.exp(np.bincount(owner, own, len(words)))) / total
+        return p / len(self.states)
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The states' cells as bits, how many cells there are before each 64 of them, and the cells' log probabilities by state."""
+        if (own := getattr(self, "_looked_up", None)) is None:
+            cells = np.unique(np.concatenate([spelling.cells[2] for spelling, _, _ in self.states]))
+            bits = np.zeros((SYMBOLS**3 >> 6) + 1, np.uint64)
+            np.bitwise_or.at(bits, cells >> 6, np.uint64(1) << (cells & 63).astype(np.uint64))
+            count, logs = np.bitwise_count(bits).astype(np.int64), []
+            for spelling, _, _ in self.states:
+                known = spelling.unseen(cells)
+                known[np.searchsorted(cells, spelling.cells[2])] = spelling._tables()[1]
+                logs.append(known if len(known) else np.zeros(1))
+            own = self._looked_up = bits, np.cumsum(count) - count, logs
+        return own
 
 
 def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
-    """Gibbs sweeps over pairs, words and spelling. merged: the rows of _merged_cells.
+    """Gibbs sweeps over pairs, words and spelling. merged: the rows of _settled.
 
     A sweep's tables go as the next one's are there. Of each word a sweep keeps its base and the tables drawn for it; its
     probability is a sum of columns once the sweep's totals are known, which the next sweep and the means take. Words that
-    training has once or never are in no pair that is seated, and have one table or none: sweeps need their sums only."""
+    training has once are in no pair that is seated, and have one customer and one table: sweeps need their sums only."""
     sc, written = merged.sparkSession.sparkContext, scratch.written
     zero = F.lit(0.0)
     # a pair seen once has one table; those seen more often have `drawn`
@@ -613,14 +696,13 @@ def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
     start = written(table.select("word", "h", "c", of("second", "d2").alias("m1"), of("first", "d1").alias("t1")))
     pairs = merged.where("kind = 0").select("context", "word", "c")
     twos, many = pairs.agg(F.count_if(F.col("c") == 2), F.count("*")).first()
-    s = start.agg(F.coalesce(F.sum("m1"), F.lit(0.0)).alias("m"), F.count_if(F.col("m1") > 0).alias("v"), F.count_if(F.col("m1") == 1).alias("n1"), F.count_if(F.col("m1") == 2).alias("n2")).first()
-    discount, own = _discount(int(s.m) - many, twos), _discount(s.n1, s.n2)
-    spelling, tables, customers = Spelling.empty(), float(s.v), float(s.m)
-    rare = start.where("c <= 1")
-    rare_codes, rare_n = _gathered(_customers(rare.select("word", F.col("m1").alias("drawn"))))
-    rare_tables, rare_customers = _total(rare_codes, rare_n), float(rare.agg(F.coalesce(F.sum("m1"), zero)).first()[0])
+    rare_codes, rare_n = _gathered(merged.where("kind = 7").groupBy(F.col("word").alias("code")).agg(F.sum("c").cast("double").alias("n")))
+    once = int(_total(rare_codes, rare_n))
     rare_codes, rare_n, states = rare_codes[rare_codes >= 0], rare_n[rare_codes >= 0], []
-    words = start.where("c > 1").select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), zero.alias("base"), zero.alias("drawn"), zero.alias("p_sum"), zero.alias("t_sum"))
+    s = start.agg(F.coalesce(F.sum("m1"), zero).alias("m"), F.count_if(F.col("m1") > 0).alias("v"), F.count_if(F.col("m1") == 1).alias("n1"), F.count_if(F.col("m1") == 2).alias("n2")).first()
+    discount, own = _discount(int(s.m) + once - many, twos), _discount(s.n1 + once, s.n2)
+    spelling, tables, customers = Spelling.empty(), float(s.v + once), s.m + once
+    words = start.select("*", F.col("m1").alias("m"), F.col("t1").alias("t"), zero.alias("base"), zero.alias("drawn"), zero.alias("p_sum"), zero.alias("t_sum"))
     priced = lambda of, salt: map_batches(of, _priced(sc.broadcast((spelling, tables)), own, salt), "word binary, h long, c long, m1 double, t1 double, m double, t double, base double, drawn double, p_sum double, t_sum double")
     price = lambda: (F.col("m") - F.lit(own) * F.col("drawn") + F.lit(STRENGTH + own * tables) * F.col("base")) / F.lit(STRENGTH + customers)
     seats = pairs.withColumn("total", zero)
@@ -638,37 +720,38 @@ def fit_pairs(merged: DataFrame, scratch: Scratch) -> PairModel:
             scratch.drop(x)
         old = [seats, words]
         codes, n = _gathered(_customers(words))
-        tables, customers = _total(codes, n) + rare_tables, float(words.agg(F.coalesce(F.sum("m"), zero)).first()[0]) + rare_customers
+        tables, customers = _total(codes, n) + once, float(words.agg(F.coalesce(F.sum("m"), zero)).first()[0]) + once
         if sweep >= BURN_IN:
             states.append((spelling, STRENGTH + own * tables, STRENGTH + customers))
         spelling = Spelling.sampled(np.concatenate([codes[codes >= 0], rare_codes]), np.concatenate([n[codes >= 0], rare_n]), spelling, sweep)
         prices = words.select("h", price().alias("p"), "t")
     mean = words.select("h", "c", ((F.col("p_sum") + price()) / SAMPLES).alias("p"), ((F.col("t_sum") + F.col("t")) / SAMPLES).alias("t"))
-    mean = mean.unionByName(map_batches(rare.select("word", "h", "c", "m1", F.col("t1").alias("t")), _rare(sc.broadcast(states), own), "h long, c long, p double, t double"))
-    return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")), [start, words, seats])
+    return PairModel(discount, mean, seats.select("context", "word", (F.col("total") / SAMPLES).alias("t")), [start, words, seats], once, RareWords(own, states))
 
 
 #: Entries that a task gathers before it sends them to their blocks.
 SENT = 1 << 18
 
 
+def _by_block(block: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The distinct blocks, and the values of each as bytes."""
+    order = np.argsort(block, kind="stable")
+    block, values = block[order], [x[order] for x in values]
+    starts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1)).tolist()
+    return block[starts], [pa.array([x[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(block)], strict=True)], pa.binary()) for x in values]
+
+
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, key, c, p, t: the rows of key, c, p, t (p and t null: pairs) with `blocks`, gathered by block, columns as bytes."""
 
     def sent(kind):
-        block, *values = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+        block, cut = _by_block(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
         held[kind].clear()
-        order = np.argsort(block, kind="stable")
-        block, values = block[order], [x[order] for x in values]
-        starts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1)).tolist()
-        cut = [pa.array([x[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(block)], strict=True)], pa.binary()) for x in values]
-        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *cut, *[pa.nulls(len(starts), pa.binary())] * (4 - len(cut))], ["block", "key", "c", "p", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(block), *cut, *[pa.nulls(len(block), pa.binary())] * (4 - len(cut))], ["block", "key", "c", "p", "t"])
 
     held = {False: [], True: []}
     for batch in batches:
-        lists = batch.column("blocks")
-        bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + batch.num_rows + 1].astype(np.int64)
-        block, owner = np.frombuffer(lists.buffers()[2], "<i4")[bounds[0] // 4 : bounds[-1] // 4], np.repeat(np.arange(batch.num_rows), np.diff(bounds) // 4)
+        block, owner = _unpacked(batch.column("blocks"))
         word = batch.column("p").is_valid().to_numpy(zero_copy_only=False)[owner]
         for kind, names in ((False, ("key", "c")), (True, ("key", "c", "p", "t"))):
             wanted = np.flatnonzero(word == kind)
@@ -690,22 +773,30 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score_block(bottom: float, discount: float, left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: doc_id, text, train; right: rows of _sent, for words with their hash, c, p, t, for pairs with their key and c - discount * t;
-    bottom: log10 of the base's denominator. A pair without a row is of this block alone, and seen once at most."""
+def _score_block(bottom: float, discount: float, shared, left: pa.Table, right: pa.Table) -> pa.Table:
+    """left: doc_id, text, train; right: rows of _sent, for words with their hash, c, p, t, for pairs with their key and c - discount * t,
+    and rows without c, for pairs (as key) and words (as t) that training has once; bottom: log10 of the base's denominator; shared:
+    RareWords. A pair or word without a row is of this block alone, or training doesn't have it: it has the block's count."""
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     if not left.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
     words, codes, n, pair, bounds = _paired(left.column("text"), left.column("train"))
     h = signed(_keys(words))
     u, w = codes // len(words), codes % len(words)
+    once, right = right.filter(right.column("c").is_null()), right.filter(right.column("c").is_valid())
     single, double = right.filter(right.column("p").is_valid()), right.filter(right.column("p").is_null())
-    column = lambda of, name, kind=float: np.frombuffer(b"".join(of.column(name).to_pylist()), kind)
-    at = _places(h, column(single, "key", np.int64))
-    c, p, t = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
+    column = lambda of, name, kind=float: np.frombuffer(b"".join(of.column(name).drop_null().to_pylist()), kind)
+    c, p = np.bincount(w, n, len(words)), np.zeros(len(words))
+    hashes, alone = column(single, "key", np.int64), column(once, "t", np.int64)
+    at = _places(h, np.concatenate([hashes, alone]))
+    c[at[len(hashes) :]], at = 1, at[: len(hashes)]
+    t, rare = c.copy(), np.ones(len(words), bool)
     c[at], p[at], t[at] = (column(single, k) for k in ("c", "p", "t"))
-    seated = n - discount * (n > 0)
-    seated[_places(_pair_keys(h[u], h[w]), column(double, "key", np.int64))] = column(double, "c")
+    rare[at] = False
+    rare = np.flatnonzero(rare)
+    p[rare] = shared.value.p([words[i] for i in rare.tolist()], c[rare])
+    seated, keys = n - discount * (n > 0), (column(double, "key", np.int64), column(once, "key", np.int64))
+    seated[_places(_pair_keys(h[u], h[w]), np.concatenate(keys))] = np.concatenate([column(double, "c"), np.full(len(keys[1]), 1 - discount)])
     lp = np.log10(np.maximum((seated + (STRENGTH + discount * t[u]) * p[w]) / (STRENGTH + c[u]), 1e-300))
     base = np.log10(c + 1.0) - bottom
     own = w[pair]
@@ -730,9 +821,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, free=True, codec="zstd")
     bits = max(8, math.ceil(math.log2(max(4 * shuffle_partitions(docs.sparkSession), numbered.count() / BLOCK_DOCS))))
     found = map_batches(blocks, _block_cells(bits), "cell int, block int, pairs binary, words binary, n binary").repartition("cell").sortWithinPartitions("cell")
-    merged = scratch.written(found.mapInArrow(_merged_cells, MERGED))  # the largest shuffle, before the other tables
+    merged = scratch.written(found.mapInArrow(_settled, SETTLED))  # the largest shuffle, before the other tables
     model = fit_pairs(merged, scratch)
-    total, distinct = merged.where("kind = 4").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total, distinct = (x + model.once for x in merged.where("kind = 4").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
     bottom = math.log10(total + distinct + 1)
 
     none = F.lit(None).cast("double")
@@ -742,24 +833,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
     many = merged.where("kind = 0").select(F.expr(PAIR_KEY).alias("key"), "context", "c", "blocks")
     many = many.join(places, (F.col("key") == F.col("seat_key")) & (F.col("context").bitwiseXOR(F.col("seat_context")) == 0))
     many = many.select("key", seated(F.col("t")).alias("c"), none.alias("p"), none.alias("t"), "blocks")
-    once = merged.where("kind = 3").select(F.col("word").alias("key"), seated(F.lit(1.0)).alias("c"), none.alias("p"), none.alias("t"), "blocks")
+    nothing = F.lit(None).cast("binary")
+    once = merged.where("kind IN (5, 6)").select("block", F.expr("if(kind = 5, keys, null)").alias("key"), nothing.alias("c"), nothing.alias("p"), F.expr("if(kind = 6, keys, null)").alias("t"))
     own = merged.where("kind = 4").select(F.col("word").alias("h"), "blocks").join(model.words.hint("shuffle_hash"), "h").select(F.col("h").alias("key"), F.col("c").cast("double").alias("c"), "p", "t", "blocks")
-    send = lambda rows: scratch.written(rows.mapInArrow(_sent, "block int, key binary, c binary, p binary, t binary"))
+    send = lambda rows: rows.mapInArrow(_sent, "block int, key binary, c binary, p binary, t binary")
     start, words, seats = model.tables
-    parts = [send(own)]
+    parts = [scratch.written(send(own))]
     for x in (start, words):  # before the larger part
         scratch.drop(x)
-    parts.append(send(many.unionByName(once)))
+    parts.append(scratch.written(send(many).unionByName(once)))
     for x in (merged, seats):
         scratch.drop(x)
-    sent = parts[0].unionByName(parts[1])
+    sent, shared = parts[0].unionByName(parts[1]), docs.sparkSession.sparkContext.broadcast(model.rare)
     scored = None
     for k in range(SLICES):
         inside = F.pmod("block", F.lit(SLICES)) == k
         left, right = numbered.where(inside).select("block", "doc_id", "text", "train"), sent.where(inside)
         part = scratch.written(
             left.groupBy("block").cogroup(right.groupBy("block"))
-            .applyInArrow(partial(_score_block, bottom, model.discount), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+            .applyInArrow(partial(_score_block, bottom, model.discount, shared), "doc_id long, n_tokens long, n_known long, base_score double, score double")
         )
         scored = part if scored is None else scored.unionByName(part)
     for x in parts:
