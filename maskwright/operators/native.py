@@ -46,9 +46,12 @@ def may_match(text: Column, regex: str) -> Column:
     literals, digit = gate(regex)
     ok = text.rlike("(?U)\\d") if digit else F.lit(True)
     if literals:
-        low = F.lower(text)
-        # letters whose case folding isn't that of lower() pass
-        ok = ok & (reduce(lambda x, y: x | y, (F.contains(low, F.lit(v)) for v in sorted(literals))) | text.rlike(f"[{''.join(sorted(ODD_CASE))}]"))
+        held = lambda s, xs: reduce(lambda x, y: x | y, (F.contains(s, F.lit(v)) for v in xs))
+        plain, cased = (sorted(v for v in literals if (v.upper() == v) == p) for p in (True, False))
+        found = [held(text, plain)] if plain else []
+        if cased:  # one lower-case copy for all; letters whose case folding isn't that of lower() pass
+            found += [F.exists(F.array(F.lower(text)), lambda low: held(low, cased)), text.rlike(f"[{''.join(sorted(ODD_CASE))}]")]
+        ok = ok & reduce(lambda x, y: x | y, found)
     return ok
 
 
